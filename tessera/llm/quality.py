@@ -1,12 +1,14 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k sampling.
 
 Tokens are runs of word bytes or of punctuation; their unigrams and bigrams are hashed to `buckets`. The raw model counts all
-documents; the target model counts those of a bounded sample of ids known to be good. A document's log weight is the sum of its
-n-grams' log ratios of target to raw probability (additive smoothing). Its key is the log weight plus Gumbel noise, and
-the documents with the k largest keys are a sample without replacement in proportion to the weights.
+documents; the target model counts those of a bounded sample of ids known to be good. The log ratio of a bucket is that of its
+count in the target to the count expected there if the target were raw text, both plus `smoothing`, so that rare n-grams say little.
+A document's log weight is the sum over its n-grams, tempered to at most `effective` of them: neighbouring n-grams aren't
+independent, and without this a small bias of each would decide on a long text. Its key is the log weight plus Gumbel
+noise, and the documents with the k largest keys are a sample without replacement in proportion to the weights.
 
 By default k is the number of documents whose log weight is at least -slack: for them the raw model isn't clearly the
-better explanation. Weights of junk lie hundreds below, so noise moves only documents at the border.
+better explanation. Weights of junk lie far below, so noise moves only documents at the border.
 
 The noise is a hash of doc_id and the seed, so reruns agree and rows that repeat a document stay or go together. Null or empty
 texts have no n-grams and the log weight 0. Without any target document all log weights are 0.
@@ -39,16 +41,18 @@ def grams(block: k.Block, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratios by bucket."""
+    """Log ratios by bucket, and how many n-grams of a text count in full."""
 
     ratios: np.ndarray
+    effective: int
 
     def log_weights(self, batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros(batch.num_rows)
+        out, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         for block in k.blocks(batch.column("text")):
             for row, bucket in grams(block, len(self.ratios)):
                 out[block.first : block.last] += np.bincount(row, self.ratios[bucket], block.last - block.first)
-        return out
+                count[block.first : block.last] += np.bincount(row, minlength=block.last - block.first)
+        return out * np.minimum(1, self.effective / np.maximum(count, 1))
 
 
 def gumbel(ids: pa.Array, seed: int) -> np.ndarray:
@@ -58,7 +62,7 @@ def gumbel(ids: pa.Array, seed: int) -> np.ndarray:
     return -np.log(-np.log((u + 0.5) / (1 << 53)))
 
 
-def fit(docs: DataFrame, good: DataFrame, most_good: int = 20_000, buckets: int = 1 << 16, smoothing: float = 1.0) -> Model:
+def fit(docs: DataFrame, good: DataFrame, most_good: int = 20_000, buckets: int = 1 << 14, smoothing: float = 4.0, effective: int = 64) -> Model:
     """The model from all docs and those of them whose doc_id is in good (column doc_id).
 
     About most_good ids are used, chosen by hash; they are the only thing sent to all tasks and don't grow with the input.
@@ -82,10 +86,8 @@ def fit(docs: DataFrame, good: DataFrame, most_good: int = 20_000, buckets: int
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    if not target.sum():
-        return Model(np.zeros(buckets))
-    share = lambda x: np.log((x + smoothing) / (x.sum() + smoothing * buckets))
-    return Model(share(target) - share(raw))
+    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    return Model(np.log((target + smoothing) / (expected + smoothing)) if target.any() else np.zeros(buckets), effective)
 
 
 def score(docs: DataFrame, model: Model, seed: int = 5) -> DataFrame:
@@ -99,20 +101,20 @@ def score(docs: DataFrame, model: Model, seed: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, log_weight double, key double")
 
 
-def threshold(scored: DataFrame, count: int | None = None, slack: float = 3.0) -> float:
+def threshold(scored: DataFrame, count: int | None = None, slack: float = 10.0) -> float:
     """The least key among the `count` largest; by default as many as have a log weight of at least -slack."""
     count = scored.filter(F.col("log_weight") >= -slack).count() if count is None else count
     cut = kth_largest(scored, "key", count)
     return float("inf") if count < 1 else float("-inf") if cut is None else cut
 
 
-def resample(docs: DataFrame, good: DataFrame, count: int | None = None, slack: float = 3.0, seed: int = 5) -> DataFrame:
+def resample(docs: DataFrame, good: DataFrame, count: int | None = None, slack: float = 10.0, seed: int = 5) -> DataFrame:
     """doc_id, log_weight, key of the documents in the sample."""
     scored = materialise(score(docs, fit(docs, good), seed))
     return scored.filter(F.col("key") >= threshold(scored, count, slack))
 
 
-def keep(docs: DataFrame, good: DataFrame, count: int | None = None, slack: float = 3.0, seed: int = 5) -> DataFrame:
+def keep(docs: DataFrame, good: DataFrame, count: int | None = None, slack: float = 10.0, seed: int = 5) -> DataFrame:
     """The rows of docs in the sample, with all their columns. They are scored again rather than joined, so no text is shuffled."""
     model = fit(docs, good)
     cut = threshold(materialise(score(docs, model, seed)), count, slack)

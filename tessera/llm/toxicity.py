@@ -69,7 +69,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 4, seed: int = 1) -> Model:
+def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.1, epochs: int = 20, balance: bool = True, seed: int = 1) -> Model:
     """FTRL-proximal: w = 0 where |z| <= l1, else -(z - sign(z) l1) / ((beta + sqrt n) / alpha + l2); the bias has no L1 term."""
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
@@ -79,11 +79,13 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.1, beta: float
         return np.where(np.abs(z[at]) <= penalty, 0.0, -(z[at] - np.sign(z[at]) * penalty) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     rng = np.random.default_rng(seed)
+    labels = np.array([y for _, y in examples])
+    each = np.array([1.0, max(1.0, (labels == 0).sum() / max(1, (labels == 1).sum()))]) if balance else np.ones(2)
     for _ in range(epochs):
         for i in rng.permutation(len(examples)):
             at = np.append(examples[i][0], size)
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -500, 500))) - examples[i][1]
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -500, 500))) - labels[i]) * each[labels[i]]
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
     all_w = weights(np.arange(size + 1))
@@ -91,7 +93,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.1, beta: float
     return Model(index, all_w[index].astype(np.float32), float(all_w[size]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, quota: int = 4000, most_chars: int = 40_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_chars: int = 40_000_000) -> Model:
     """The model from labels (doc_id, toxic) of documents that aren't held out."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
