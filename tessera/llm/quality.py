@@ -1,6 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k sampling.
 
-Tokens are runs of word bytes or of punctuation; their unigrams and bigrams are hashed to `buckets`. The raw model counts all
+Tokens are runs of word bytes or of punctuation; their unigrams and bigrams are hashed to `buckets`, and
+all bigrams of a token with itself count as one. The raw model counts all
 documents; the target model counts those of a bounded sample of ids known to be good. The log ratio of a bucket is that of its
 count in the target to the count expected there if the target were raw text, both plus `smoothing`, so that rare n-grams say little.
 A document's log weight is the sum over its n-grams, tempered to at most `effective` of them: neighbouring n-grams aren't
@@ -35,6 +36,7 @@ def grams(block: k.Block, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray
     hashes = k.token_hashes(block, tokens)
     yield tokens.row, (hashes % np.uint64(buckets)).astype(np.int64)
     pairs = k.window_hashes(hashes, 2)
+    pairs[hashes[:-1] == hashes[1:]] = 0  # a token said twice is one bigram, whatever the token
     same = tokens.row[:-1] == tokens.row[1:]
     yield tokens.row[:-1][same], (pairs[same] % np.uint64(buckets)).astype(np.int64)
 
