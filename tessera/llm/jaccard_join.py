@@ -30,7 +30,7 @@ from tessera.llm import kernels as k
 from tessera.llm.components import components
 from tessera.session import materialise
 
-CELL = 256
+CELL, SALTS = 256, 64
 
 
 def choose_bands(threshold: float, recall: float, most_hashes: int = 192) -> tuple[int, int]:
@@ -152,11 +152,11 @@ def compare(threshold: float):
     def flush(rows: list[tuple]) -> tuple[list, list, list]:
         reps = np.array([r for r, _, _, _ in rows], np.int64)
         copies = np.array([c for _, _, c, _ in rows], np.int64)
-        second = np.array([s for _, s, _, _ in rows], bool)
+        sides = np.array([s for _, s, _, _ in rows])
         sets = [np.frombuffer(b, np.uint64) for _, _, _, b in rows]
-        a, b = np.flatnonzero(~second), np.flatnonzero(second)
-        if len(b):
-            i, j = similar([sets[x] for x in a], [sets[x] for x in b], threshold) if len(a) else (np.empty(0, int), np.empty(0, int))
+        if sides.any():  # two cells; else one with itself
+            a, b = np.flatnonzero(sides == 1), np.flatnonzero(sides == 2)
+            i, j = similar([sets[x] for x in a], [sets[x] for x in b], threshold)
             i, j = a[i], b[j]
         else:
             i, j = similar(sets, None, threshold)
@@ -183,7 +183,7 @@ def compare(threshold: float):
             return pa.record_batch([pa.array(x, pa.int64()) for x in out], ["rep", "links", "root"])
 
         for batch in batches:
-            for task, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "rep", "second", "copies", "set")), strict=True):
+            for task, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "rep", "side", "copies", "set")), strict=True):
                 if task != now:
                     if len(rows) > 1:
                         for x, y in zip(out, flush(rows), strict=True):
@@ -217,25 +217,27 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     members = classes.join(regions, "rep").select("rep", "copies", "region", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int").alias("level"))
     members = materialise(members)
     cells = members.groupBy("region", "level").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
-    near = cells.select("region", F.col("level").alias("near"), F.col("cells").alias("near_cells"))
-    around = cells.join(near, "region").filter("abs(near - level) <= 1").groupBy("region", "level", "cells").agg(F.map_from_entries(F.collect_list(F.struct("near", "near_cells"))).alias("sizes"))
-    placed = members.join(around, ["region", "level"]).withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    near = cells.filter("cells > 1").select("region", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.col("level").alias("near"), "cells")
+    large = near.groupBy("region", "level").agg(F.map_from_entries(F.collect_list(F.struct("near", "cells"))).alias("sizes"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # members of one region come from many tasks
+    placed = members.withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "rep"), F.lit(SALTS)).cast("int")).join(large, ["region", "level", "salt"], "left")
+    own_cells = F.coalesce(F.element_at("sizes", F.col("level")), F.lit(1))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("rep"), own_cells).cast("int"))
     name = lambda lo_level, lo, hi_level, hi: F.struct("region", lo_level.alias("l"), lo.alias("c"), hi_level.alias("m"), hi.alias("d"))
     level, own = F.col("level"), F.col("cell")
-    count_at = lambda x: F.coalesce(F.element_at("sizes", x), F.lit(0))
-    upto = lambda x: F.when(x > 0, F.sequence(F.lit(0), x - 1)).otherwise(F.array().cast("array<int>"))
+    upto = lambda x: F.sequence(F.lit(0), F.coalesce(F.element_at("sizes", x), F.lit(1)) - 1)
     tasks = F.concat(
-        F.transform(upto(count_at(level)), lambda o: F.struct(name(level, F.least(own, o), level, F.greatest(own, o)).alias("task"), (own > o).alias("second"))),
-        F.transform(upto(count_at(level + 1)), lambda o: F.struct(name(level, own, level + 1, o).alias("task"), F.lit(False).alias("second"))),
-        F.transform(upto(count_at(level - 1)), lambda o: F.struct(name(level - 1, o, level, own).alias("task"), F.lit(True).alias("second"))),
+        F.transform(upto(level), lambda o: F.struct(name(level, F.least(own, o), level, F.greatest(own, o)).alias("task"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side"))),
+        F.transform(upto(level + 1), lambda o: F.struct(name(level, own, level + 1, o).alias("task"), F.lit(1).alias("side"))),
+        F.transform(upto(level - 1), lambda o: F.struct(name(level - 1, o, level, own).alias("task"), F.lit(2).alias("side"))),
     )
-    placed = placed.select("rep", "copies", F.explode(tasks).alias("t")).select("rep", "copies", F.xxhash64("t.task").alias("task"), "t.second")
-    shared = placed.groupBy("task").agg(F.count("*").alias("n")).filter("n > 1").select("task")
+    placed = placed.select("rep", "copies", F.explode(tasks).alias("t")).select("rep", "copies", F.xxhash64("t.task").alias("task"), "t.side")
+    shared = placed.groupBy("task").agg(F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("b")).filter("n > 1 and (b = 0 or a < b)").select("task")
     placed = placed.join(shared, "task", "left_semi")
-    wanted = placed.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("task", "second")).alias("tasks"))
+    wanted = placed.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
     texts = source.join(wanted, source["doc_id"] == wanted["rep"]).select("rep", "copies", "tasks", "text")
-    sets = texts.mapInArrow(pack_sets(n), "rep long, copies long, tasks array<struct<task:long,second:boolean>>, set binary")
-    spread = sets.select("rep", "copies", "set", F.explode("tasks").alias("t")).select("rep", "copies", "set", "t.task", "t.second")
+    sets = texts.mapInArrow(pack_sets(n), "rep long, copies long, tasks array<struct<task:long,side:int>>, set binary")
+    spread = sets.select("rep", "copies", "set", F.explode("tasks").alias("t")).select("rep", "copies", "set", "t.task", "t.side")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialise(spread.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(compare(threshold), "rep long, links long, root long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
