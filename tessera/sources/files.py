@@ -197,7 +197,8 @@ def _ais(line: str) -> tuple | None:
     parts = line.strip().split(",")
     if len(parts) < 7 or not parts[0].startswith(("!AIVDM", "!AIVDO")) or parts[1] != "1":
         return None
-    bits = "".join(format((v := ord(c) - 48) - 8 if v > 40 else v, "06b") for c in parts[5])
+    codes = (ord(c) - 48 for c in parts[5])
+    bits = "".join(format(v - 8 if v > 40 else v, "06b") for v in codes)
     if len(bits) < 137 or int(bits[:6], 2) not in (1, 2, 3):
         return None
     signed = lambda a, b: int(bits[a:b], 2) - (1 << (b - a) if bits[a] == "1" else 0)
