@@ -6,7 +6,9 @@ node is internal with a leaf of a smaller document. The tree is never built as a
 * Prefixes. Every window is filed under the smallest hash among its grams of `gram` words, a prefix of the suffix that starts
   at that gram. The choice depends only on the window's words, so equal windows share it, and consecutive windows share it
   too, so a run of them is stored once with one prefix (a sparse suffix tree: about 2 suffixes in `width - gram + 2` words).
-* Groups. Prefix hashes are cut into slots, and each slot's subtree is built alone from sorted paths.
+* Groups. A first pass counts the windows below each range of prefix hashes. A range with more than `group` windows is
+  extended: its suffixes go on to be split by their whole paths, into as many groups as keep each below that size. So groups fit
+  into memory however common a prefix is, and each group's subtree is built alone from sorted paths.
 * Subtrees. A path shared by documents is a deep internal node; its smallest leaf decides. Runs of removed windows are the
   maximal repeats.
 
@@ -57,30 +59,60 @@ def later(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def file_suffixes(width: int, gram: int, slots: int):
-    """Map documents to one packed row for each slot and block: suffix runs under their prefixes, and what the block removed."""
+def suffixes(batch: pa.RecordBatch, width: int, gram: int, size: int) -> Iterator[tuple]:
+    """For each block: tokens, doc ids by row, token hashes, which windows lie in one document that has an id, and each window's prefix."""
+    ids = batch.column("doc_id")
+    for block in k.blocks(batch.column("text"), size):
+        tokens = k.tokenise(block, k.SPACES)
+        if len(tokens.start) < width:
+            continue
+        own = ids.slice(block.first, block.last - block.first)
+        whole = tokens.row[: len(tokens.row) - width + 1] == tokens.row[width - 1 :]
+        whole &= own.is_valid().to_numpy(zero_copy_only=False)[tokens.row[: len(whole)]]
+        hashes = k.token_hashes(block, tokens)
+        prefix = k.sliding_min(k.window_hashes(hashes, gram), width - gram + 1)
+        yield tokens, own.fill_null(0).to_numpy(zero_copy_only=False), hashes, whole, prefix
+
+
+def range_of(prefix: np.ndarray, ranges: int) -> np.ndarray:
+    return (prefix >> np.uint64(32)).astype(np.int64) % ranges
+
+
+def count_prefixes(width: int, gram: int, ranges: int):
+    """Map documents to counts of windows by range of their prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ranges, np.int64)
+        for batch in batches:
+            for _, _, _, whole, prefix in suffixes(batch, width, gram, k.BLOCK_BYTES):
+                total += np.bincount(range_of(prefix[whole], ranges), minlength=ranges)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["range", "n"])
+
+    return run
+
+
+def file_suffixes(width: int, gram: int, parts: np.ndarray):
+    """Map documents to one packed row for each group and block: suffix runs under their prefixes, and what the block removed.
+
+    parts: into how many groups each range of prefixes is split.
+    """
+    base = np.cumsum(parts) - parts
+    slots = int(parts.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for block in k.blocks(batch.column("text"), 4 * k.BLOCK_BYTES):
-                tokens = k.tokenise(block, k.SPACES)
-                if len(tokens.start) < width:
-                    continue
-                own = ids.slice(block.first, block.last - block.first)
-                doc_ids = own.fill_null(0).to_numpy(zero_copy_only=False)
-                whole = tokens.row[: -width + 1] == tokens.row[width - 1 :] if width > 1 else np.ones(len(tokens.row), bool)
-                whole &= own.is_valid().to_numpy(zero_copy_only=False)[tokens.row[: len(whole)]]
-                hashes = k.token_hashes(block, tokens)
+            for tokens, doc_ids, hashes, whole, prefix in suffixes(batch, width, gram, 4 * k.BLOCK_BYTES):
                 path = k.window_hashes(hashes, width)
-                prefix = k.sliding_min(k.window_hashes(hashes, gram), width - gram + 1)
                 row = tokens.row[: len(path)]
                 start = np.arange(len(path)) - tokens.bounds[row]
                 here = np.zeros(len(path), bool)
                 here[whole] = later(path[whole], doc_ids[row[whole]])
-                at, count = runs_of(whole & ~here, row, prefix)
+                ranges = range_of(prefix, len(parts))
+                group = base[ranges] + ((path >> np.uint64(33)).astype(np.int64) % parts[ranges])
+                at, count = runs_of(whole & ~here, row, prefix, group)
                 gone, gone_count = runs_of(here, row)
-                slot = (prefix[at] >> np.uint64(32)).astype(np.int64) % slots
+                slot = group[at]
                 gone_slot = doc_ids[row[gone]] % slots
                 order, gone_order = np.argsort(slot, kind="stable"), np.argsort(gone_slot, kind="stable")
                 at, count, slot, gone, gone_count, gone_slot = at[order], count[order], slot[order], gone[gone_order], gone_count[gone_order], gone_slot[gone_order]
@@ -162,17 +194,22 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[
         yield now, held
 
 
-def repeated_runs(docs: DataFrame, width: int = 13, gram: int = 4, slots: int | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int = 13, gram: int = 4, group: int = 2_000_000) -> DataFrame:
     """Runs of consecutive windows that also start in a document with a smaller id: doc_id, first (word), windows.
 
     The runs of a document may touch; words covered are first to first + windows + width - 2.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = slots or max(64, 8 * parts)
-    filed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(file_suffixes(width, gram, slots), "slot long, packed binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ranges = max(64, 8 * tasks)
+    counts = source.mapInArrow(count_prefixes(width, gram, ranges), "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
+    parts = np.ones(ranges, np.int64)
+    for r in counts.filter(F.col("n") > group).collect():
+        parts[r.range] = -(-r.n // group)
+    filed = source.mapInArrow(file_suffixes(width, gram, parts), "slot long, packed binary")
     return (
-        filed.repartition(parts, "slot")
+        filed.repartition(tasks, "slot")
         .sortWithinPartitions("slot")
         .mapInArrow(lambda batches: resolve(by_key(batches, "slot", "packed")), "doc_id long, first int, windows int")
     )

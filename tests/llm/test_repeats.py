@@ -23,6 +23,9 @@ def test_matches_brute_force(spark):
     want = sorted(repeats.brute_force(rows), key=str)
     assert sum(x[2] for x in want) > 200
     assert run(spark, rows) == want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda group: sorted((r.doc_id, i) for r in repeats.repeated_runs(df, group=group).collect() for i in range(r["first"], r["first"] + r.windows))
+    assert spans(3) == spans(2_000_000)
 
 
 def test_empty_table(spark):
