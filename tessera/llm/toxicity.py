@@ -5,7 +5,7 @@ Features are the presence of a text's words, of its pairs of neighbours and of i
 so what is broadcast is bounded by the model and not by the data.
 
 The model is fitted on a bounded sample: about `quota` labelled documents of each class and at most about `most_chars`
-characters of text. Null or empty texts have no feature and get the score of the bias. Without a label of either class all scores are 0.
+characters of text. Null or empty texts have no feature and get the score of the bias. Without labels of both classes all scores are next to 0.
 """
 
 from __future__ import annotations
