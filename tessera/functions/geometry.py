@@ -200,3 +200,54 @@ def simplify(points: Column, tolerance: float) -> Column:
         return xy[sorted(keep)] if len(xy) else xy
 
     return _on_points(run)(points)
+
+
+# Moving things about, and places along lines
+
+
+def translate(line: Column, dx: object, dy: object) -> Column:
+    return F.transform(line, lambda e: segment(e["x1"] + dx, e["y1"] + dy, e["x2"] + dx, e["y2"] + dy))
+
+
+def scale(line: Column, factor: object) -> Column:
+    return F.transform(line, lambda e: segment(e["x1"] * factor, e["y1"] * factor, e["x2"] * factor, e["y2"] * factor))
+
+
+def rotate(line: Column, x: float, y: float, degrees: float) -> Column:
+    """Against the clock around (x, y)."""
+    a = np.radians(degrees)
+    turn = lambda u, v: (x + (u - x) * float(np.cos(a)) - (v - y) * float(np.sin(a)), y + (u - x) * float(np.sin(a)) + (v - y) * float(np.cos(a)))
+    return F.transform(line, lambda e: segment(*turn(e["x1"], e["y1"]), *turn(e["x2"], e["y2"])))
+
+
+def crossings(a: Column, b: Column) -> Column:
+    """Points at which segments of two lines cross or touch (parallel ones have none), as an array."""
+
+    def cut(e: Column, f: Column) -> Column:
+        dx, dy, fx, fy = e["x2"] - e["x1"], e["y2"] - e["y1"], f["x2"] - f["x1"], f["y2"] - f["y1"]
+        cross = F.nullif(dx * fy - dy * fx, F.lit(0.0))
+        t = ((f["x1"] - e["x1"]) * fy - (f["y1"] - e["y1"]) * fx) / cross
+        s = ((f["x1"] - e["x1"]) * dy - (f["y1"] - e["y1"]) * dx) / cross
+        return F.when((t >= 0) & (t <= 1) & (s >= 0) & (s <= 1), point(e["x1"] + t * dx, e["y1"] + t * dy))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(a, lambda e: F.transform(b, lambda f: cut(e, f)))), lambda p: p.isNotNull()))
+
+
+def line_at(line: Column, position: Column) -> Column:
+    """The point at a distance along a line of joined segments; undefined beyond its ends."""
+    seen = F.transform(line, lambda e, i: F.struct(length(F.slice(line, F.lit(1), i)).alias("from"), F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]).alias("size"), e.alias("e")))
+    own = F.get(F.filter(seen, lambda s: (position >= s["from"]) & (position <= s["from"] + s["size"])), F.lit(0))
+    f = (position - own["from"]) / F.nullif(own["size"], F.lit(0.0))
+    return F.when(own.isNotNull(), point(own["e"]["x1"] + F.coalesce(f, F.lit(0.0)) * (own["e"]["x2"] - own["e"]["x1"]), own["e"]["y1"] + F.coalesce(f, F.lit(0.0)) * (own["e"]["y2"] - own["e"]["y1"])))
+
+
+def line_locate(line: Column, p: Column) -> Column:
+    """Distance along a line of its place nearest to a point."""
+
+    def place(e: Column, i: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        size = F.hypot(dx, dy)
+        along = F.coalesce(F.least(F.greatest(((p["x"] - e["x1"]) * dx + (p["y"] - e["y1"]) * dy) / F.nullif(size * size, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        return F.struct(point_segment_distance(p, e).alias("away"), (length(F.slice(line, F.lit(1), i)) + along * size).alias("at"))
+
+    return F.array_min(F.transform(line, place))["at"]

@@ -340,3 +340,25 @@ def lcss(eps: float) -> Callable[[Column, Column], Column]:
         return pd.Series(out)
 
     return lambda a, b: F.pandas_udf(run, DoubleType())(a, b)
+
+
+def repeated(units: Column, period_seconds: object, times: int) -> Column:
+    """A periodic value: constant units, shifted by the period so many times (the first time by none)."""
+    shift = lambda t, i: F.timestamp_micros((F.unix_micros(t) + i.cast("long") * F.lit(period_seconds) * F.lit(1_000_000).cast("long")).cast("long"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda i: F.transform(units, lambda u: unit_const(shift(u["s"], i), shift(u["e"], i), u["v"], u["lc"], u["rc"]))))
+
+
+def the_period(year: int, month: int | None = None, day: int | None = None, hour: int | None = None) -> Column:
+    """The period set of one year, month, day or hour."""
+    step = "hour" if hour is not None else "day" if day is not None else "month" if month is not None else "year"
+    start = F.make_timestamp(*(F.lit(v) for v in (year, month or 1, day or 1, hour or 0, 0)), F.lit(0))
+    return F.array(F.struct(*interval(start, start + F.expr(f"INTERVAL 1 {step.upper()}"))))
+
+
+def knearest_moving(df: DataFrame, ident: str, units: str, query: Column, instants: list, k: int) -> DataFrame:
+    """instant, ident, distance, rank: the k objects nearest to a moving query point at each of the given instants."""
+    at = df.select(ident, F.col(units).alias("_u"), query.alias("_q"), F.explode(F.array(*(F.lit(t).cast("timestamp") for t in instants))).alias("instant"))
+    p, q = atinstant_point(F.col("_u"), F.col("instant")), atinstant_point(F.col("_q"), F.col("instant"))
+    placed = at.withColumn("distance", F.hypot(p["x"] - q["x"], p["y"] - q["y"])).filter("distance is not null")
+    best = Window.partitionBy("instant").orderBy("distance", ident)
+    return placed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("instant", ident, "distance", "rank")

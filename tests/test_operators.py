@@ -263,3 +263,43 @@ def test_languages(spark):
     for bad in ("select a", "from t select a", "", "select a from t last 2"):
         with pytest.raises(DialectError):
             d.run(bad)
+
+
+def test_property_graph(spark):
+    from tessera.operators.propertygraph import PatternError, PropertyGraph
+
+    graph_ = PropertyGraph()
+    graph_.add_nodes("person", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string"), "id")
+    graph_.add_edges("knows", spark.createDataFrame([(1, 2, 5), (2, 3, 1), (3, 1, 2), (2, 1, 9)], "x int, y int, w int"), "x", "person", "y", "person")
+    out = graph_.match("(a:person)-[e:knows]->(b)<-[:knows]-(c)", "a.id <> c.id and e.w > 1", ["a.name as a", "b.name as b", "c.name as c"])
+    assert sorted(rows(out)) == [("b", "a", "c"), ("c", "a", "b")]
+    assert sorted(rows(graph_.match("(a)-[:knows]->(b)-[:knows]->(a)", None, ["a.id", "b.id"]))) == [(1, 2), (2, 1)]
+    for bad in ("(a)-[:likes]->(b)", "a", "(a)-[:knows]-(b)"):
+        with pytest.raises(PatternError):
+            graph_.match(bad)
+
+
+def test_time_series(spark):
+    from tessera.operators import timeseries as ts
+
+    df = spark.createDataFrame([("k", i, 3.0 * i + 1 + (i % 2)) for i in range(20)] + [("z", 0, None)], "k string, t int, v double")
+    assert abs(ts.trend(df.filter("t % 2 = 0"), ["k"], "t", "v").filter("k = 'k'").first().slope - 3) < 1e-9
+    got = [r.smooth for r in ts.exponential_smoothing(df, ["k"], ["t"], "v", 0.5).orderBy("t").collect()]
+    want = [1.0]
+    for i in range(1, 20):
+        want.append(0.5 * (3 * i + 1 + i % 2) + 0.5 * want[-1])
+    assert all(math.isclose(a, b) for a, b in zip(got, want, strict=True))
+    line = df.filter("k = 'k'").withColumn("v", F.col("t") * 2.0)
+    assert [round(r.value, 6) for r in ts.forecast_ar(line, ["k"], ["t"], "v", 2, 3).orderBy("step").collect()] == [40, 42, 44]
+    assert {round(r.effect, 6) for r in ts.season(df.filter("k = 'k'").withColumn("v", F.col("t") % 2 * 1.0).withColumn("p", F.col("t") % 2), ["k"], "p", "v").collect()} == {-0.5, 0.5}
+    assert round(ts.autocorrelation(line, ["k"], ["t"], "v", [1]).first().r, 6) == 1
+
+
+def test_lines_and_periods(spark):
+    pts = F.array(*(g.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (4, 0), (4, 4))))
+    line, other = g.polyline(pts), g.polyline(F.array(g.point(F.lit(2.0), F.lit(-1.0)), g.point(F.lit(2.0), F.lit(1.0))))
+    t = lambda h: F.lit(dt.datetime(2024, 1, 1, h)).cast("timestamp")
+    r = one(spark, g.line_at(line, F.lit(5.0)).alias("p"), g.line_locate(line, g.point(F.lit(9.0), F.lit(3.0))).alias("at"), g.crossings(line, other).alias("x"), g.rotate(line, 0, 0, 90)[0].alias("r"), g.length(g.scale(g.translate(line, 1, 1), 2)).alias("l"),
+            m.repeated(F.array(m.unit_const(t(0), t(1), F.lit(7))), 86400, 3).alias("u"), m.the_period(2024, 2).alias("m"))
+    assert (r.p.x, r.p.y, r.at, r.l) == (4, 1, 7, 16) and [(p.x, p.y) for p in r.x] == [(2, 0)] and math.isclose(r.r.y2, 4)
+    assert [u.s.day for u in r.u] == [1, 2, 3] and (r.m[0].s, r.m[0].e) == (dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 1))
