@@ -65,28 +65,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def with_next(docs: DataFrame, carried: list[str], ranges: int = 64) -> DataFrame:
+def place_among(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above x, found in two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= x))
+    literal = lambda xs: F.array(*(F.lit(v).cast("long") for v in xs))
+    group = upto(literal([g[0] for g in groups]))
+    inner = upto(F.element_at(F.array(*map(literal, groups)), F.greatest(group, F.lit(1))))
+    return F.when(group == 0, 0).otherwise((group - 1) * size + inner)
+
+
+def with_next(docs: DataFrame, carried: list[str], ranges: int | None = None) -> DataFrame:
     """docs with next_<column> for each of carried: its value in the next row by descending doc_id; after the last comes the first.
 
     Null ids come last; rows that share a doc_id are ordered by carried. The order is global but no task sees all rows: ids are
-    cut into ranges at approximate quantiles, and each range also gets the row that comes next after its last. Needs an integer doc_id.
+    cut into ranges at approximate quantiles (four for each shuffle partition), and each range also gets the row that comes
+    next after its last. Needs an integer doc_id.
     """
     lowest = -(1 << 63)
+    ranges = ranges or min(20_000, max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)))
     at = F.col("_at")
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / ranges for i in range(1, ranges)], 20_000)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0] or []
     cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at))
-    rows = rows.withColumn("_range", place)
+    rows = rows.withColumn("_range", place_among(at, cuts))
     tops = {r._range: r.top for r in rows.groupBy("_range").agg(F.max("_at").alias("top")).collect()}
     found = sorted(tops)
-    guests = F.lit(None).cast("int")
-    for now, below in zip(found, found[-1:] + found[:-1], strict=True):
-        # the first row of each range comes after the last one of the range above
-        above = found[(found.index(now) + 1) % len(found)]
-        guests = F.when((F.col("_range") == now) & (at == F.lit(tops[now])), F.lit(above)).otherwise(guests)
+    above = dict(zip(found, found[1:] + found[:1], strict=True))  # its last row is followed by the first row of this range
+    known = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("_range") + 1)
+    span = range(len(cuts) + 1)
+    guests = F.when(known([tops.get(n) for n in span]) == at, known([above.get(n) for n in span]).cast("int"))
     both = rows.withColumn("_seat", F.explode(F.array_compact(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")), F.when(guests.isNotNull(), F.struct(guests.alias("r"), F.lit(True).alias("guest")))))))
     order = Window.partitionBy(F.col("_seat.r")).orderBy(F.col("_seat.guest"), F.col("_at").desc(), *carried)
     both = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried} | {"_more": F.lead(F.lit(1)).over(order)})
