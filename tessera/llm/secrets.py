@@ -181,17 +181,17 @@ def candidates(block: k.Block) -> np.ndarray:
     return np.unique(np.searchsorted(block.offsets, np.concatenate([found, dots]), side="right") - 1)
 
 
-def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the spans of column text, as lists of structs, to each batch."""
-    for batch in batches:
-        column = batch.column("text")
-        spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        for block in k.blocks(column):
-            for i in candidates(block):
-                at = int(block.first + i)
-                spans[at] = [{"kind": KINDS[rank], "start": a, "end": b} for a, rank, b in spans_of(column[at].as_py())]
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "secret_spans"])
+SPAN_LIST = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def spans_in(column: pa.Array) -> pa.Array:
+    """The spans of each text of a column, as lists of structs."""
+    spans: list[list[dict]] = [[] for _ in range(len(column))]
+    for block in k.blocks(column):
+        for i in candidates(block):
+            at = int(block.first + i)
+            spans[at] = [{"kind": KINDS[rank], "start": a, "end": b} for a, rank, b in spans_of(column[at].as_py())]
+    return pa.array(spans, SPAN_LIST)
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -203,8 +203,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _without_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in find(batches):
-        yield batch.select(["doc_id", "secret_spans"])
+    for batch in batches:
+        yield pa.record_batch([batch.column("doc_id"), spans_in(batch.column("text"))], ["doc_id", "secret_spans"])
 
 
 def masked(text: str, spans: list[dict], mask: str = "[SECRET]") -> str:
@@ -223,8 +223,9 @@ def redact(docs: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in find(batches):
-            spans, texts = batch.column("secret_spans"), batch.column("text")
+        for batch in batches:
+            texts = batch.column("text")
+            spans = spans_in(texts)
             hit = np.flatnonzero(np.diff(spans.offsets.to_numpy()))
             columns = {n: batch.column(n) for n in names}
             if len(hit):

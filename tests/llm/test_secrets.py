@@ -64,7 +64,7 @@ def test_query_matches_brute_force(spark, tmp_path):
 
 
 def test_redact(spark):
-    df = spark.createDataFrame([(i, t, len(t or ""), None) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, extra string")
+    df = spark.createDataFrame([(i, t, len(t or ""), None) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, secret_spans string")
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
     assert got[8].text == "x" * 200_000 + " [SECRET]" and got[8].n_chars == len(got[8].text)
     assert got[6].text is None and got[7].text == "" and JWT not in got[2].text
