@@ -8,9 +8,11 @@ from tessera.functions import geometry as g
 from tessera.functions import histograms as h
 from tessera.functions import moving as m
 from tessera.functions import regions
-from tessera.operators import distribution, graph, order, patterns, raster, relational, sketches
+from tessera.operators import distribution, graph, order, patterns, raster, relational, sketches, timeseries
+from tessera.operators.propertygraph import PropertyGraph
 from tessera.plans.registry import Registry, table
 from tessera.plans.spatial_queries import EDGE_SQL, POINT_SQL, edges, points
+from tessera.sources import tables
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -169,3 +171,58 @@ def strong_rules(spark, sf_dir):
     b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items"))
     out = graph.strong_rules(b, "items", 0.05, 0.5).filter(F.size("Antecedent") == 1)
     return out.select(c("Antecedent")[0].alias("Antecedent"), c("Consequent")[0].alias("Consequent"), F.round("Confidence", 6).alias("Confidence"))
+
+
+@R.add("intstream", "SELECT range::INT AS Elem FROM range(5, 26)")
+def intstream(spark, sf_dir):
+    return tables.intstream(spark, 5, 25)
+
+
+@R.add("realstream", "SELECT round(1 + range * 0.25, 6) AS Elem FROM range(0, 9)")
+def realstream(spark, sf_dir):
+    return tables.realstream(spark, 1.0, 3.0, 0.25).select(F.round("Elem", 6).alias("Elem"))
+
+
+@R.add("collect_box", f"SELECT min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM ({POINT_SQL})")
+def collect_box(spark, sf_dir):
+    return tables.collect_box(points(spark, sf_dir), "x", "y", "x", "y")
+
+
+@R.add("sample")
+def sample(spark, sf_dir):
+    return tables.sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, 0.01, c("o_orderkey"))
+
+
+@R.add(
+    "property_graph",
+    """SELECT c_name AS c, l_quantity AS q, s_name AS s FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+    WHERE c_nationkey = s_nationkey AND l_quantity > 48""",
+)
+def property_graph(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    p = PropertyGraph()
+    p.add_nodes("customer", t("customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+    p.add_nodes("order", t("orders").select("o_orderkey"), "o_orderkey")
+    p.add_nodes("supplier", t("supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+    p.add_edges("placed", t("orders").select("o_custkey", F.col("o_orderkey").alias("o")), "o_custkey", "customer", "o", "order")
+    p.add_edges("supplied", t("lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), "l_suppkey", "supplier", "l_orderkey", "order")
+    return p.match("(a:customer)-[:placed]->(b:order)<-[l:supplied]-(s:supplier)", "a.c_nationkey = s.s_nationkey and l.l_quantity > 48", ["a.c_name as c", "l.l_quantity as q", "s.s_name as s"])
+
+
+@R.add("trend", "SELECT event_type, round(regr_slope(value, event_id), 9) AS slope, round(regr_r2(value, event_id), 6) AS r2 FROM events GROUP BY event_type")
+def trend(spark, sf_dir):
+    out = timeseries.trend(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value")
+    return out.select("event_type", F.round("slope", 9).alias("slope"), F.round("r2", 6).alias("r2"))
+
+
+@R.add("autocorrelation", "SELECT event_type, 1 AS lag, round(corr(value, before), 6) AS r FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events) GROUP BY event_type")
+def autocorrelation(spark, sf_dir):
+    out = timeseries.autocorrelation(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "value", [1])
+    return out.select("event_type", "lag", F.round("r", 6).alias("r"))
+
+
+@R.add("line_reference", "SELECT p_partkey, round(least(p_size / 10.0, 4), 6) AS x, round(greatest(p_size / 10.0 - 4, 0), 6) AS y FROM part")
+def line_reference(spark, sf_dir):
+    line = g.polyline(F.array(*(g.point(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (4, 0), (4, 4)))))
+    p = table(spark, sf_dir, "part").select("p_partkey", g.line_at(line, c("p_size") / 10).alias("p"))
+    return p.select("p_partkey", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))

@@ -303,3 +303,28 @@ def test_lines_and_periods(spark):
             m.repeated(F.array(m.unit_const(t(0), t(1), F.lit(7))), 86400, 3).alias("u"), m.the_period(2024, 2).alias("m"))
     assert (r.p.x, r.p.y, r.at, r.l) == (4, 1, 7, 16) and [(p.x, p.y) for p in r.x] == [(2, 0)] and math.isclose(r.r.y2, 4)
     assert [u.s.day for u in r.u] == [1, 2, 3] and (r.m[0].s, r.m[0].e) == (dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 1))
+
+
+def test_tables(spark, tmp_path):
+    from tessera.sources import tables
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(200)], "i int, k int")
+    for name in ("stored_k", "stored_o"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        assert tables.consume(df, "stored_k", ["k"]).count() == 200
+        tables.clear(spark, "stored_k")
+        assert spark.table("stored_k").count() == 0
+        stored = tables.oconsume(df, "stored_o", ["k"], 4)
+        plan = stored.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and stored.count() == 200
+    finally:
+        for name in ("stored_k", "stored_o"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    assert tables.tconsume(df, "seen").count() == 200 and tables.dumpstream(df, f"{tmp_path}/dump").count() == 200
+    assert spark.read.text(f"{tmp_path}/dump").count() == 200
+    picked = tables.sample(df, 20, 0.05, F.col("i"))
+    assert 15 <= picked.count() <= 60 and rows(picked) == rows(tables.sample(df, 20, 0.05, F.col("i")))
+    assert tables.sample(df.limit(0), 20, 0.05, F.col("i")).count() == 0 and tables.realstream(spark, 1, 0, 0.5).count() == 0
+    assert [r.Elem for r in tables.realstream(spark, 0, 1, 0.5).collect()] == [0, 0.5, 1]
+    assert tables.probability_filter(df, 0.0, F.col("i")).count() == 0 and tables.probability_filter(df, 1.0, F.col("i")).count() == 200
