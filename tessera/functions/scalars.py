@@ -547,3 +547,24 @@ def grid_intersects(a: Column, b: Column, cell: Column, x0: float, y0: float, wi
     clip = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(columns - 1))
     own = F.floor((corner[1] - y0) / height) * columns + clip(F.floor((corner[0] - x0) / width)) + 1
     return rect_intersects(a, b) & (own == cell)
+
+
+@named("cellnumberZ")
+def z_order(x: Column, y: Column, bits: int = 16) -> Column:
+    """Number of a cell on the z-curve, from the lowest bits of its coordinates."""
+    out = F.lit(0).cast("long")
+    for i in range(bits):
+        bit = lambda v, i=i: F.shiftright(v.cast("long"), i).bitwiseAND(F.lit(1).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(bit(x), 2 * i)).bitwiseOR(F.shiftleft(bit(y), 2 * i + 1))
+    return out
+
+
+@named("toprightclass")
+def top_right_class(a: Column, cell: Column) -> Column:
+    """0 if a rectangle ends within the cell (another rectangle), 1 if it goes on to the right, 2 above, 3 both."""
+    return F.when(a["hi"][0] >= cell["hi"][0], 1).otherwise(0) + F.when(a["hi"][1] >= cell["hi"][1], 2).otherwise(0)
+
+
+@named("in_collection")
+def in_collection(x: Column, c: Column) -> Column:
+    return F.array_contains(c, x)

@@ -215,3 +215,89 @@ def importais(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([x for x in map(_ais, frame["value"]) if x], columns=names)
 
     return spark.read.text(path).mapInPandas(run, schema)
+
+
+# Writers for formats that are one file: rows stream through the driver in bounded memory, as such a file is written by one writer anyway
+
+
+class _Target:
+    """A file on any storage that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(bytearray(data))
+
+    def __enter__(self) -> _Target:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.stream.close()
+
+
+def _batched(parts: Iterator[bytes], target: _Target) -> None:
+    held: list[bytes] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > 1 << 20:
+            target.write(b"".join(held))
+            held, size = [], 0
+    target.write(b"".join(held))
+
+
+def db3export(df: DataFrame, path: str) -> None:
+    """dBase III: texts as C (at most 254 bytes, longer ones are an error), numbers as N, dates as D, booleans as L; null is blank."""
+    shown, fields = [], []
+    widths = df.agg(*(F.max(F.octet_length(F.col(c).cast("string"))).alias(f"_{i}") for i, c in enumerate(df.columns))).first()
+    for i, (c, t) in enumerate(df.dtypes):
+        kind = "L" if t == "boolean" else "D" if t == "date" else "N" if t in ("tinyint", "smallint", "int", "bigint", "double", "float") or t.startswith("decimal") else "C"
+        width = 1 if kind == "L" else 8 if kind == "D" else max(1, widths[i] or 1)
+        if width > 254:
+            raise ValueError(f"a text in {c} has more than 254 bytes")
+        fields.append(c.encode()[:10].ljust(11, b"\0") + kind.encode() + b"\0" * 4 + bytes([width, 0]) + b"\0" * 14)
+        text = F.when(F.col(c), "T").otherwise("F") if kind == "L" else F.date_format(c, "yyyyMMdd") if kind == "D" else F.col(c).cast("string")
+        shown.append((F.when(F.col(c).isNotNull(), text), kind, width))
+    size = 1 + sum(w for _, _, w in shown)
+
+    def record(row: tuple) -> bytes:
+        cells = ((x or "").encode() for x in row)
+        return b" " + b"".join(x.rjust(w) if kind == "N" else x.ljust(w) for x, (_, kind, w) in zip(cells, shown, strict=True))
+
+    with _Target(df.sparkSession, path) as target:
+        target.write(struct.pack("<4BIHH20x", 3, 100, 1, 1, df.count(), 32 + 32 * len(fields) + 1, size) + b"".join(fields) + b"\r")
+        _batched(map(record, df.select(*(c.alias(f"c{i}") for i, (c, _, _) in enumerate(shown))).toLocalIterator()), target)
+        target.write(b"\x1a")
+
+
+def shpexport(df: DataFrame, path: str, parts: str, kind: str) -> None:
+    """A shapefile of points, lines or regions (kind point, line or region) from a column of parts (arrays of points); null is a null shape."""
+    code = {"point": 1, "line": 3, "region": 5}[kind]
+    low_high = lambda n: (F.min(F.array_min(F.transform(F.flatten(parts), lambda p: p[n]))), F.max(F.array_max(F.transform(F.flatten(parts), lambda p: p[n]))))
+    n_points, n_parts = F.size(F.flatten(parts)), F.size(parts)
+    words = F.when(F.col(parts).isNull(), 2).otherwise(10 if code == 1 else (44 + 4 * n_parts + 16 * n_points) / 2)
+    x, y, total = low_high("x"), low_high("y"), F.sum(words + 4)
+    stats = df.agg(x[0].alias("a"), y[0].alias("b"), x[1].alias("c"), y[1].alias("d"), total.alias("n")).first()
+
+    def record(numbered: tuple[int, tuple]) -> bytes:
+        i, (shape,) = numbered
+        if shape is None:
+            body = struct.pack("<i", 0)
+        elif code == 1:
+            body = struct.pack("<i2d", 1, *shape[0][0])
+        else:
+            flat, starts, at = [p for part in shape for p in part], [], 0
+            for part in shape:
+                starts.append(at)
+                at += len(part)
+            box = (min(p[0] for p in flat), min(p[1] for p in flat), max(p[0] for p in flat), max(p[1] for p in flat))
+            body = struct.pack(f"<i4d2i{len(starts)}i", code, *box, len(starts), len(flat), *starts) + b"".join(struct.pack("<2d", *p) for p in flat)
+        return struct.pack(">2i", i, len(body) // 2) + body
+
+    with _Target(df.sparkSession, path) as target:
+        box = [stats[n] or 0.0 for n in "abcd"]
+        target.write(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + int(stats.n or 0)) + struct.pack("<2i8d", 1000, code, *box, 0, 0, 0, 0))
+        _batched(map(record, enumerate(df.select(parts).toLocalIterator(), 1)), target)

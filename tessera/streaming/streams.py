@@ -115,3 +115,33 @@ def run_bounded(df: DataFrame, mode: str = "append", timeout: int = 600) -> Data
     q = df.writeStream.outputMode(mode).foreachBatch(overwrite).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination(timeout)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def stop_after(query, seconds: float) -> bool:
+    """Wait for a query's end, but stop it after so many seconds; whether it ended by itself."""
+    ended = query.awaitTermination(int(seconds))
+    if not ended:
+        query.stop()
+    return bool(ended)
+
+
+def to_console(df: DataFrame):
+    return df.writeStream.format("console").start()
+
+
+def paced(df: DataFrame, every: str, f: Callable[[DataFrame, int], None], checkpoint: str):
+    """A batch at a fixed interval, such as a replay of a table's files."""
+    return df.writeStream.trigger(processingTime=every).foreachBatch(f).option("checkpointLocation", checkpoint).start()
+
+
+def to_socket(df: DataFrame, host: str, port: int, checkpoint: str):
+    """Rows as JSON lines to a server; each partition opens its own connection."""
+
+    def send(rows) -> None:
+        import socket
+
+        with socket.create_connection((host, port)) as s:
+            for r in rows:
+                s.sendall((r.value + "\n").encode())
+
+    return variable(df).writeStream.foreachBatch(lambda b, _: b.foreachPartition(send)).option("checkpointLocation", checkpoint).start()

@@ -230,6 +230,16 @@ def test_files(spark, tmp_path):
     assert sorted(x.value for x in spark.read.text(f"{tmp_path}/sql").collect()) == ["INSERT INTO t VALUES (1, 'it''s');", "INSERT INTO t VALUES (NULL, NULL);"]
 
 
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([("ab", 12, 1.5, True, dt.date(2024, 1, 2)), (None, None, None, None, None)], "s string, i int, x double, b boolean, d date")
+    files.db3export(df, f"{tmp_path}/o.dbf")
+    assert rows(files.dbimport(spark, f"{tmp_path}/o.dbf", "s string, i int, x double, b string, d date")) == [("ab", 12, 1.5, "T", dt.date(2024, 1, 2)), (None, None, None, None, None)]
+    shapes = spark.createDataFrame([([[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]],), (None,)], f"p array<{files.POINTS}>")
+    files.shpexport(shapes, f"{tmp_path}/o.shp", "p", "region")
+    got = sorted(files.shpimport(spark, f"{tmp_path}/o.shp").collect(), key=lambda r: r.No)
+    assert sorted(r.Kind for r in got) == ["null", "region"] and [len(x) for r in got if r.Parts for x in r.Parts] == [3, 3]
+
+
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(i, i % 3) for i in range(30)], "i int, k int").repartition(3).write.parquet(f"{tmp_path}/in")
     got = []
@@ -249,6 +259,10 @@ def test_languages(spark):
     assert q.run("query t feed count") == 3 and q.run("query t feed filter[.i > 1] sum[i]") == 5
     assert q.run("let x = t feed head[2]") is None and q.run("query x feed count") == 2
     assert q.run('query t feed filter[.s # "a"] count') == 1 and q.run("query t feed sortby[i desc] extract[s]") is None
+    assert q.run("query intstream(1, 10) feed filter[.Elem mod 2 = 0] count") == 5 and q.run("query realstream(0, 1, 0.25) count") == 5
+    assert sorted(rows(q.run("query intstream(1, 4) extend_last[d: .Elem - ..Elem]"))) == [(1, None), (2, 1), (3, 1), (4, 1)]
+    assert sorted(rows(q.run("query intstream(1, 6) slidingwindow[3, 2; s: group feed sum[Elem]]"))) == [(0, 6), (1, 12)]
+    assert q.run("query t feed isOrderedBy[i]") and q.run("query t feed some[.i = 3]")
     for bad in ("query nothing feed", "query t feed filter[", "query t feed t feed", "query t feed head[.i]", "query t feed filter[eval(1)]"):
         with pytest.raises(QueryError):
             q.run(bad)
