@@ -40,9 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+_written: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later stages survive lost executors without recomputing it."""
+    """Write df as Parquet in the shared folder and read it back: later stages survive lost executors without recomputing it.
+
+    The table stays until sweep(), as results that are still to be computed may read it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove the tables that materialise() has written in this process, once their results are stored; how many there were."""
+    n = len(_written)
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
