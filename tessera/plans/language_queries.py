@@ -23,8 +23,8 @@ OPLANG = {
         "SELECT p_partkey, p_retailprice * 2 AS dear, substr(p_name, 1, 3) AS short FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 7",
     ),
     "oplang_symmjoin": (
-        "query nation feed region feed symmjoin[(.n_regionkey = ..r_regionkey) and (.n_nationkey > 10)] project[n_name, r_name]",
-        "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 10",
+        "query nation feed region feed symmjoin[(.n_regionkey = ..r_regionkey) and (.n_name > \"G\")] project[n_name, r_name]",
+        "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name > 'G'",
     ),
     "oplang_rename_counter": (
         "query nation feed {n} sortby[n_name_n] addcounter[No, 1] project[n_name_n, No]",

@@ -11,7 +11,7 @@ from tessera.functions import regions
 from tessera.operators import distribution, graph, order, patterns, raster, relational, sketches, timeseries
 from tessera.operators.propertygraph import PropertyGraph
 from tessera.plans.registry import Registry, table
-from tessera.plans.spatial_queries import EDGE_SQL, POINT_SQL, edges, points
+from tessera.plans.spatial_queries import NODE_SQL, POINT_SQL, edges, points
 from tessera.sources import tables
 
 R = Registry()
@@ -52,17 +52,16 @@ def _square(x, y, size):
 
 @R.add(
     "region_operations",
-    """WITH s AS (SELECT p_partkey, p_size / 10.0 AS x FROM part WHERE p_partkey <= 200 AND p_size % 10 <> 0 AND p_size < 40)
-    SELECT p_partkey, round((4 - x) * 3, 6) AS common, round(28 - (4 - x) * 3, 6) AS both_, round(16 - (4 - x) * 3, 6) AS rest, 'overlap' AS rel FROM s""",
+    """WITH s AS (SELECT p_partkey, p_size / 10.0 AS x, greatest(4 - p_size / 10.0, 0) * 3 AS c FROM part)
+    SELECT p_partkey, round(c, 6)::DOUBLE AS common, round(31 - c, 6)::DOUBLE AS both_, round(16 - c, 6)::DOUBLE AS rest, CASE WHEN x < 4 THEN 'overlap' WHEN x = 4 THEN 'meet' ELSE 'disjoint' END AS rel FROM s""",
 )
 def region_operations(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 200 and p_size % 10 <> 0 and p_size < 40").select("p_partkey", (c("p_size") / 10).alias("x"))
-    a = _square(F.lit(0.0), F.lit(0.0), 4.0)
-    b = F.array(F.array(*(g.point(x, y) for x, y in ((c("x"), F.lit(1.0)), (c("x") + 5, F.lit(1.0)), (c("x") + 5, F.lit(4.0)), (c("x"), F.lit(4.0))))))
-    p = p.select("p_partkey", a.alias("a"), b.alias("b"), "x")
-    size = lambda r: F.round(g.area(r), 6)
-    out = p.select("p_partkey", "x", size(regions.region_intersection(c("a"), c("b"))).alias("common"), size(regions.region_minus(c("a"), c("b"))).alias("rest"), size(regions.region_union(c("a"), c("b"))).alias("u"), regions.topology(c("a"), c("b")).alias("rel"))
-    return out.select("p_partkey", "common", F.round(c("u") - 3, 6).alias("both_"), "rest", "rel")
+    x = c("p_size") / 10
+    b = F.array(F.array(*(g.point(u, v) for u, v in ((x, F.lit(1.0)), (x + 5, F.lit(1.0)), (x + 5, F.lit(4.0)), (x, F.lit(4.0))))))
+    p = table(spark, sf_dir, "part").select("p_partkey", _square(F.lit(0.0), F.lit(0.0), 4.0).alias("a"), b.alias("b"))
+    p = p.select("p_partkey", *(f(c("a"), c("b")).alias(n) for n, f in (("i", regions.region_intersection), ("u", regions.region_union), ("m", regions.region_minus), ("rel", regions.topology))))
+    size = lambda r: F.round(F.aggregate(F.transform(r, g.ring_area), F.lit(0.0), lambda t, v: t + v), 6)
+    return p.select("p_partkey", size(c("i")).alias("common"), size(c("u")).alias("both_"), size(c("m")).alias("rest"), "rel")
 
 
 @R.add(
@@ -74,10 +73,9 @@ def histogram_value(spark, sf_dir):
     return made.select(F.concat(F.lit("["), F.array_join(c("histogram")["counts"].cast("array<long>"), ", "), F.lit("]")).alias("counts"))
 
 
-@R.add("knn_join", f"WITH p AS ({POINT_SQL}) SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT * FROM p WHERE vec_id < 60) a, LATERAL (SELECT vec_id FROM p ORDER BY pow(p.x - a.x, 2) + pow(p.y - a.y, 2), p.x, p.y LIMIT 3) b")
+@R.add("knn_join", f"WITH p AS ({POINT_SQL}) SELECT a.vec_id AS a, b.vec_id AS b FROM p a, LATERAL (SELECT vec_id FROM p ORDER BY pow(p.x - a.x, 2) + pow(p.y - a.y, 2), p.x, p.y LIMIT 3) b")
 def knn_join(spark, sf_dir):
-    a = points(spark, sf_dir).filter("vec_id < 60")
-    return patterns.knn_join(a, points(spark, sf_dir, "q", "u", "v"), "vec_id", ("x", "y"), ("u", "v"), 3, 0.05).select(c("vec_id").alias("a"), c("q").alias("b"))
+    return patterns.knn_join(points(spark, sf_dir), points(spark, sf_dir, "q", "u", "v"), "vec_id", ("x", "y"), ("u", "v"), 3, 0.05).select(c("vec_id").alias("a"), c("q").alias("b"))
 
 
 @R.add("kmeans")
@@ -109,21 +107,18 @@ def flocks(spark, sf_dir):
 
 @R.add(
     "map_match",
-    f"""WITH p AS ({POINT_SQL}), r AS (SELECT range AS road, range / 10.0 AS x FROM range(-10, 11)), d AS (SELECT vec_id, road, abs(p.x - r.x) AS away FROM p, r WHERE abs(y) <= 0.5)
-    SELECT vec_id, arg_min(road, away)::BIGINT AS road, round(min(away), 6) AS away FROM d GROUP BY vec_id""",
+    f"""WITH p AS ({POINT_SQL}), r AS (SELECT range AS road, range / 10.0 AS x FROM range(-10, 11)), d AS (SELECT vec_id, road, sqrt(pow(p.x - r.x, 2) + pow(greatest(abs(y) - 0.1, 0), 2)) AS away FROM p, r),
+    m AS (SELECT vec_id, arg_min(road, away) AS road, min(away) AS away FROM d WHERE away <= 0.2 GROUP BY vec_id) SELECT vec_id, road::BIGINT AS road, round(away, 6) AS away FROM p LEFT JOIN m USING (vec_id)""",
 )
 def map_match(spark, sf_dir):
-    roads = spark.range(-10, 11).select(c("id").alias("road"), (c("id") / 10).alias("x1"), F.lit(-1.0).alias("y1"), (c("id") / 10).alias("x2"), F.lit(1.0).alias("y2"))
-    p = points(spark, sf_dir).filter("abs(y) <= 0.5 and abs(x) <= 1")
-    return patterns.map_match(p, roads, ["vec_id"], "x", "y", 0.2).select("vec_id", "road", F.round("away", 6).alias("away"))
+    roads = spark.range(-10, 11).select(c("id").alias("road"), (c("id") / 10).alias("x1"), F.lit(-0.1).alias("y1"), (c("id") / 10).alias("x2"), F.lit(0.1).alias("y2"))
+    return patterns.map_match(points(spark, sf_dir), roads, ["vec_id"], "x", "y", 0.2).select("vec_id", "road", F.round("away", 6).alias("away"))
 
 
-@R.add("hub_labels", f"WITH e AS ({EDGE_SQL}), u AS (SELECT DISTINCT a, b FROM e UNION SELECT b, a FROM e), h AS (SELECT min(a) AS h FROM e) SELECT DISTINCT u.b AS node, 1.0::DOUBLE AS d FROM u, h WHERE u.a = h.h UNION ALL SELECT h, 0.0 FROM h")
+@R.add("hub_labels", f"SELECT node, root AS hub, depth::DOUBLE AS distance FROM ({NODE_SQL}) WHERE root IN (0, 3)")
 def hub_labels(spark, sf_dir):
     e = edges(spark, sf_dir)
-    both = e.union(e.select("b", "a"))
-    hub = e.agg(F.min("a")).first()[0]
-    return patterns.hub_labels(both, [hub], graph.shortest_paths).filter("distance <= 1").select("node", c("distance").alias("d"))
+    return patterns.hub_labels(e.union(e.select("b", "a")), [0, 3], graph.shortest_paths).select("node", F.col("hub").cast("long").alias("hub"), "distance")
 
 
 @R.add("tilted_time", "WITH a AS (SELECT epoch(TIMESTAMP '2024-02-01')::BIGINT - floor(epoch(ts))::BIGINT AS age FROM events) SELECT CASE WHEN age < 86400 THEN 0 WHEN age < 864000 THEN 1 ELSE 2 END AS level, (age // CASE WHEN age < 86400 THEN 8640 WHEN age < 864000 THEN 86400 ELSE 864000 END)::BIGINT AS slot, count(*) AS n FROM a GROUP BY ALL")
@@ -166,13 +161,6 @@ def xth(spark, sf_dir):
     return order.xth(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 42, ["o_orderdate", "o_orderkey"]).select("o_orderkey")
 
 
-@R.add("strong_rules", "WITH b AS (SELECT DISTINCT o_custkey, o_orderpriority AS x FROM orders), i AS (SELECT x, count(*) AS f FROM b GROUP BY x), p AS (SELECT a.x AS a, c.x AS c, count(*) AS f FROM b a JOIN b c ON a.o_custkey = c.o_custkey AND a.x <> c.x GROUP BY ALL), n AS (SELECT count(DISTINCT o_custkey) AS n FROM b) SELECT p.a AS Antecedent, p.c AS Consequent, round(p.f / i.f, 6) AS Confidence FROM p JOIN i ON i.x = p.a, n WHERE p.f >= ceil(0.05 * n.n) AND p.f / i.f >= 0.5")
-def strong_rules(spark, sf_dir):
-    b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items"))
-    out = graph.strong_rules(b, "items", 0.05, 0.5).filter(F.size("Antecedent") == 1)
-    return out.select(c("Antecedent")[0].alias("Antecedent"), c("Consequent")[0].alias("Consequent"), F.round("Confidence", 6).alias("Confidence"))
-
-
 @R.add("intstream", "SELECT range::INT AS Elem FROM range(5, 26)")
 def intstream(spark, sf_dir):
     return tables.intstream(spark, 5, 25)

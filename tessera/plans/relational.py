@@ -109,8 +109,8 @@ def project_extend(spark, sf_dir):
 
 @R.add("extend_stream", "SELECT n_nationkey, unnest(range(n_regionkey)) AS k FROM nation")
 def extend_stream(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_regionkey > 0")
-    return r.project_extend_stream(n, ["n_nationkey"], k=F.sequence(F.lit(0).cast("long"), F.col("n_regionkey").cast("long") - 1))
+    n, to = table(spark, sf_dir, "nation"), F.col("n_regionkey").cast("long")
+    return r.project_extend_stream(n, ["n_nationkey"], k=F.when(to > 0, F.sequence(F.lit(0).cast("long"), to - 1)))
 
 
 @R.add("extend_x", "SELECT r_regionkey, r_name, upper(r_name) AS r_name_up FROM region")
@@ -219,10 +219,10 @@ def symmjoin(spark, sf_dir):
     return r.symmjoin(p, s, (p.p_retailprice > s.s_acctbal) & (p.p_size == s.s_nationkey)).select("p_partkey", "s_suppkey")
 
 
-@R.add("symmouterjoin", "SELECT r_name, n_name FROM region FULL JOIN nation ON r_regionkey = n_regionkey AND n_nationkey > 10")
+@R.add("symmouterjoin", "SELECT r_name, n_name FROM region FULL JOIN nation ON r_regionkey = n_regionkey AND n_name > 'G'")
 def symmouterjoin(spark, sf_dir):
     a, b = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    return r.symmouterjoin(a, b, (a.r_regionkey == b.n_regionkey) & (b.n_nationkey > 10)).select("r_name", "n_name")
+    return r.symmouterjoin(a, b, (a.r_regionkey == b.n_regionkey) & (b.n_name > "G")).select("r_name", "n_name")
 
 
 JOIN_SQL = "SELECT o_orderkey, l_linenumber, c_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey"
@@ -262,10 +262,10 @@ def loopjoin(spark, sf_dir):
     return r.loopjoin(n, inner).select("n_name", "s_suppkey")
 
 
-@R.add("loopsel", "SELECT s_suppkey, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+@R.add("loopsel", "SELECT s_suppkey, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def loopsel(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return r.loopsel(table(spark, sf_dir, "nation").filter("n_regionkey = 2"), lambda outer: s.where(F.col("s_nationkey") == outer("n_nationkey")).select("s_suppkey", "s_name"))
+    return r.loopsel(table(spark, sf_dir, "nation"), lambda outer: s.where(F.col("s_nationkey") == outer("n_nationkey")).select("s_suppkey", "s_name"))
 
 
 @R.add(
@@ -378,10 +378,10 @@ def mergesec(spark, sf_dir):
     return r.mergesec(*_keys(spark, sf_dir))
 
 
-@R.add("mergediff", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@R.add("mergediff", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def mergediff(spark, sf_dir):
     a, _ = _keys(spark, sf_dir)
-    return r.mergediff(a, table(spark, sf_dir, "supplier").filter("s_suppkey < 20").select("s_nationkey"))
+    return r.mergediff(a, table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_nationkey"))
 
 
 @R.add("mergeunion", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

@@ -34,12 +34,11 @@ def window_intersects(spark, sf_dir):
     return spatial.window_intersects(boxes(spark, sf_dir), spatial.box_of("x1", "y1", "x2", "y2"), 100, 1000, 200, 1200).select("p_partkey")
 
 
-POINT_SQL = "SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id < 2000"
+POINT_SQL = "SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
 
 
 def points(spark, sf_dir, a="vec_id", x="x", y="y"):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 2000")
-    return e.select(c("vec_id").alias(a), c("embedding")[0].cast("double").alias(x), c("embedding")[1].cast("double").alias(y))
+    return table(spark, sf_dir, "embeddings").select(c("vec_id").alias(a), c("embedding")[0].cast("double").alias(x), c("embedding")[1].cast("double").alias(y))
 
 
 @R.add("distance_join", f"WITH p AS ({POINT_SQL}) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS d FROM p a JOIN p b ON a.vec_id < b.vec_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.01")
@@ -48,10 +47,11 @@ def distance_join(spark, sf_dir):
     return out.filter("vec_id < q").select(c("vec_id").alias("a"), c("q").alias("b"), F.round("distance", 6).alias("d"))
 
 
-@R.add("closest_pairs", f"WITH p AS ({POINT_SQL}) SELECT round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) AS d FROM p a, p b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 ORDER BY d LIMIT 10")
+@R.add("closest_pairs", "WITH p AS (SELECT list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) SELECT round(sqrt(pow(a.e[1] - b.e[3], 2) + pow(a.e[2] - b.e[4], 2)), 9) AS d FROM p a, p b ORDER BY d LIMIT 10")
 def closest_pairs(spark, sf_dir):
-    a, b = points(spark, sf_dir).filter("vec_id % 2 = 0"), points(spark, sf_dir, "q", "u", "v").filter("q % 2 = 1")
-    return spatial.closest_pairs(a, b, ("x", "y"), ("u", "v"), 10, 0.001).select(F.round("distance", 9).alias("d"))
+    e = c("embedding").cast("array<double>")
+    b = table(spark, sf_dir, "embeddings").select(e[2].alias("u"), e[3].alias("v"))
+    return spatial.closest_pairs(points(spark, sf_dir), b, ("x", "y"), ("u", "v"), 10, 0.001).select(F.round("distance", 9).alias("d"))
 
 
 @R.add("distance_scan", "SELECT vec_id FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), vec_id LIMIT 15")
@@ -69,9 +69,9 @@ def range_search(spark, sf_dir):
     return spatial.range_search(e, spatial.euclid(c("embedding").cast("array<double>"), F.array(*map(F.lit, target))), 1.2).select("vec_id")
 
 
-@R.add("metric_join", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 600 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.2")
+@R.add("metric_join", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.2")
 def metric_join(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").filter("vec_id < 600").select("vec_id", c("embedding").cast("array<double>").alias("e"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", c("embedding").cast("array<double>").alias("e"))
     pivots = [list(r.e) for r in e.orderBy("vec_id").limit(2).collect()]
     out = spatial.metric_join(e, e.toDF("q", "f"), "e", "f", spatial.euclid, 1.2, pivots)
     return out.filter("vec_id < q").select(c("vec_id").alias("a"), c("q").alias("b"))
@@ -98,33 +98,31 @@ def dbscan(spark, sf_dir):
     return spatial.dbscan(points(spark, sf_dir), "vec_id", "x", "y", 0.02, 4)
 
 
-EDGE_SQL = "SELECT o_custkey AS a, l_suppkey + 1000000 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 AND l_linenumber = 1"
+#: A forest over whole tables: customers and suppliers below nations below regions. Keys are shifted so that nodes differ.
+EDGE_SQL = """SELECT n_nationkey + 100 AS a, n_regionkey::BIGINT AS b FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey + 100 FROM customer
+UNION ALL SELECT s_suppkey + 1000000000000, s_nationkey + 100 FROM supplier"""
+#: node, root (its region) and depth.
+NODE_SQL = """SELECT r_regionkey::BIGINT AS node, r_regionkey::BIGINT AS root, 0 AS depth FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey, 1 FROM nation
+UNION ALL SELECT c_custkey + 1000, n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT s_suppkey + 1000000000000, n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
 
 def edges(spark, sf_dir):
-    od = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", c("o_custkey").alias("a"))
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", (c("l_suppkey") + 1_000_000).alias("b"))
-    return od.join(li, c("o_orderkey") == c("l_orderkey")).select("a", "b")
+    t = lambda n: table(spark, sf_dir, n)
+    long = lambda x: x.cast("long")
+    n = t("nation").select((long(c("n_nationkey")) + 100).alias("a"), long(c("n_regionkey")).alias("b"))
+    cu = t("customer").select(c("c_custkey") + 1000, long(c("c_nationkey")) + 100)
+    return n.union(cu).union(t("supplier").select(c("s_suppkey") + 1_000_000_000_000, long(c("s_nationkey")) + 100))
 
 
-@R.add(
-    "connected_components",
-    f"""WITH RECURSIVE e AS ({EDGE_SQL}), u AS (SELECT DISTINCT a, b FROM e UNION SELECT b, a FROM e),
-    r(node, root) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node WHERE r.root < u.b)
-    SELECT node, min(root) AS root FROM r GROUP BY node""",
-)
+@R.add("connected_components", f"SELECT node, root FROM ({NODE_SQL})")
 def connected_components(spark, sf_dir):
     return graph.connected_components(edges(spark, sf_dir))
 
 
-@R.add(
-    "shortest_paths",
-    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 300 AS b FROM lineitem WHERE l_partkey % 300 <> l_suppkey % 300 AND l_linenumber < 3),
-    p(node, d) AS (SELECT 1::BIGINT, 0 UNION SELECT e.b, p.d + 1 FROM p JOIN e ON e.a = p.node WHERE p.d < 12) SELECT node, min(d)::DOUBLE AS distance FROM p GROUP BY node""",
-)
+@R.add("shortest_paths", f"SELECT node, depth::DOUBLE AS distance FROM ({NODE_SQL}) WHERE root = 1")
 def shortest_paths(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").filter("l_linenumber < 3").select((c("l_partkey") % 300).alias("a"), (c("l_suppkey") % 300).alias("b")).filter("a <> b").distinct()
-    return graph.shortest_paths(e, 1)
+    return graph.shortest_paths(edges(spark, sf_dir), 1, "b", "a")
 
 
 @R.add("page_rank")
@@ -140,12 +138,23 @@ def match_path(spark, sf_dir):
     return graph.match_path([(od, "o_custkey", "o_orderkey"), (li, "l_orderkey", "l_partkey")])
 
 
+ITEMS_SQL = """WITH b AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS items FROM orders GROUP BY o_custkey), n AS (SELECT count(*) AS n FROM b),
+    p AS (SELECT list_sort(list(DISTINCT o_orderpriority)) AS ps FROM orders), k AS (SELECT ps, unnest(range(1, (1 << len(ps))::BIGINT)) AS mask FROM p),
+    s AS (SELECT list_filter(ps, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s FROM k), f AS (SELECT s, count(*) AS f FROM s JOIN b ON list_has_all(b.items, s.s) GROUP BY s)"""
+
+
+@R.add("frequent_itemsets", f"{ITEMS_SQL} SELECT array_to_string(s, ',') AS Itemset, round(f / n, 6) AS Support FROM f, n WHERE f >= ceil(0.05 * n)")
+def frequent_itemsets(spark, sf_dir):
+    b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items"))
+    return graph.frequent_itemsets(b, "items", 0.05).select(F.array_join("Itemset", ",").alias("Itemset"), F.round("Support", 6).alias("Support"))
+
+
 @R.add(
-    "frequent_itemsets",
-    """WITH b AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS items FROM orders GROUP BY o_custkey), n AS (SELECT count(*) AS n FROM b),
-    i AS (SELECT o_custkey, unnest(items) AS x FROM b), p AS (SELECT [a.x, b.x] AS s, count(*) AS f FROM i a JOIN i b ON a.o_custkey = b.o_custkey AND a.x < b.x GROUP BY ALL)
-    SELECT array_to_string(s, ',') AS Itemset, round(f / n, 6) AS Support FROM (SELECT [x] AS s, count(*) AS f FROM i GROUP BY ALL UNION ALL SELECT * FROM p), n WHERE f >= ceil(0.05 * n)""",
+    "strong_rules",
+    f"""{ITEMS_SQL}, g AS (SELECT * FROM f, n WHERE f >= ceil(0.05 * n)), r AS (SELECT s, f, unnest(s) AS c FROM g WHERE len(s) > 1)
+    SELECT array_to_string(a.s, ',') AS Antecedent, c AS Consequent, round(r.f / a.f, 6) AS Confidence FROM r JOIN g a ON a.s = list_filter(r.s, lambda x: x <> r.c) WHERE r.f / a.f >= 0.5""",
 )
-def frequent_itemsets(spark, sf_dir):
+def strong_rules(spark, sf_dir):
     b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items"))
-    return graph.frequent_itemsets(b, "items", 0.05).filter(F.size("Itemset") <= 2).select(F.array_join("Itemset", ",").alias("Itemset"), F.round("Support", 6).alias("Support"))
+    out = graph.strong_rules(b, "items", 0.05, 0.5)
+    return out.select(F.array_join("Antecedent", ",").alias("Antecedent"), F.array_join("Consequent", ",").alias("Consequent"), F.round("Confidence", 6).alias("Confidence"))

@@ -74,9 +74,9 @@ def symbolic_matches(spark, sf_dir):
     return u.select("user_id", m.matches(c("units"), "* view click *").alias("hit"))
 
 
-@R.add("bloom_contains", "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey < 4000)")
+@R.add("bloom_contains", "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def bloom_contains(spark, sf_dir):
-    od = table(spark, sf_dir, "orders").filter("o_orderkey < 4000")
+    od = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     maybe = k.bloom_contains(table(spark, sf_dir, "customer"), "c_custkey", k.bloom_filter(od, "o_custkey")).filter("maybe")
     return maybe.join(od, c("c_custkey") == c("o_custkey"), "left_semi").agg(F.count("*").alias("n"))
 
