@@ -216,7 +216,11 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     step = float(np.log(1 / threshold))
     members = classes.join(regions, "rep").select("rep", "copies", "region", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int").alias("level"))
     members = materialise(members)
-    cells = members.groupBy("region", "level").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
+    # cells of bounded size; large groups get as many as spread their pairs evenly over all tasks
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_cells = F.ceil(F.col("n") / cell)
+    spread_out = F.least(F.ceil(F.col("n") * 8 / cell), F.lit(int(np.ceil(np.sqrt(4 * parts)))))
+    cells = members.groupBy("region", "level").agg(F.count("*").alias("n")).select("region", "level", F.when(F.col("n") > 4 * cell, F.greatest(n_cells, spread_out)).otherwise(n_cells).cast("int").alias("cells"))
     near = cells.filter("cells > 1").select("region", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.col("level").alias("near"), "cells")
     large = near.groupBy("region", "level").agg(F.map_from_entries(F.collect_list(F.struct("near", "cells"))).alias("sizes"))
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # members of one region come from many tasks
@@ -231,14 +235,14 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
         F.transform(upto(level + 1), lambda o: F.struct(name(level, own, level + 1, o).alias("task"), F.lit(1).alias("side"))),
         F.transform(upto(level - 1), lambda o: F.struct(name(level - 1, o, level, own).alias("task"), F.lit(2).alias("side"))),
     )
-    placed = placed.select("rep", "copies", F.explode(tasks).alias("t")).select("rep", "copies", F.xxhash64("t.task").alias("task"), "t.side")
+    placed = materialise(placed.select("rep", "copies", F.explode(tasks).alias("t")).select("rep", "copies", F.xxhash64("t.task").alias("task"), "t.side"))
     shared = placed.groupBy("task").agg(F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("b")).filter("n > 1 and (b = 0 or a < b)").select("task")
     placed = placed.join(shared, "task", "left_semi")
     wanted = placed.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
+    wanted = wanted.hint("merge")  # the same plan at every size
     texts = source.join(wanted, source["doc_id"] == wanted["rep"]).select("rep", "copies", "tasks", "text")
     sets = texts.mapInArrow(pack_sets(n), "rep long, copies long, tasks array<struct<task:long,side:int>>, set binary")
     spread = sets.select("rep", "copies", "set", F.explode("tasks").alias("t")).select("rep", "copies", "set", "t.task", "t.side")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialise(spread.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(compare(threshold), "rep long, links long, root long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
