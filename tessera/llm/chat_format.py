@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as k
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: Marks turns, escapes control strings and flags what an assistant says.
@@ -517,7 +519,7 @@ def format_conversations(turns: DataFrame, template: str = CHATML) -> DataFrame:
         [pa.int64(), pa.string(), pa.list_(span)],
         50,
     )
-    return _by_conversation(turns).mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return _by_conversation(turns).mapInArrow(k.trimmed(run), "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
 def conversation_digests(turns: DataFrame, template: str = CHATML) -> DataFrame:
@@ -529,4 +531,4 @@ def conversation_digests(turns: DataFrame, template: str = CHATML) -> DataFrame:
         ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
         [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()],
     )
-    return _by_conversation(turns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _by_conversation(turns).mapInArrow(k.trimmed(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

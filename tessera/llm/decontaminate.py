@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int = 4_000_
                         names = pa.array([index.ids[i] for _, i in best], pa.int64() if isinstance(index.ids[0], int) else pa.string())
                         yield pa.record_batch([ids.take(rows), names, pa.array(list(best.values()), pa.int32())], ["doc_id", "item_id", "matched"])
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema))
+        out = out.union(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(run), schema))
     return out
 
 
@@ -182,7 +182,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int =
                     good[block.first + overlaps(block, shared.value)[0]] = False
                 yield batch.filter(pa.array(good))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(k.trimmed(run), docs.schema)
     return docs
 
 

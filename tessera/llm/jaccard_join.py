@@ -205,7 +205,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     """doc_id, class_id (the least doc_id of its near-duplicate class), n_links, for each row of docs (doc_id, text)."""
     bands, rows = choose_bands(threshold, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(source.mapInArrow(sign(n, bands, rows), "doc_id long, size int, key binary, bands array<long>"))
+    signed = materialise(source.mapInArrow(k.trimmed(sign(n, bands, rows)), "doc_id long, size int, key binary, bands array<long>"))
     known = signed.filter("doc_id is not null and key is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.min("bands").alias("bands"))
     classes = materialise(classes)
@@ -241,9 +241,9 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     wanted = placed.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
     wanted = wanted.hint("merge")  # the same plan at every size
     texts = source.join(wanted, source["doc_id"] == wanted["rep"]).select("rep", "copies", "tasks", "text")
-    sets = texts.mapInArrow(pack_sets(n), "rep long, copies long, tasks array<struct<task:long,side:int>>, set binary")
+    sets = texts.mapInArrow(k.trimmed(pack_sets(n)), "rep long, copies long, tasks array<struct<task:long,side:int>>, set binary")
     spread = sets.select("rep", "copies", "set", F.explode("tasks").alias("t")).select("rep", "copies", "set", "t.task", "t.side")
-    found = materialise(spread.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(compare(threshold), "rep long, links long, root long"))
+    found = materialise(spread.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(k.trimmed(compare(threshold)), "rep long, links long, root long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     result = classes.select("key", "rep", "copies").join(linked, "rep", "left").join(joined, "rep", "left")

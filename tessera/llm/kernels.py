@@ -7,7 +7,8 @@ Hashes are polynomials modulo 2**64 with an odd base (so that prefix sums give a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,22 @@ BLOCK_BYTES = 1 << 20
 _BYTE_BASE, _TOKEN_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives the memory of its arrays back to the system: idle workers stay beside the next stage's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -102,7 +119,9 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES, lower: bool = False) -> It
         column = column.combine_chunks()
     if not len(column):
         return
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     first = 0

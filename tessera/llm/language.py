@@ -128,7 +128,7 @@ def fit(docs: DataFrame, quota: int = 300, landmarks: int = 128) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & ~held_out())
     rows = stratified(rows.filter(F.col("text").isNotNull()), "lang", "doc_id", quota)
-    found = rows.mapInArrow(packed, "doc_id long, lang string, bits binary").collect()
+    found = rows.mapInArrow(k.trimmed(packed), "doc_id long, lang string, bits binary").collect()
     found.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.bits)))
     bits = np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(-1, DIM // 8)
     return solve(bits, [r.lang for r in found], landmarks)
@@ -142,4 +142,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, score = model.predict(batch)
             yield pa.record_batch([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(run), "doc_id long, lang_pred string, score double")

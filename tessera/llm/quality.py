@@ -84,7 +84,7 @@ def fit(docs: DataFrame, good: DataFrame, most_good: int = 20_000, buckets: int
         at = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "bucket int, raw long, target long")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(count), "bucket int, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -100,7 +100,7 @@ def score(docs: DataFrame, model: Model, seed: int = 5) -> DataFrame:
             weights = model.log_weights(batch)
             yield pa.record_batch([batch.column("doc_id"), pa.array(weights), pa.array(weights + gumbel(batch.column("doc_id"), seed))], ["doc_id", "log_weight", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, log_weight double, key double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(run), "doc_id long, log_weight double, key double")
 
 
 def threshold(scored: DataFrame, count: int | None = None, slack: float = 10.0) -> float:
@@ -126,4 +126,4 @@ def keep(docs: DataFrame, good: DataFrame, count: int | None = None, slack: floa
             keys = model.log_weights(batch) + gumbel(batch.column("doc_id").cast(pa.int64()), seed)
             yield batch.filter(pa.array(keys >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(k.trimmed(run), docs.schema)

@@ -203,15 +203,15 @@ def repeated_runs(docs: DataFrame, width: int = 13, gram: int = 4, group: int =
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranges = max(64, 8 * tasks)
-    counts = source.mapInArrow(count_prefixes(width, gram, ranges), "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
+    counts = source.mapInArrow(k.trimmed(count_prefixes(width, gram, ranges)), "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
     parts = np.ones(ranges, np.int64)
     for r in counts.filter(F.col("n") > group).collect():
         parts[r.range] = -(-r.n // group)
-    filed = source.mapInArrow(file_suffixes(width, gram, parts), "slot long, packed binary")
+    filed = source.mapInArrow(k.trimmed(file_suffixes(width, gram, parts)), "slot long, packed binary")
     return (
         filed.repartition(tasks, "slot")
         .sortWithinPartitions("slot")
-        .mapInArrow(lambda batches: resolve(by_key(batches, "slot", "packed")), "doc_id long, first int, windows int")
+        .mapInArrow(k.trimmed(lambda batches: resolve(by_key(batches, "slot", "packed"))), "doc_id long, first int, windows int")
     )
 
 
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     of_doc = runs.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = source.join(of_doc, source["doc_id"] == of_doc["of"], "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(cut(width), "doc_id long, n_words long, n_removed long, kept binary")
+    return joined.mapInArrow(k.trimmed(cut(width)), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], width: int = 13) -> list[tuple]:

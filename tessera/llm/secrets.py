@@ -199,7 +199,7 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and its spans (kind, start, end) in column secret_spans, one row for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_without_text, f"doc_id long, secret_spans {SPANS}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(_without_text), f"doc_id long, secret_spans {SPANS}")
 
 
 def _without_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,4 +240,4 @@ def redact(docs: DataFrame) -> DataFrame:
                     columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(k.trimmed(run), schema)

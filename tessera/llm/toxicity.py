@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_chars: int =
     chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars > most_chars:
         text = stratified(text, "label", "doc_id", max(1, int(quota * most_chars / chars)))
-    found = text.select("doc_id", "label", "text").mapInArrow(present, "doc_id long, label int, features binary").collect()
+    found = text.select("doc_id", "label", "text").mapInArrow(k.trimmed(present), "doc_id long, label int, features binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.label, bytes(r.features)))
     return ftrl([(np.frombuffer(r.features, np.int32).astype(np.int64), r.label) for r in found])
 
@@ -118,4 +118,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array(model.scores(batch))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(run), "doc_id long, score double")
