@@ -157,25 +157,23 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(base_spans(text or "") + structural_spans(text or ""), key=lambda s: (s[0], s[1], s[2]))
 
 
-def _runs(data: np.ndarray, classes: np.ndarray, least: int) -> np.ndarray:
-    """Offsets of runs of a class of at least so many bytes."""
-    edge = np.flatnonzero(np.diff(classes[data], prepend=0, append=0))
-    if data.size == 0 or len(edge) == 0:
-        return edge[:0]
-    at = edge.reshape(-1, 2)
-    return at[at[:, 1] - at[:, 0] >= least, 0]
+def _runs(block: k.Block, classes: np.ndarray, least: int) -> np.ndarray:
+    """Offsets of runs of a class of at least so many bytes; a row's end also ends a run."""
+    runs = k.tokenise(block, classes)
+    return runs.start[runs.end - runs.start >= least]
 
 
 def candidates(block: k.Block) -> np.ndarray:
-    """Rows of a block that may hold a span: a run of 16 hex digits, of 18 bytes with an access mark, of 24 token bytes, or an assignment."""
+    """Rows of a block that may hold a span: a run of 16 hex digits or of 40 token bytes, an assignment, a dot within a token, or a mark."""
     data, rows = block.data, [np.empty(0, np.int64)]
     if not data.size:
         return rows[0]
     whole = data.tobytes()
-    hits = [_runs(data, _HEX_BYTES, 16), _runs(data, _B64_BYTES, 40)]
+    hits = [_runs(block, _HEX_BYTES, 16), _runs(block, _B64_BYTES, 40)]
     hits += [np.flatnonzero((data == 61) | (data == 58))]
     for mark in (b"AKIA", b"-----BEGIN", b"eyJ", b"ewo", b"eyA", b"ewk"):
-        hits.append(np.array([m.start() for m in re.finditer(mark, whole)], np.int64))
+        # looked ahead for, so that one over a row's end doesn't hide one that begins within it
+        hits.append(np.array([m.start() for m in re.finditer(b"(?=" + mark + b")", whole)], np.int64))
     found = np.concatenate(hits)
     dots = np.flatnonzero((data[1:-1] == 46) & (_B64_BYTES[data[:-2]] == 1) & (_B64_BYTES[data[2:]] == 1))
     return np.unique(np.searchsorted(block.offsets, np.concatenate([found, dots]), side="right") - 1)

@@ -3,6 +3,7 @@ import hashlib
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import query_secrets, secrets
@@ -63,6 +64,18 @@ def test_query_matches_brute_force(spark, tmp_path):
         assert set(want) <= set(got[i].spans.split(",")) | {""}
 
 
+def test_rows_after_one_another():
+    digest, key = hashlib.sha256(b"1").hexdigest(), B64(KEY).rstrip("=")
+    texts = ["see a", digest, digest[:16], digest[:48], "see x.", key, key, "B", key, KEY.hex().upper(), KEY.hex().upper(), "AK", "IAKIAABCDEFGHIJKLMN", None, "", digest, "-----", TEXTS[3], "AKIA", "AKIAABCDEFGHIJKLMN", "é", digest]
+    names = [[(secrets.KINDS[r], a, b) for a, r, b in secrets.spans_of(t)] for t in texts]
+    assert [bool(x) for x in names] == [i not in (0, 4, 7, 11, 13, 14, 16, 18, 20) for i in range(len(texts))]
+    for order in (texts, texts[::-1]):
+        got = [[(s["kind"], s["start"], s["end"]) for s in row] for row in secrets.spans_in(pa.array(order, pa.string())).to_pylist()]
+        assert got == (names if order is texts else names[::-1])
+    rows = [x + y for x in (digest, key) for y in ("", "")] + ["a.", "x", digest[:16]]
+    assert all(secrets.spans_in(pa.array([last, row], pa.string())).to_pylist()[1] for last in ("a", "f", "Z", ".", "0", "=") for row in rows if len(row) > 2)
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(i, t, len(t or ""), None) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, secret_spans string")
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
