@@ -5,7 +5,7 @@ node is internal with a leaf of a smaller document. The tree is never built as a
 
 * Prefixes. Every window is filed under the smallest hash among its grams of `gram` words, a prefix of the suffix that starts
   at that gram. The choice depends only on the window's words, so equal windows share it, and consecutive windows share it
-  too, so a run of them is stored once with one prefix (a sparse suffix tree: about 2 suffixes in `width - gram + 2` words).
+  too, so a run of them is filed together (a sparse suffix tree: about 2 suffixes in `width - gram + 2` words).
 * Groups. A first pass counts the windows below each range of prefix hashes. A range with more than `group` windows is
   extended: its suffixes go on to be split by their whole paths, into as many groups as keep each below that size. So groups fit
   into memory however common a prefix is, and each group's subtree is built alone from sorted paths.
@@ -15,7 +15,7 @@ node is internal with a leaf of a smaller document. The tree is never built as a
 Before anything is shuffled each block of documents resolves its own repeats, so a passage in a third of all documents
 reaches its slot once per block and not once per document.
 
-Paths are compared by 64-bit hashes within a slot. Rows without doc_id keep all their words and remove nothing elsewhere.
+Paths are compared by 64-bit hashes of their words within a slot. Rows without doc_id keep all their words and remove nothing elsewhere.
 Rows that repeat a doc_id are one document to each other: they don't remove one another's words. Null text: no words.
 """
 
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
 
-PATH_BYTES = 5
-
 
 def runs_of(flags: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of maximal runs of set flags over which the given arrays don't change."""
@@ -93,7 +91,7 @@ def count_prefixes(width: int, gram: int, ranges: int):
 
 
 def file_suffixes(width: int, gram: int, parts: np.ndarray):
-    """Map documents to one packed row for each group and block: suffix runs under their prefixes, and what the block removed.
+    """Map documents to one packed row for each group and block: suffix runs with their paths, and what the block removed.
 
     parts: into how many groups each range of prefixes is split.
     """
@@ -110,7 +108,7 @@ def file_suffixes(width: int, gram: int, parts: np.ndarray):
                 here[whole] = later(path[whole], doc_ids[row[whole]])
                 ranges = range_of(prefix, len(parts))
                 group = base[ranges] + ((path >> np.uint64(33)).astype(np.int64) % parts[ranges])
-                at, count = runs_of(whole & ~here, row, prefix, group)
+                at, count = runs_of(whole & ~here, row, group)
                 gone, gone_count = runs_of(here, row)
                 slot = group[at]
                 gone_slot = doc_ids[row[gone]] % slots
@@ -124,21 +122,19 @@ def file_suffixes(width: int, gram: int, parts: np.ndarray):
                     s, n, g = at[a:b], count[a:b], gone[c:d]
                     docs, index = np.unique(np.concatenate([row[s], row[g]]), return_inverse=True)
                     inner = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    bytes_ = np.ascontiguousarray(path[inner]).view(np.uint8).reshape(-1, 8)[:, :PATH_BYTES]
                     packed.append(
                         b"".join(
                             x.tobytes()
                             for x in (
                                 np.array([len(docs), len(s), len(g)], np.int64),
                                 doc_ids[docs].astype(np.int64),
-                                prefix[s],
                                 index[: len(s)].astype(np.uint32),
                                 start[s].astype(np.uint32),
                                 n.astype(np.uint32),
                                 index[len(s) :].astype(np.uint32),
                                 start[g].astype(np.uint32),
                                 gone_count[c:d].astype(np.uint32),
-                                bytes_,
+                                path[inner],
                             )
                         )
                     )
@@ -150,23 +146,20 @@ def file_suffixes(width: int, gram: int, parts: np.ndarray):
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n_docs, n, g = np.frombuffer(blob, np.int64, 3)
     at, out = 24, []
-    for count, kind in ((n_docs, np.int64), (n, np.uint64), (n, np.uint32), (n, np.uint32), (n, np.uint32), (g, np.uint32), (g, np.uint32), (g, np.uint32)):
+    for count, kind in ((n_docs, np.int64), (n, np.uint32), (n, np.uint32), (n, np.uint32), (g, np.uint32), (g, np.uint32), (g, np.uint32)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
-    paths = np.frombuffer(blob, np.uint8, -1, at).reshape(-1, PATH_BYTES)
-    docs, prefix, doc, start, count, gone_doc, gone_start, gone_count = out
-    return prefix, docs[doc], start, count, docs[gone_doc], gone_start, gone_count, paths
+    paths = np.frombuffer(blob, np.uint64, int(out[3].sum()), at)
+    docs, doc, start, count, gone_doc, gone_start, gone_count = out
+    return docs[doc], start, count, docs[gone_doc], gone_start, gone_count, paths
 
 
 def resolve(slots: Iterator[tuple[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
     """For each slot its removed runs (doc_id, first window, windows)."""
     for _, blobs in slots:
-        prefix, doc, start, count, gone_doc, gone_start, gone_count, paths = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+        doc, start, count, gone_doc, gone_start, gone_count, paths = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
         n = count.astype(np.int64)
-        wide = np.zeros((len(paths), 8), np.uint8)
-        wide[:, :PATH_BYTES] = paths
-        keys = k.mix(wide.reshape(-1).view(np.uint64) ^ k.mix(np.repeat(prefix, n)))
-        out = later(keys, np.repeat(doc, n))
+        out = later(paths, np.repeat(doc, n))
         run = np.repeat(np.arange(len(n)), n)
         at, length = runs_of(out, run)
         first = (start[run[at]] + at - (np.cumsum(n) - n)[run[at]]) if len(at) else at

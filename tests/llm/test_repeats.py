@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import repeats
@@ -30,3 +32,19 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_paths_are_compared_by_all_bits(monkeypatch):
+    """Windows under one prefix whose hashes differ in a single bit aren't equal, whichever bit it is."""
+    whole = repeats.k.window_hashes
+    texts = [" ".join(f"w{i}" for i in range(13))] * 64
+
+    def removed(fake):
+        monkeypatch.setattr(repeats.k, "window_hashes", fake)
+        file = repeats.file_suffixes(13, 4, np.ones(1, np.int64))
+        blobs = [b for i, t in enumerate(texts) for out in file([pa.record_batch([pa.array([i], pa.int64()), pa.array([t])], ["doc_id", "text"])]) for b in out.column("packed").to_pylist()]
+        return [r for out in repeats.resolve([(0, blobs)]) for r in out.to_pylist()]
+
+    assert len(removed(whole)) == 63
+    turn = iter(range(64))
+    assert removed(lambda hashes, n: whole(hashes, n) if n == 4 else np.array([1 << next(turn)], np.uint64)) == []
