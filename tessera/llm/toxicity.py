@@ -4,8 +4,8 @@ Features are the presence of a text's words, of its pairs of neighbours and of i
 `2 ** bits`. Per-coordinate learning rates and an L1 term leave a few weights other than 0; only those are sent to the executors,
 so what is broadcast is bounded by the model and not by the data.
 
-The model is fitted on a bounded sample: about `quota` labelled documents of each class and at most about `most_chars`
-characters of text. Null or empty texts have no feature and get the score of the bias. Without labels of both classes all scores are next to 0.
+The model is fitted on a bounded sample: about `quota` labelled documents of each class and at most `most_chars` characters of
+text, of which a class that needs less than its half keeps all its documents (one document of each class stays at any length). Null or empty texts have no feature and get the score of the bias. Without labels of both classes all scores are next to 0.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.sampling import held_out, stratified
+from tessera.llm.sampling import held_out, place, stratified
 
 BITS = 20
 
@@ -93,6 +93,25 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float
     return Model(index, all_w[index].astype(np.float32), float(all_w[size]))
 
 
+def fitting(rows: list[tuple[int, int, int, int]], most_chars: int) -> list[tuple[int, int]]:
+    """(doc_id, label) of the (doc_id, label, place, chars) that fit into most_chars together, by place and at least one of each label.
+
+    The label with the fewest characters comes first; each may have an equal share of what is left.
+    """
+    of: dict[int, list] = {}
+    for doc_id, label, at, chars in rows:
+        of.setdefault(label, []).append((at, doc_id, chars))
+    out, left, waiting = [], most_chars, len(of)
+    for label in sorted(of, key=lambda x: (sum(c for _, _, c in of[x]), x)):
+        share, used, waiting = left // waiting, 0, waiting - 1
+        for i, (_, doc_id, chars) in enumerate(sorted(of[label])):
+            if i == 0 or used + chars <= share:
+                out.append((doc_id, label))
+                used += chars
+        left = max(0, left - used)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_chars: int = 40_000_000) -> Model:
     """The model from labels (doc_id, toxic) of documents that aren't held out."""
     spark = docs.sparkSession
@@ -103,9 +122,10 @@ def fit(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_chars: int =
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), -1000.0)
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))  # about 2 * quota rows
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    chars = text.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > most_chars:
-        text = stratified(text, "label", "doc_id", max(1, int(quota * most_chars / chars)))
+    sizes = text.groupBy("doc_id", "label").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).select("doc_id", "label", place(F.col("doc_id")).alias("at"), "chars").collect()
+    if sum(r.chars for r in sizes) > most_chars:
+        within = F.broadcast(spark.createDataFrame(fitting(list(map(tuple, sizes)), most_chars), "doc_id long, label int"))
+        text = text.join(within, ["doc_id", "label"])
     found = text.select("doc_id", "label", "text").mapInArrow(k.trimmed(present), "doc_id long, label int, features binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.label, bytes(r.features)))
     return ftrl([(np.frombuffer(r.features, np.int32).astype(np.int64), r.label) for r in found])

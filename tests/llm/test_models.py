@@ -111,3 +111,21 @@ def test_toxicity_odd_rows(spark, odd):
     assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
     none = toxicity.fit(odd, labels.limit(0))
     assert max(r.score for r in toxicity.score(odd, none).collect()) < 1e-9 and toxicity.score(odd.limit(0), none).collect() == []
+
+
+@pytest.mark.parametrize("n_toxic", [150, 15])
+def test_toxicity_bounded_sample(spark, monkeypatch, n_toxic):
+    """The bound on characters holds, the frequent class is thinned, and a rare one keeps what its half can hold."""
+    rows = [(i, f"{i:0100d}", int(i < n_toxic)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda examples: seen.extend(y for _, y in examples))
+    toxicity.fit(df, df.select("doc_id", "toxic"), quota=100, most_chars=10_000)
+    learnt = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(n_toxic))
+    assert 90 <= len(seen) <= 100 and seen.count(1) == min(50, learnt)
+
+
+def test_toxicity_long_documents():
+    rows = [(1, 1, 5, 900), (2, 1, 6, 10), (3, 0, 1, 40), (4, 0, 2, 70), (5, 0, 3, 30), (6, 1, 9, 1)]
+    assert sorted(toxicity.fitting(rows, 100)) == [(1, 1), (3, 0)] and sorted(toxicity.fitting(rows, 2000)) == sorted((d, y) for d, y, _, _ in rows)
+    assert toxicity.fitting([], 5) == []
