@@ -5,8 +5,9 @@ differ. Seeds of benchmark items are joined with those of the documents. Every h
 document at an offset), and the diagonal is verified token by token: an item is found where some `window` consecutive tokens of
 it agree in at least `share` of their places.
 
-Tokens are runs of word characters, lower case. Items of fewer than `least` tokens are never looked for; those shorter than the longest mask
-are looked for as a whole, without substitutions. Null texts have no tokens.
+Tokens are runs of word characters, lower case. Items of fewer than `least` tokens are not looked for (least=1: all are). Where a
+window is shorter than `SHORT` tokens, as in a shorter item, the three masks would miss some of the substitutions that `share` allows;
+masks made for its length then leave out every such set of places. Null texts have no tokens.
 
 The benchmark side is sent to the executors in parts of at most `part_chars` characters of text, whatever its size: a
 benchmark that is larger is searched part by part, each in a pass of its own. Documents are never shuffled.
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,31 @@ from tessera.llm import kernels as k
 
 #: 1 keeps a token, 0 ignores it.
 MASKS = ("111010011", "1100101011", "10110111")
+#: From this length on, a window with two substitutions has a seed of MASKS that they leave whole, wherever they are.
+SHORT, WEIGHT = 12, 4
 
 
 def offsets_of(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+@cache
+def short_masks(n: int, changed: int) -> tuple[tuple[str, int], ...]:
+    """Masks of n places, each with where it begins, so that any `changed` places are ignored by one of them together.
+
+    The places are dealt to groups, and each mask ignores some groups: as few groups as leave WEIGHT tokens in every mask.
+    """
+    for groups in range(changed + 1, n + 1):
+        parts = np.array_split(np.arange(n), groups)
+        if n - sum(map(len, parts[:changed])) >= min(WEIGHT, n - changed):  # the first ones are the largest
+            break
+    out = []
+    for gone in combinations(parts, changed):
+        mask = "".join("01"[all(i not in g for g in gone)] for i in range(n))
+        out.append((mask.strip("0"), mask.index("1")))
+    return tuple(out)
+
+
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The seed at every position at which the mask fits; seeds of different masks differ."""
     n = len(hashes) - len(mask) + 1
@@ -61,7 +83,6 @@ class Index:
 
 def build(items: list[tuple[object, str | None]], window: int = 13, share: float = 0.8, least: int = 5) -> Index:
     """The index of (id, text) items."""
-    longest = max(map(len, MASKS))
     parts, bounds = [], [0]
     for block in k.blocks(pa.array([t for _, t in items], pa.string()), lower=True):
         tokens = k.tokenise(block, k.WORDS)
@@ -69,17 +90,22 @@ def build(items: list[tuple[object, str | None]], window: int = 13, share: float
         bounds += (bounds[-1] + tokens.bounds[1:]).tolist()
     all_tokens, edges = np.concatenate([np.empty(0, np.uint64), *parts]), np.array(bounds, np.int64)
     sizes = np.diff(edges)
-    owner, masks, found = np.repeat(np.arange(len(sizes)), sizes), list(MASKS), []
-    whole = [n for n in range(least, longest) if (sizes == n).any()]
-    for mask in [*MASKS, *("1" * n for n in whole)]:
+    owner, found = np.repeat(np.arange(len(sizes)), sizes), []
+    spot, width = np.arange(len(owner)) - edges[owner], np.minimum(window, sizes)[owner]
+    wanted: dict[str, list[tuple[int, int]]] = {m: [] for m in MASKS}
+    for w in np.unique(width[(sizes[owner] >= least) & (width < SHORT)]).tolist():
+        for mask, begin in short_masks(w, w - int(np.ceil(share * w - 1e-9))):
+            wanted.setdefault(mask, []).append((w, begin))
+    for mask, short in wanted.items():
         at = seeds(all_tokens, mask)
-        fits = owner[: len(at)] == owner[len(mask) - 1 :] if len(at) else np.empty(0, bool)
-        size = sizes[owner[: len(at)]]
-        fits &= size >= longest if mask in MASKS else size == len(mask)
-        if mask not in MASKS:
-            masks.append(mask)
-        p = np.flatnonzero(fits)
-        found.append((at[p], owner[p], p - edges[owner[p]]))
+        n = len(at)
+        fits = (owner[:n] == owner[len(mask) - 1 :]) & (sizes[owner[:n]] >= least) if n else np.empty(0, bool)
+        good = fits & (width[:n] >= SHORT) & (mask in MASKS)
+        for w, begin in short:  # a window begins `begin` places before and ends in the item
+            good |= fits & (width[:n] == w) & (spot[:n] >= begin) & (spot[:n] - begin + w <= sizes[owner[:n]])
+        p = np.flatnonzero(good)
+        found.append((at[p], owner[p], spot[p]))
+    masks = list(wanted)
     keys, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(keys, kind="stable")
     keys, item, place = keys[order], item[order], place[order]

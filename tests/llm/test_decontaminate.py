@@ -1,6 +1,10 @@
 import random
+from itertools import combinations
+
+import pyarrow as pa
 
 from tessera.llm import decontaminate as d
+from tessera.llm import query_decontaminate
 
 
 def case(rng):
@@ -36,3 +40,36 @@ def test_empty(spark):
     assert d.contaminated(docs, bench).collect() == [] and d.remove_contaminated(docs, bench).collect() == []
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert d.contaminated(docs, some).collect() == []
+
+
+def found(texts, items, **options):
+    from tessera.llm import kernels as k
+
+    (block,) = k.blocks(pa.array(texts), lower=True)
+    row, item, _ = d.overlaps(block, d.build(list(enumerate(items)), **options))
+    return set(zip(row.tolist(), item.tolist(), strict=True))
+
+
+def test_short_items_with_every_substitution():
+    for n in range(1, 15):
+        words, texts = [f"w{i}" for i in range(n)], []
+        for changed in (0, 1, 2, 3):
+            texts += [" ".join(["before", *("x" if i in gone else w for i, w in enumerate(words)), "after"]) for gone in combinations(range(n), changed)]
+        texts += [" ".join(words[a:b]) for a in range(3) for b in range(n - 2, n + 1)]
+        items = [" ".join(words)]
+        assert found(texts, items, least=1) == d.brute_force(texts, items), n
+        assert found(texts, items) == (d.brute_force(texts, items) if n >= 5 else set()), n
+
+
+def test_short_windows():
+    rng = random.Random(2)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5, 6, 9, 10, 11, 12, 20)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(40)]
+    for window, share in ((7, 0.8), (11, 0.8), (11, 1.0), (10, 0.7), (13, 0.8)):
+        assert found(texts, items, window=window, share=share) == d.brute_force(texts, items, window, share), (window, share)
+
+
+def test_query_finds_items_of_any_length(spark, tmp_path):
+    spark.createDataFrame([(1, "He said: open sesame!"), (2, "open the sesame"), (3, "one two three x five six")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Open Sesame"), (8, "one two three four five"), (9, "sesame"), (10, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r.doc_id, r["items"]) for r in query_decontaminate.op5(spark, str(tmp_path)).collect()) == [(1, "7,9"), (2, "9"), (3, "8")]
