@@ -254,10 +254,16 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
 
 
 def keep_first(docs: DataFrame, **options: object) -> DataFrame:
-    """One row of each near-duplicate class, that of the least doc_id, with all columns of docs; rows without doc_id all stay."""
-    losers = join(docs, **options).filter("class_id <> doc_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(losers, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).union(docs.filter("doc_id is null"))
+    """One row of each near-duplicate class, that of the least doc_id, with all columns of docs; rows without doc_id all stay.
+
+    A node is a doc_id with its text: of different texts under one doc_id each is judged for itself, and rows that repeat both are one.
+    """
+    known = docs.filter("doc_id is not null").withColumn("_node", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    found = join(known.select(F.col("_node").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_node"), "class_id").distinct()
+    ids = known.select("_node", F.col("doc_id").cast("long").alias("id")).distinct()
+    firsts = ids.join(found, "_node").groupBy("class_id").agg(F.min(F.struct("id", "_node")).alias("first")).select("first._node")
+    kept = known.join(firsts, "_node", "left_semi").dropDuplicates(["_node"])
+    return kept.select(docs.columns).union(docs.filter("doc_id is null"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int = 5, threshold: float = 0.8) -> list[tuple[int, int, int]]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join as j
 from tessera.llm.components import components
@@ -47,6 +48,16 @@ def test_odd_rows(spark):
     assert j.join(df.limit(0)).collect() == [] and j.keep_first(df.limit(0)).collect() == []
 
 
+def test_keep_first_with_texts_under_one_id(spark):
+    text = lambda name, *more: " ".join([f"{name}{i}" for i in range(60)] + list(more))
+    rows = [(5, text("a")), (5, text("b")), (5, text("b")), (3, text("a", "end")), (7, text("b", "end")), (5, ""), (5, None), (2, text("c")), (2, text("c", "end"))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    for order in (df, df.orderBy(F.desc("text"))):
+        kept = j.keep_first(order)
+        got = sorted((r.doc_id, (r.text or "")[:1]) for r in kept.collect())
+        assert kept.columns == df.columns and got == [(2, "c"), (3, "a"), (5, ""), (5, "b")]
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(2001, 2100)]
