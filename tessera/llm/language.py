@@ -5,7 +5,8 @@ cells; the kernel of two texts is the cosine of their sets. Training texts are m
 column of coefficients for each language. Blocks of texts are scored by two matrix products: sets by landmarks, and
 kernel values by coefficients. Texts are read whole.
 
-Learnt from a bounded sample: about `quota` documents of each language, and `landmarks` of them. Only their packed sets (DIM bits each)
+Learnt from a bounded sample: about `quota` documents of each language, and `landmarks` of them. Only the 256 most frequent
+languages are learnt (see stratified()); documents in any other get one of those. Only their packed sets (DIM bits each)
 reach the driver.
 
 A null text or one without a letter is `und` with the score 0; so is every text if no language can be learnt.
