@@ -2,7 +2,7 @@
 
 1. Signatures. Each text becomes its set of hashed `n`-word shingles (a text of fewer words is one shingle, a text without
    words has none and joins nothing), a MinHash signature and band hashes. Bands and rows are chosen for a target recall at the threshold.
-2. Classes. Texts with equal sets are one class with one representative, the least doc_id; all later work is on representatives.
+2. Classes. Texts with equal sets are one class with one representative, its least row; all later work is on representatives.
 3. Candidates. Band hashes are shuffled; each band bucket links its members to its least one, so a bucket of any size
    gives no more rows than it has members. Components of these links are regions that hold every candidate pair.
 4. Verification. Regions are cut by set length (similar sets are in the same or in neighbouring length classes) and, where they are
@@ -13,8 +13,8 @@
 Links are counted between documents: a document has a link to each other one with a similarity of at least the threshold, copies
 included. Pairs of distinct sets in a region are all compared, also those that share no band.
 
-Rows without doc_id are given back with a null class and no links. Rows that repeat a doc_id are the same node, and
-each counts as a copy.
+Rows without doc_id are given back with a null class and no links. Every other row is judged by its own text: rows that repeat a doc_id and
+its text count as copies of one another, rows of one doc_id with different texts have the classes and links of these texts.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import kernels as k
 from tessera.llm.components import components
+from tessera.llm.repeats import keyed
 from tessera.session import materialise
 
 CELL, SALTS = 256, 64
@@ -65,7 +67,7 @@ def shingles(block: k.Block, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign(n: int, bands: int, rows: int):
-    """Map doc_id, text to doc_id, size of the set, key (128 bits of the set), bands (longs)."""
+    """Map doc_id, text, row_hash to doc_id, row_hash, size of the set, key (128 bits of the set), bands (longs)."""
     factors = (k.seeded(bands * rows, 1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     terms = (k.seeded(bands * rows, 2) >> np.uint64(32)).astype(np.uint32)
 
@@ -91,16 +93,17 @@ def sign(n: int, bands: int, rows: int):
                 spread_bands = pa.array(band.T.reshape(-1).view(np.int64))
                 at = np.zeros(len(size) + 1, np.int32)
                 at[1:] = np.cumsum((size > 0) * bands)
-                own = batch.column("doc_id").slice(block.first, block.last - block.first)
+                own = [batch.column(c).slice(block.first, block.last - block.first) for c in ("doc_id", "row_hash")]
                 yield pa.record_batch(
-                    [own, pa.array(size, pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), spread_bands)], ["doc_id", "size", "key", "bands"]
+                    [*own, pa.array(size, pa.int32()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), spread_bands)],
+                    ["doc_id", "row_hash", "size", "key", "bands"],
                 )
 
     return run
 
 
 def pack_sets(n: int):
-    """Map rep, text and cell columns to the same with the packed set instead of the text."""
+    """Map node, text and cell columns to the same with the packed set instead of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +150,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
 
 
 def compare(threshold: float):
-    """Map rows sorted by task to rep, links (documents linked), root (least representative linked within the task)."""
+    """Map rows sorted by task to node, links (documents linked), root (least node linked within the task)."""
 
     def flush(rows: list[tuple]) -> tuple[list, list, list]:
         reps = np.array([r for r, _, _, _ in rows], np.int64)
@@ -180,10 +183,10 @@ def compare(threshold: float):
         now, rows, out = None, [], ([], [], [])
 
         def batch_of(out: tuple) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x, pa.int64()) for x in out], ["rep", "links", "root"])
+            return pa.record_batch([pa.array(x, pa.int64()) for x in out], ["node", "links", "root"])
 
         for batch in batches:
-            for task, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "rep", "side", "copies", "set")), strict=True):
+            for task, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "side", "copies", "set")), strict=True):
                 if task != now:
                     if len(rows) > 1:
                         for x, y in zip(out, flush(rows), strict=True):
@@ -201,20 +204,21 @@ def compare(threshold: float):
     return run
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, cell: int = CELL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its near-duplicate class), n_links, for each row of docs (doc_id, text)."""
+def linked_rows(docs: DataFrame, n: int, threshold: float, recall: float, cell: int) -> DataFrame:
+    """doc_id, row_hash, first (struct doc_id, row_hash: the least row of its near-duplicate class), n_links for each row of docs that has an id and text, else nulls."""
     bands, rows = choose_bands(threshold, recall)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(source.mapInArrow(k.trimmed(sign(n, bands, rows)), "doc_id long, size int, key binary, bands array<long>"))
+    source = keyed(docs)
+    signed = source.mapInArrow(k.trimmed(sign(n, bands, rows)), "doc_id long, row_hash long, size int, key binary, bands array<long>")
+    signed = materialise(signed)
     known = signed.filter("doc_id is not null and key is not null")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.min("bands").alias("bands"))
-    classes = materialise(classes)
-    flat = classes.select("rep", F.explode("bands").alias("band"))
-    least = flat.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least")
-    star = flat.join(least, "band").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    regions = materialise(components(star).withColumnsRenamed({"node": "rep", "root": "region"}))
+    classes = known.groupBy("key").agg(F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.min("bands").alias("bands"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))  # as written: a class keeps its number
+    flat = classes.select("node", F.explode("bands").alias("band"))
+    least = flat.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least")
+    star = flat.join(least, "band").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    regions = materialise(components(star).withColumnRenamed("root", "region"))
     step = float(np.log(1 / threshold))
-    members = classes.join(regions, "rep").select("rep", "copies", "region", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int").alias("level"))
+    members = classes.join(regions, "node").select("node", "rep", "copies", "region", F.floor(F.log(F.col("size").cast("double")) / step + 1e-9).cast("int").alias("level"))
     members = materialise(members)
     # cells of bounded size; large groups get as many as spread their pairs evenly over all tasks
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -224,9 +228,9 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     near = cells.filter("cells > 1").select("region", F.explode(F.array(F.col("level") - 1, "level", F.col("level") + 1)).alias("level"), F.col("level").alias("near"), "cells")
     large = near.groupBy("region", "level").agg(F.map_from_entries(F.collect_list(F.struct("near", "cells"))).alias("sizes"))
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # members of one region come from many tasks
-    placed = members.withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "rep"), F.lit(SALTS)).cast("int")).join(large, ["region", "level", "salt"], "left")
+    placed = members.withColumn("salt", F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(SALTS)).cast("int")).join(large, ["region", "level", "salt"], "left")
     own_cells = F.coalesce(F.element_at("sizes", F.col("level")), F.lit(1))
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("rep"), own_cells).cast("int"))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("node"), own_cells).cast("int"))
     name = lambda lo_level, lo, hi_level, hi: F.struct("region", lo_level.alias("l"), lo.alias("c"), hi_level.alias("m"), hi.alias("d"))
     level, own = F.col("level"), F.col("cell")
     upto = lambda x: F.sequence(F.lit(0), F.coalesce(F.element_at("sizes", x), F.lit(1)) - 1)
@@ -235,57 +239,42 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
         F.transform(upto(level + 1), lambda o: F.struct(name(level, own, level + 1, o).alias("task"), F.lit(1).alias("side"))),
         F.transform(upto(level - 1), lambda o: F.struct(name(level - 1, o, level, own).alias("task"), F.lit(2).alias("side"))),
     )
-    placed = materialise(placed.select("rep", "copies", F.explode(tasks).alias("t")).select("rep", "copies", F.xxhash64("t.task").alias("task"), "t.side"))
+    placed = materialise(placed.select("node", "rep", "copies", F.explode(tasks).alias("t")).select("node", "rep", "copies", F.xxhash64("t.task").alias("task"), "t.side"))
     shared = placed.groupBy("task").agg(F.count("*").alias("n"), F.min("side").alias("a"), F.max("side").alias("b")).filter("n > 1 and (b = 0 or a < b)").select("task")
     placed = placed.join(shared, "task", "left_semi")
-    wanted = placed.groupBy("rep").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
+    wanted = placed.groupBy("node").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies"), F.collect_list(F.struct("task", "side")).alias("tasks"))
     wanted = wanted.hint("merge")  # the same plan at every size
-    texts = source.join(wanted, source["doc_id"] == wanted["rep"]).select("rep", "copies", "tasks", "text")
-    sets = texts.mapInArrow(k.trimmed(pack_sets(n)), "rep long, copies long, tasks array<struct<task:long,side:int>>, set binary")
-    spread = sets.select("rep", "copies", "set", F.explode("tasks").alias("t")).select("rep", "copies", "set", "t.task", "t.side")
-    found = materialise(spread.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(k.trimmed(compare(threshold)), "rep long, links long, root long"))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep"})
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    result = classes.select("key", "rep", "copies").join(linked, "rep", "left").join(joined, "rep", "left")
-    result = result.select(F.col("key").alias("of"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    ids = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    out = ids.join(result, ids["key"] == result["of"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def keep_first(docs: DataFrame, **options: object) -> DataFrame:
-    """One row of each near-duplicate class, that of the least doc_id, with all columns of docs; rows without doc_id all stay.
-
-    A node is a doc_id with its text: of different texts under one doc_id each is judged for itself, and rows that repeat both are one.
-    """
-    known = docs.filter("doc_id is not null").withColumn("_node", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    found = join(known.select(F.col("_node").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_node"), "class_id").distinct()
-    ids = known.select("_node", F.col("doc_id").cast("long").alias("id")).distinct()
-    firsts = ids.join(found, "_node").groupBy("class_id").agg(F.min(F.struct("id", "_node")).alias("first")).select("first._node")
-    kept = known.join(firsts, "_node", "left_semi").dropDuplicates(["_node"])
-    return kept.select(docs.columns).union(docs.filter("doc_id is null"))
+    texts = source.join(wanted, (source["doc_id"] == wanted["rep.doc_id"]) & (source["row_hash"] == wanted["rep.row_hash"]))
+    texts = texts.groupBy("doc_id", "row_hash").agg(*(F.first(c).alias(c) for c in ("node", "copies", "tasks", "text"))).drop("doc_id", "row_hash")  # rows may be repeated
+    sets = texts.mapInArrow(k.trimmed(pack_sets(n)), "node long, copies long, tasks array<struct<task:long,side:int>>, set binary")
+    spread = sets.select("node", "copies", "set", F.explode("tasks").alias("t")).select("node", "copies", "set", "t.task", "t.side")
+    found = materialise(spread.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(k.trimmed(compare(threshold)), "node long, links long, root long"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    firsts = joined.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("first"))
+    linked = joined.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node").join(firsts, "root").select("node", "first", "links")
+    result = classes.select("key", "node", "rep", "copies").join(linked, "node", "left")
+    result = result.select(F.col("key").alias("of"), F.coalesce("first", "rep").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    ids = signed.select("doc_id", "row_hash", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    return ids.join(result, ids["key"] == result["of"], "left").select("doc_id", "row_hash", "first", "n_links")
 
 
-def brute_force(rows: list[tuple[int, str | None]], n: int = 5, threshold: float = 0.8) -> list[tuple[int, int, int]]:
-    """What join() returns, in plain Python."""
-    sets = []
-    for _, t in rows:
-        w = (t or "").encode().split()
-        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
-    links, root = [0] * len(rows), list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
-                links[i] += 1
-                links[j] += 1
-                root[find(i)] = find(j)
-    least: dict[int, int] = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(d, least.get(find(i), d))
-    return [(d, least[find(i)], links[i]) for i, (d, _) in enumerate(rows)]
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, cell: int = CELL) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its near-duplicate class), n_links, for each row of docs (doc_id, text)."""
+    rows = linked_rows(docs, n, threshold, recall, cell)
+    return rows.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, cell: int = CELL) -> DataFrame:
+    """One row of each near-duplicate class, that of the least doc_id (and then of the least hash of its text), with all columns of docs.
+
+    Rows without doc_id all stay, and so do texts without words. Each row is judged by its own text, also where rows share a doc_id;
+    rows that repeat both are one (null and empty texts are the same). Of such rows with different other columns, the least by those columns as text stays.
+    """
+    firsts = linked_rows(docs, n, threshold, recall, cell).filter("doc_id is not null")
+    firsts = firsts.filter("first is null or (first.doc_id = doc_id and first.row_hash = row_hash)").select(F.col("doc_id").alias("_of"), F.col("row_hash").alias("_of_hash")).distinct()
+    ids, hashes = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.withColumns({"_id": ids, "_hash": hashes}).join(firsts, (F.col("_id") == F.col("_of")) & (F.col("_hash") == F.col("_of_hash")))
+    rest = [c for c in docs.columns if c != "text"]
+    order = Window.partitionBy("_id", "_hash").orderBy(F.col("text").isNull(), F.to_json(F.struct(*rest)))
+    kept = kept.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return kept.select(docs.columns).union(docs.filter("doc_id is null"))

@@ -374,7 +374,7 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and row_hash, which tells rows of one doc_id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("row_hash", F.xxhash64("text"))
+    return rows.withColumn("row_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def repeated_runs(docs: DataFrame, width: int = 13, gram: int = 3, group: int = 1_000_000, ranges: int = RANGES) -> tuple[DataFrame, int]:

@@ -2,8 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from test_jaccard import brute_force as near_duplicates
+
 import corpus_pipeline
-from tessera.llm import decontaminate, jaccard_join, mixing, quality, secrets
+from tessera.llm import decontaminate, mixing, quality, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +19,7 @@ def plain(rows, labels, items, spark):
     n = sum(r.log_weight >= -10 for r in keys)
     kept = {r.doc_id for r in keys[:n]}
     rows = [r for r in rows if r[0] in kept]
-    classes = {d: c for d, c, _ in jaccard_join.brute_force([(d, t) for d, t, _ in rows])}
+    classes = {d: c for d, c, _ in near_duplicates([(d, t) for d, t, _ in rows])}
     rows = [r for r in rows if classes[r[0]] == r[0]]
     hit = {i for i, _ in decontaminate.brute_force([t for _, t, _ in rows], items)}
     rows = [r for i, r in enumerate(rows) if i not in hit]
