@@ -257,7 +257,7 @@ def pack(parts: np.ndarray, rows: tuple[np.ndarray, ...], stretches: list[bytes]
     ends = [np.searchsorted(x, used, side=s).tolist() for x in (parts, gone_parts) for s in ("left", "right")]
     rows, gone = [x[order] for x in rows], [x[gone_order] for x in gone]
     names = order.tolist()
-    zstd = pa.Codec("zstd", 1)
+    zstd = pa.Codec("zstd", 3)
     for part, a, b, c, d in zip(used.tolist(), *ends, strict=True):
         texts = [stretches[i] for i in names[a:b]]
         sizes = np.fromiter(map(len, texts), np.uint32, b - a)
@@ -297,7 +297,7 @@ def file_suffixes(width: int, gram: int, prefixes: Prefixes, parts: int):
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column("row_hash").to_numpy(zero_copy_only=False).astype(np.int64)
-            for block, tokens, hashes, whole, leaf in windows(batch, width, gram, prefixes, 4 * k.BLOCK_BYTES):
+            for block, tokens, hashes, whole, leaf in windows(batch, width, gram, prefixes, 2 * k.BLOCK_BYTES):
                 own_ids, own_keys = ids[block.first : block.last], keys[block.first : block.last]
                 row = tokens.row[: len(whole)]
                 at = np.flatnonzero(whole)
