@@ -30,6 +30,16 @@ R = Registry()
     SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN rest > 0 AND upto - n / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r""",
 )
 def op7(spark, sf_dir):
-    rows = materialise(mixing.measured(table(spark, sf_dir, "documents")).select("doc_id", "mix_pattern", "mix_size", "mix_hash"))
+    rows = materialise(mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc.doc_id", "mix_pattern", "mix_size", "mix_hash"))
     out = mixing.take(rows, mixing.plan_mix(rows))
-    return out.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+@R.add("mix_overlapping_sources")
+def mix_overlapping(spark, sf_dir):
+    """Every document belongs to its source and, as a second source, to its language, so the flow has choices."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    sources = F.array_compact(F.array("source", F.concat(F.lit("lang:"), "lang")))
+    rows = materialise(mixing.measured(docs, sources).select("doc.doc_id", "mix_pattern", "mix_size", "mix_hash"))
+    out = mixing.take(rows, mixing.plan_mix(rows))
+    return out.select("doc_id", F.col("mix_pattern").alias("sources"), F.col("mix_size").alias("size"), F.col("mix_taken").alias("taken"))
