@@ -5,11 +5,12 @@ cells; the kernel of two texts is the cosine of their sets. Training texts are m
 column of coefficients for each language. Blocks of texts are scored by two matrix products: sets by landmarks, and
 kernel values by coefficients. Texts are read whole.
 
-Learnt from a bounded sample: about `quota` documents of each language, and `landmarks` of them. Only the 256 most frequent
-languages are learnt (see stratified()); documents in any other get one of those. Only their packed sets (DIM bits each)
-reach the driver.
+Learnt from a bounded sample: at most `quota` documents of each language and `most` of all (one at least of each language), chosen by
+a hash of id and text. `landmarks` of them are landmarks, or two for each language where that is more, up to `most_landmarks`. All
+languages are learnt, however many. Only the sample's packed sets (DIM bits each) reach the driver.
 
-A null text or one without a letter is `und` with the score 0; so is every text if no language can be learnt.
+A null text or one without a letter is `und` with the score 0; so is every text if no language can be learnt. Rows that repeat an id are
+predicted each by its own text, equal texts alike; of equal values the first language by code point is predicted. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -106,29 +107,35 @@ class Model:
         return names, score
 
 
-def solve(bits: np.ndarray, langs: list[str], landmarks: int = 128, ridge: float = 1e-3) -> Model:
+def solve(bits: np.ndarray, langs: list[str], landmarks: int = 128, ridge: float = 1e-3, most_landmarks: int = 1024) -> Model:
     """Kernel ridge regression on the landmarks' span; landmarks are spread evenly over the rows, which are sorted by language."""
     names = sorted(set(langs))
     if not names:
         return Model(np.empty((0, DIM // 8), np.uint8), np.empty((0, 0), np.float32), [])
-    x = np.unpackbits(bits, axis=1, count=DIM).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    at = np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))
-    inner, cross = (x[at] @ x[at].T).astype(np.float64), (x @ x[at].T).astype(np.float64)
-    values, vectors = np.linalg.eigh(inner)
+    n = len(bits)
+    at = np.unique(np.linspace(0, n - 1, min(n, max(landmarks, min(most_landmarks, 2 * len(names))))).astype(int))
+
+    def scaled(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1, count=DIM).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    base = scaled(bits[at])
+    cross = np.concatenate([scaled(bits[i : i + 1024]) @ base.T for i in range(0, n, 1024)]).astype(np.float64)
+    values, vectors = np.linalg.eigh(cross[at])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     z = cross @ root
-    y = (np.array(langs)[:, None] == np.array(names)[None, :]).astype(np.float64)
-    w = np.linalg.solve(z.T @ z + ridge * len(x) * np.eye(z.shape[1]), z.T @ y)
+    sums = np.zeros((len(names), z.shape[1]))
+    np.add.at(sums, np.searchsorted(np.array(names), np.array(langs)), z)
+    w = np.linalg.solve(z.T @ z + ridge * n * np.eye(z.shape[1]), sums.T)
     return Model(bits[at], (root @ w).astype(np.float32), names)
 
 
-def fit(docs: DataFrame, quota: int = 300, landmarks: int = 128) -> Model:
+def fit(docs: DataFrame, quota: int = 300, landmarks: int = 128, most: int = 50_000) -> Model:
     """The model from text and lang of documents that aren't held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & ~held_out())
-    rows = stratified(rows.filter(F.col("text").isNotNull()), "lang", "doc_id", quota)
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    rows = stratified(rows, "lang", "doc_id", quota, "text", most)
     found = rows.mapInArrow(k.trimmed(packed), "doc_id long, lang string, bits binary").collect()
     found.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, bytes(r.bits)))
     bits = np.frombuffer(b"".join(bytes(r.bits) for r in found), np.uint8).reshape(-1, DIM // 8)

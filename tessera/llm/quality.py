@@ -1,22 +1,22 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and Gumbel top-k sampling.
 
-Tokens are runs of word bytes or of punctuation; their unigrams and bigrams are hashed to `buckets`, and
-all bigrams of a token with itself count as one. The raw model counts all
+Tokens are runs of word bytes or of punctuation; their unigrams and bigrams are hashed to `buckets`. The raw model counts all
 documents; the target model counts those of a bounded sample of ids known to be good. The log ratio of a bucket is that of its
 count in the target to the count expected there if the target were raw text, both plus `smoothing`, so that rare n-grams say little.
-A document's log weight is the sum over its n-grams, tempered to at most `effective` of them: neighbouring n-grams aren't
-independent, and without this a small bias of each would decide on a long text. Its key is the log weight plus Gumbel
+A document's log weight is the sum over its n-grams, the logarithm of the two models' ratio. Its key is the log weight plus Gumbel
 noise, and the documents with the k largest keys are a sample without replacement in proportion to the weights.
 
-By default k is the number of documents whose log weight is at least -slack: for them the raw model isn't clearly the
-better explanation. Weights of junk lie far below, so noise moves only documents at the border.
+By default k is a share of the documents that doesn't depend on any weight: the share of good ones among the labelled, and `spare` of
+the rest, so that junk which the models can't tell from good text doesn't push good documents out. Without labels all documents are sampled.
 
-The noise is a hash of doc_id and the seed, so reruns agree and rows that repeat a document stay or go together. Null or empty
-texts have no n-grams and the log weight 0. Without any target document all log weights are 0.
+`effective` (off by default) tempers log weights to at most so many n-grams. The noise is a hash of doc_id and the seed, so reruns agree
+and rows that repeat a document stay or go together; rows with the same key at the cut all stay. Null or empty texts have no n-grams and
+the log weight 0. Without any target document all log weights are 0.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,17 +36,16 @@ def grams(block: k.Block, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray
     hashes = k.token_hashes(block, tokens)
     yield tokens.row, (hashes % np.uint64(buckets)).astype(np.int64)
     pairs = k.window_hashes(hashes, 2)
-    pairs[hashes[:-1] == hashes[1:]] = 0  # a token said twice is one bigram, whatever the token
     same = tokens.row[:-1] == tokens.row[1:]
     yield tokens.row[:-1][same], (pairs[same] % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratios by bucket, and how many n-grams of a text count in full."""
+    """Log ratios by bucket, and how many n-grams of a text count in full (None: all)."""
 
     ratios: np.ndarray
-    effective: int
+    effective: int | None
 
     def log_weights(self, batch: pa.RecordBatch) -> np.ndarray:
         out, count = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
@@ -54,7 +53,7 @@ class Model:
             for row, bucket in grams(block, len(self.ratios)):
                 out[block.first : block.last] += np.bincount(row, self.ratios[bucket], block.last - block.first)
                 count[block.first : block.last] += np.bincount(row, minlength=block.last - block.first)
-        return out * np.minimum(1, self.effective / np.maximum(count, 1))
+        return out if self.effective is None else out * np.minimum(1, self.effective / np.maximum(count, 1))
 
 
 def gumbel(ids: pa.Array, seed: int) -> np.ndarray:
@@ -64,12 +63,13 @@ def gumbel(ids: pa.Array, seed: int) -> np.ndarray:
     return -np.log(-np.log((u + 0.5) / (1 << 53)))
 
 
-def fit(docs: DataFrame, good: DataFrame, most_good: int = 20_000, buckets: int = 1 << 14, smoothing: float = 4.0, effective: int = 64) -> Model:
-    """The model from all docs and those of them whose doc_id is in good (column doc_id).
+def fit(docs: DataFrame, labels: DataFrame, most_good: int = 20_000, buckets: int = 1 << 14, smoothing: float = 4.0, effective: int | None = None) -> Model:
+    """The model from all docs and those of them whose doc_id has quality 1 in labels (doc_id, quality).
 
-    About most_good ids are used, chosen by hash; they are the only thing sent to all tasks and don't grow with the input.
+    At most most_good ids are used, chosen by hash; they are the only thing sent to all tasks and don't grow with the input.
     """
-    ids = good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").withColumn("one", F.lit(1))
+    good = labels.filter(F.col("quality") == 1)
+    ids = good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("one", F.lit(1))
     wanted = np.unique(np.array([r.doc_id for r in stratified(ids, "one", "doc_id", most_good).collect()], np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,23 +103,31 @@ def score(docs: DataFrame, model: Model, seed: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(run), "doc_id long, log_weight double, key double")
 
 
-def threshold(scored: DataFrame, count: int | None = None, slack: float = 10.0) -> float:
-    """The least key among the `count` largest; by default as many as have a log weight of at least -slack."""
-    count = scored.filter(F.col("log_weight") >= -slack).count() if count is None else count
+def share_of_good(labels: DataFrame, spare: float) -> float:
+    """The part of the documents to sample: that of the good ones among labels (doc_id, quality), and `spare` of the rest."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return 1.0 if share is None else share + spare * (1 - share)
+
+
+def threshold(scored: DataFrame, count: int | None, share: float) -> float:
+    """The least key among the `count` largest; by default of that share of all rows."""
+    if count is None:
+        count = math.ceil(share * scored.count())
     cut = kth_largest(scored, "key", count)
     return float("inf") if count < 1 else float("-inf") if cut is None else cut
 
 
-def resample(docs: DataFrame, good: DataFrame, count: int | None = None, slack: float = 10.0, seed: int = 5) -> DataFrame:
-    """doc_id, log_weight, key of the documents in the sample."""
-    scored = materialise(score(docs, fit(docs, good), seed))
-    return scored.filter(F.col("key") >= threshold(scored, count, slack))
+def resample(docs: DataFrame, labels: DataFrame, count: int | None = None, spare: float = 0.1, seed: int = 5, **options: float) -> DataFrame:
+    """doc_id, log_weight, key of the documents in the sample. labels: doc_id, quality (1: good); options: see fit()."""
+    scored = materialise(score(docs, fit(docs, labels, **options), seed))
+    return scored.filter(F.col("key") >= threshold(scored, count, share_of_good(labels, spare)))
 
 
-def keep(docs: DataFrame, good: DataFrame, count: int | None = None, slack: float = 10.0, seed: int = 5) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, count: int | None = None, spare: float = 0.1, seed: int = 5, **options: float) -> DataFrame:
     """The rows of docs in the sample, with all their columns. They are scored again rather than joined, so no text is shuffled."""
-    model = fit(docs, good)
-    cut = threshold(materialise(score(docs, model, seed)), count, slack)
+    model = fit(docs, labels, **options)
+    cut = threshold(materialise(score(docs, model, seed)), count, share_of_good(labels, spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

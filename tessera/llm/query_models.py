@@ -19,8 +19,7 @@ def op2(spark, sf_dir):
 
 @R.add("op9_quality_resample")
 def op9(spark, sf_dir):
-    good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return quality.resample(table(spark, sf_dir, "documents"), good)
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @R.add("op10_toxicity")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.session import materialise
 
 SCALE = 1 << 30
 
@@ -18,26 +21,30 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return fold_of(doc_id) == 1
 
 
-def place(key: Column) -> Column:
+def place(*key: Column) -> Column:
     """A row's fixed place in 0 to SCALE, by hash."""
-    return F.pmod(F.xxhash64(F.lit(20_011), key), F.lit(SCALE))
+    return F.pmod(F.xxhash64(F.lit(20_011), *key), F.lit(SCALE))
 
 
-def stratified(rows: DataFrame, label: str, key: str, quota: int, most_labels: int = 256) -> DataFrame:
-    """About `quota` rows of each label (all, if there are fewer), chosen by the hash of their key.
+def stratified(rows: DataFrame, label: str, key: str, quota: int, content: str | None = None, most: int | None = None) -> DataFrame:
+    """At most `quota` rows of each label (all, if there are fewer), those whose hash of key and content comes first.
 
-    A count of the labels comes first and gives each label its rate, so the sample's expected size is quota times the
-    number of labels at any size of the table. Only the most frequent labels are kept, if there are more than most_labels.
-    Rows with a null label are left out.
+    However many labels there are, each has its rows; with `most`, the quota is so much smaller that all labels together have at most that
+    many rows, or one each. A count by label and order of magnitude of the hash comes first, so that few rows beyond the quota
+    are sorted. Rows that repeat key and content count each. Rows with a null label are left out.
     """
-    known = rows.filter(F.col(label).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    if not counts:
-        return known.limit(0)
-    cut = F.lit(-1)
-    for r in counts:
-        cut = F.when(F.col(label) == F.lit(r[label]), F.lit(int(min(1.0, quota / r["count"]) * SCALE))).otherwise(cut)
-    return known.filter(place(F.col(key)) < cut)
+    at = place(F.col(key), *([F.col(content)] if content else []))
+    known = rows.filter(F.col(label).isNotNull()).withColumn("_at", at)
+    digits = F.length(F.bin("_at"))
+    sizes = known.groupBy(F.col(label).alias("_of"), digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_of").orderBy("_digits"))
+    cuts = sizes.withColumn("_upto", upto).groupBy("_of").agg(F.coalesce(F.min(F.when(F.col("_upto") >= quota, F.col("_digits"))), F.lit(SCALE.bit_length())).alias("_cut"))
+    cuts = materialise(cuts)
+    if most is not None:
+        quota = min(quota, max(1, most // max(1, cuts.count())))
+    near = known.join(cuts, F.col(label) == F.col("_of")).filter(digits <= F.col("_cut"))
+    order = Window.partitionBy(label).orderBy("_at", key, *([F.xxhash64(content)] if content else []))
+    return near.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= quota).select(rows.columns)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, close: int = 5000) -> float | None:

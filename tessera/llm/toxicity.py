@@ -4,8 +4,12 @@ Features are the presence of a text's words, of its pairs of neighbours and of i
 `2 ** bits`. Per-coordinate learning rates and an L1 term leave a few weights other than 0; only those are sent to the executors,
 so what is broadcast is bounded by the model and not by the data.
 
-The model is fitted on a bounded sample: about `quota` labelled documents of each class and at most `most_chars` characters of
-text, of which a class that needs less than its half keeps all its documents (one document of each class stays at any length). Null or empty texts have no feature and get the score of the bias. Without labels of both classes all scores are next to 0.
+The model is fitted on a bounded sample: at most `quota` labelled documents of each class and at most `most_chars` characters of
+text, of which a class that needs less than its half keeps all its documents (one document of each class stays at any length). Of rows
+that share a doc_id one text is learnt from, that with the least hash; an id with both labels is learnt from under both.
+
+Every row is scored by its own text; equal texts have equal scores. Null or empty texts have no feature and get the score of the bias.
+Without labels of both classes all scores are next to 0. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
 from tessera.llm.sampling import held_out, place, stratified
+from tessera.session import materialise
 
 BITS = 20
 
@@ -113,7 +118,7 @@ def fitting(rows: list[tuple[int, int, int, int]], most_chars: int) -> list[tupl
 
 
 def fit(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_chars: int = 40_000_000) -> Model:
-    """The model from labels (doc_id, toxic) of documents that aren't held out."""
+    """The model from labels (doc_id, toxic) of documents that aren't held out: see above for its bounds."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.filter("doc_id is not null and label in (0, 1)").filter(~held_out()).distinct()
@@ -122,7 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, quota: int = 3000, most_chars: int =
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), -1000.0)
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, label int"))  # about 2 * quota rows
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    sizes = text.groupBy("doc_id", "label").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).select("doc_id", "label", place(F.col("doc_id")).alias("at"), "chars").collect()
+    text = text.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    text = materialise(text.select("doc_id", "label", F.col("least.text").alias("text")))
+    sizes = text.select("doc_id", "label", place(F.col("doc_id")).alias("at"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")).collect()
     if sum(r.chars for r in sizes) > most_chars:
         within = F.broadcast(spark.createDataFrame(fitting(list(map(tuple, sizes)), most_chars), "doc_id long, label int"))
         text = text.join(within, ["doc_id", "label"])

@@ -1,23 +1,22 @@
+import math
 import random
 
 from pyspark.sql import functions as F
-
 from test_jaccard import brute_force as near_duplicates
+from test_models import plain_gumbel, plain_weights
 
 import corpus_pipeline
-from tessera.llm import decontaminate, mixing, quality, secrets
+from tessera.llm import decontaminate, mixing, secrets
 
 SF = "/root/testdata/sf0.001"
 
 
-def plain(rows, labels, items, spark):
-    """The pipeline's rules over (doc_id, text, source) in plain Python; only the quality keys come from the model."""
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    good = spark.createDataFrame([(d,) for d, q in labels if q == 1], "doc_id long")
-    keys = quality.score(docs, quality.fit(docs, good)).collect()
-    keys.sort(key=lambda r: -r.key)
-    n = sum(r.log_weight >= -10 for r in keys)
-    kept = {r.doc_id for r in keys[:n]}
+def plain(rows, labels, items):
+    """The pipeline's rules over (doc_id, text, source) in plain Python; only the spans of secrets come from the operator."""
+    weights = plain_weights([(d, t) for d, t, _ in rows], {d for d, q in labels if q == 1}, 1 << 14, 4.0)
+    keys = sorted(((w + plain_gumbel(d, 5), d) for (d, _, _), w in zip(rows, weights, strict=True)), reverse=True)
+    share = sum(q == 1 for _, q in labels) / len(labels)
+    kept = {d for _, d in keys[: math.ceil((share + 0.1 * (1 - share)) * len(rows))]}
     rows = [r for r in rows if r[0] in kept]
     classes = {d: c for d, c, _ in near_duplicates([(d, t) for d, t, _ in rows])}
     rows = [r for r in rows if classes[r[0]] == r[0]]
@@ -35,7 +34,7 @@ def test_against_plain_version(spark):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want, sizes, targets = plain(rows, labels, items, spark)
+    want, sizes, targets = plain(rows, labels, items)
     stages = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         stages = stage(spark, stages, SF)
@@ -56,7 +55,7 @@ def test_odd_rows(spark, tmp_path):
     rng = random.Random(1)
     text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(30))
     rows = [(i, text(), "en", "s", 1) for i in range(20)] + [(None, None, None, None, None), (None, "x", None, None, 1), (21, "", "en", "s", 0), (3, "again", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("key", F.lit(1)).withColumn("times", F.lit(7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("key", "times", "target", "cut", "passes", "source_size", "mix_size", "row_hash", "doc", "spans", "runs", "rep", "node")})
     spark.createDataFrame([(1, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "some other words than those here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
