@@ -16,12 +16,11 @@ from tessera.session import materialise
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample for the target of good documents rejects go."""
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    return quality.keep(docs, good)
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: that of the least doc_id."""
+    """One document of each near-duplicate class stays: that of the least doc_id, and of several texts under it that of the least hash."""
     return jaccard_join.keep_first(docs)
 
 
