@@ -9,8 +9,12 @@ Tokens are runs of word characters, lower case. Items of fewer than `least` toke
 window is shorter than `SHORT` tokens, as in a shorter item, the three masks would miss some of the substitutions that `share` allows;
 masks made for its length then leave out every such set of places. Null texts have no tokens.
 
-The benchmark side is sent to the executors in parts of at most `part_chars` characters of text, whatever its size: a
-benchmark that is larger is searched part by part, each in a pass of its own. Documents are never shuffled.
+The benchmark side is sent to the executors in parts of about `part_chars` characters of text, whatever its size: a
+benchmark that is larger is searched part by part, each in a pass of its own. Documents are never shuffled. A seed that many items or
+places share is looked at in blocks of hits, so memory stays bounded.
+
+Each row of documents is judged by its own text, also where rows repeat a doc_id or have none; each row of the benchmark is an item
+of its own, also where rows repeat an item_id or a text. item_id may have any type. Other columns aren't read, and stay as they are.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tessera.llm import kernels as k
 
@@ -115,25 +121,38 @@ def build(items: list[tuple[object, str | None]], window: int = 13, share: float
     return Index([i for i, _ in items], all_tokens, edges, tuple(masks), keys, item, place, table, window, share)
 
 
-def overlaps(block: k.Block, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def overlaps(block: k.Block, index: Index, most_hits: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row in block, item, tokens that agree in the item's best window) of all verified overlaps; a pair may come again."""
     tokens = k.tokenise(block, k.WORDS)
     hashes, row = k.token_hashes(block, tokens), tokens.row
     shift = np.uint64(64 - (len(index.table).bit_length() - 1))
-    diagonals = [np.empty((0, 2), np.int64)]
+    out = [(np.empty(0, np.int64),) * 3]
+    held, count = [np.empty((0, 2), np.int64)], 0
+
+    def check() -> None:
+        nonlocal held, count
+        pairs = np.unique(np.concatenate(held), axis=0)
+        for part in np.array_split(pairs, max(1, len(pairs) // 20_000)):
+            out.append(_verified(part, hashes, tokens, index))
+        held, count = [np.empty((0, 2), np.int64)], 0
+
     for mask in index.masks:
         at = seeds(hashes, mask)
         near = np.flatnonzero(index.table[(at >> shift).astype(np.int64)])
         near = near[row[near] == row[near + len(mask) - 1]]
-        lo, hi = np.searchsorted(index.keys, at[near]), np.searchsorted(index.keys, at[near], side="right")
-        n = hi - lo
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        here = np.repeat(near, n)
-        diagonals.append(np.unique(np.stack([row[here] * len(index.ids) + index.item[entry], here - index.place[entry]], 1), axis=0))
-    pairs = np.unique(np.concatenate(diagonals), axis=0)
-    out = []
-    for part in np.array_split(pairs, max(1, len(pairs) // 20_000)):
-        out.append(_verified(part, hashes, tokens, index))
+        first, last = np.searchsorted(index.keys, at[near]), np.searchsorted(index.keys, at[near], side="right")
+        upto = np.cumsum(last - first)
+        total = int(upto[-1]) if len(upto) else 0
+        for begin in range(0, total, most_hits):  # hits begin to begin + most_hits, counted over all places
+            end = min(total, begin + most_hits)
+            i = np.searchsorted(upto, np.arange(begin, end), side="right")
+            entry = first[i] + np.arange(begin, end) - (upto[i] - (last - first)[i])
+            here = near[i]
+            held.append(np.unique(np.stack([row[here] * len(index.ids) + index.item[entry], here - index.place[entry]], 1), axis=0))
+            count += len(held[-1])
+            if count >= most_hits:
+                check()
+    check()
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -171,8 +190,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int = 4_000_
     docs: doc_id, text; benchmark: item_id, text. options: window, share, least; see build().
     """
     spark = docs.sparkSession
-    kind = benchmark.schema["item_id"].dataType
-    schema = f"doc_id long, item_id {kind.simpleString()}, matched int"
+    schema = StructType([StructField("doc_id", LongType()), StructField("item_id", benchmark.schema["item_id"].dataType), StructField("matched", IntegerType())])
+    kind = to_arrow_type(schema["item_id"].dataType)
     out = spark.createDataFrame([], schema)
     for index in parts_of(benchmark, part_chars, **options):
         shared = spark.sparkContext.broadcast(index)
@@ -188,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int = 4_000_
                         best[r, i] = max(m, best.get((r, i), 0))
                     if best:
                         rows = pa.array([block.first + r for r, _ in best])
-                        names = pa.array([index.ids[i] for _, i in best], pa.int64() if isinstance(index.ids[0], int) else pa.string())
+                        names = pa.array([index.ids[i] for _, i in best], kind)
                         yield pa.record_batch([ids.take(rows), names, pa.array(list(best.values()), pa.int32())], ["doc_id", "item_id", "matched"])
 
         out = out.union(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(k.trimmed(run), schema))
@@ -210,19 +229,3 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, part_chars: int =
 
         docs = docs.mapInArrow(k.trimmed(run), docs.schema)
     return docs
-
-
-def brute_force(texts: list[str], items: list[str], window: int = 13, share: float = 0.8) -> set[tuple[int, int]]:
-    """All pairs in which some window of the item agrees with the text at some offset in enough places."""
-    import re
-
-    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
-    out = set()
-    for i, t in enumerate(map(words, texts)):
-        for j, b in enumerate(map(words, items)):
-            w = min(window, len(b))
-            for d in range(-len(b), len(t)):
-                agree = [0 <= d + x < len(t) and t[d + x] == b[x] for x in range(len(b))]
-                if any(sum(agree[s : s + w]) >= share * w for s in range(len(b) - w + 1)):
-                    out.add((i, j))
-    return out

@@ -6,7 +6,8 @@ length-prefixed strings), or a signed token whose header is a JSON object with a
 
 A block of texts is first searched for runs of candidate bytes without a Python step for each text; only texts with a run long
 enough, or with an assignment mark, are searched by regular expressions, as a whole. Offsets count code points; ends are
-exclusive. A null text is an empty one and has no span.
+exclusive. A null text is an empty one and has no span. Each row is searched by itself, so rows that repeat an id or a text have the
+same spans; spans that start together are listed by kind and then end. Of other columns only n_chars is changed, by redact().
 """
 
 from __future__ import annotations

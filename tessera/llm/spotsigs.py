@@ -14,10 +14,13 @@ the threshold by length are pruned before their sets are intersected.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.components import components
 from tessera.session import materialise
 
 #: Common words of English, German, French and Spanish.
@@ -109,10 +112,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, **options: int) ->
 
     Equal fingerprints are one class before any comparison. Documents without a fingerprint, and rows without doc_id, stay alone.
     """
-    from tessera.llm.components import components
-
-    import math
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signature_set(F.col("text"), **options).alias("s"))
     rows = materialise(rows)
     known = rows.filter("doc_id is not null and size(s) > 0")
@@ -122,10 +121,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, **options: int) ->
     ranked = flat.join(counts, "x").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("docs", "x")))
     needed = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     level = F.floor(F.log("n") / math.log(1 / threshold) + 1e-9)
-    probes = ranked.filter(F.col("place") <= needed).select("rep", "n", "x", level.alias("level"))
-    left = probes.select("rep", "n", "x", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
-    pairs = left.alias("a").join(probes.alias("b"), ["x", "level"]).filter("a.rep <> b.rep and a.n <= b.n").filter(F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9)
-    pairs = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    chosen = ranked.filter(F.col("place") <= needed).groupBy("rep", "n").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    probes = chosen.select("rep", "n", "xs", F.explode("xs").alias("x"), level.alias("level"))
+    left = probes.select("rep", "n", "xs", "x", F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+    pairs = left.alias("a").join(probes.alias("b"), ["x", "level"]).filter("a.n < b.n or (a.n = b.n and a.rep < b.rep)").filter(F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9)
+    once = F.array_min(F.array_intersect(F.col("a.xs"), F.col("b.xs"))) == F.col("x")  # a pair meets at each shared probe and is made at the least
+    pairs = pairs.filter(once).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     sets = classes.select("rep", "s")
     checked = pairs.join(sets.withColumnsRenamed({"rep": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"rep": "b", "s": "sb"}), "b")
     links = checked.filter(likeness(F.col("sa"), F.col("sb")) >= F.lit(threshold) - 1e-9).select("a", "b")

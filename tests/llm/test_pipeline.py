@@ -2,11 +2,12 @@ import math
 import random
 
 from pyspark.sql import functions as F
+from test_decontaminate import brute_force as contaminated_pairs
 from test_jaccard import brute_force as near_duplicates
 from test_models import plain_gumbel, plain_weights
 
 import corpus_pipeline
-from tessera.llm import decontaminate, mixing, secrets
+from tessera.llm import mixing, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def plain(rows, labels, items):
     rows = [r for r in rows if r[0] in kept]
     classes = {d: c for d, c, _ in near_duplicates([(d, t) for d, t, _ in rows])}
     rows = [r for r in rows if classes[r[0]] == r[0]]
-    hit = {i for i, _ in decontaminate.brute_force([t for _, t, _ in rows], items)}
+    hit = {i for i, _ in contaminated_pairs([t for _, t, _ in rows], items)}
     rows = [r for i, r in enumerate(rows) if i not in hit]
     rows = [(d, secrets.masked(t, [{"start": a, "end": b} for a, _, b in secrets.spans_of(t)]), s) for d, t, s in rows]
     sizes = {}

@@ -37,8 +37,10 @@ TEXTS = [
 
 def brute(text):
     text, out = text or "", []
-    for rank, (kind, pattern, group, least) in enumerate((("assign", secrets.ASSIGN.pattern, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
-        out += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.I | re.A if rank == 0 else 0) if len(m[group]) >= least]
+    letters = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+    assign = "(" + letters + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    for rank, (kind, pattern, group, least) in enumerate((("assign", assign, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
+        out += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[group]) >= least]
     return [x for _, _, x in sorted(out)]
 
 
