@@ -27,6 +27,19 @@ def keys(order: list[str]) -> list[Column]:
     return out
 
 
+def place_among(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are not above x, found in two steps of about the square root of their number."""
+    if not cuts:
+        return F.lit(0)
+    size = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= x))
+    literal = lambda xs: F.array(*map(F.lit, xs))
+    group = upto(literal([g[0] for g in groups]))
+    inner = upto(F.element_at(F.array(*map(literal, groups)), F.greatest(group, F.lit(1))))
+    return F.when(group == 0, 0).otherwise((group - 1) * size + inner)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "pos", start: int = 0) -> DataFrame:
     """df with its position in the order, counted from start. The sorted rows are written once, so numbers don't change."""
     spark = df.sparkSession

@@ -15,11 +15,19 @@ from tessera.operators.spatial import distance_join
 from tessera.session import materialise
 
 
-def knn_join(a: DataFrame, b: DataFrame, ident: str, pa: tuple[str, str], pb: tuple[str, str], k: int, start: float, most_rounds: int = 30) -> DataFrame:
-    """The k nearest rows of b for each row of a (fewer, if b is smaller), with distance and rank: rows that lack neighbours try again with twice the radius."""
+def knn_join(a: DataFrame, b: DataFrame, ident: str, pa: tuple[str, str], pb: tuple[str, str], k: int, start: float) -> DataFrame:
+    """The k nearest rows of b for each row of a (fewer, if b is smaller), with distance and rank: rows that lack neighbours try again with twice the radius.
+
+    Rows without coordinates have no neighbours and are left out. From the round on in which the radius covers all points every row is done.
+    """
+    a, b = a.dropna(subset=list(pa)), b.dropna(subset=list(pb))
     total = b.limit(k).count()
+    ends = [df.agg(*(f(F.col(c).cast("double")) for c in p for f in (F.min, F.max))).first() for df, p in ((a, pa), (b, pb))]
+    if total == 0 or ends[0][0] is None:
+        return distance_join(a, b, pa, pb, start).withColumn("rank", F.lit(1)).limit(0)
+    reach = sum(max(ends[0][i + 1], ends[1][i + 1]) - min(ends[0][i], ends[1][i]) for i in (0, 2))
     left, out, radius = a, None, start
-    for _ in range(most_rounds):
+    while True:
         pairs = distance_join(left, b, pa, pb, radius)
         best = Window.partitionBy(ident).orderBy("distance", *pb)
         ranked = materialise(pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
@@ -27,10 +35,9 @@ def knn_join(a: DataFrame, b: DataFrame, ident: str, pa: tuple[str, str], pb: tu
         done = ranked.join(full, ident, "left_semi")
         out = done if out is None else out.union(done)
         left = materialise(left.join(full, ident, "left_anti"))
-        if left.isEmpty():
+        if radius >= reach or left.isEmpty():
             return out
         radius *= 2
-    raise RuntimeError("some rows found no neighbours; choose a larger start radius")
 
 
 def flocks(positions: DataFrame, ident: str, step: str, x: str, y: str, radius: float, least: int, steps: int) -> DataFrame:

@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.order import keys
+from tessera.operators.order import keys, place_among
+from tessera.session import materialise
+
+#: Rows that a fold takes together; a power of two.
+BLOCK = 1 << 14
 
 # Schema and filters
 
@@ -185,7 +189,8 @@ def matchbelow(a: DataFrame, b: DataFrame, left: str, right: str, by: tuple[str,
     """As-of join: each row of a with the row of b whose key is the greatest not above its own; nulls where there is none.
 
     Rows of both sides go through one sort by key, in which the last row of b is carried on. `by` names a column of each side that must agree;
-    it spreads the work. Without it, keys are cut into ranges, each with the last row of b before it as a guest.
+    it spreads the work. In any case keys are cut into ranges, as many as there are shuffle partitions, and each range (of each `by`) gets the
+    last row of b before it as a guest, so neither a stream without `by` nor a frequent one lands in one task.
     Among rows of b with equal keys the greatest by its other kept columns counts.
     """
     kept = kept or [c for c in b.columns if c != right and not (by and c == by[1])]
@@ -194,22 +199,17 @@ def matchbelow(a: DataFrame, b: DataFrame, left: str, right: str, by: tuple[str,
     rows = a.select(F.col(left).alias("_at"), (F.col(by[0]) if by else F.lit(0)).alias("_by"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"))
     right_rows = b.filter(F.col(right).isNotNull()).select(F.col(right).alias("_at"), (F.col(by[1]) if by else F.lit(0)).alias("_by"), F.lit(0).alias("_side"), payload.alias("_match"))
     both = rows.withColumn("_match", F.lit(None).cast(right_rows.schema["_match"].dataType)).unionByName(right_rows.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
-    if by:
-        window = Window.partitionBy("_by").orderBy(F.col("_at").asc_nulls_first(), "_side", "_match")
-    else:
-        cuts = sorted(set(b.select(F.col(right).cast("double").alias("k")).agg(F.percentile_approx("k", [i / 32 for i in range(1, 32)], 10_000)).first()[0] or []))
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_at").cast("double"))) if cuts else F.lit(0)
-        both = both.withColumn("_range", F.when(F.col("_at").isNull(), 0).otherwise(place))
-        tops = right_rows.withColumn("_range", place).groupBy("_range").agg(F.max(F.struct("_at", "_match")).alias("top")).collect()
-        spark, schema, guests = a.sparkSession, both.schema, []
-        last = None
-        by_range = {r._range: r.top for r in tops}
-        for n in range(len(cuts) + 1):
-            if last is not None:
-                guests.append((last["_at"], 0, 0, None, last["_match"], n))
-            last = by_range.get(n, last)
-        both = both.unionByName(spark.createDataFrame(guests, schema)) if guests else both
-        window = Window.partitionBy("_range").orderBy(F.col("_at").asc_nulls_first(), "_side", "_match")
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col("_at").cast("double")
+    cuts = sorted(set(right_rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
+    place = F.when(F.col("_at").isNull(), 0).otherwise(place_among(at, cuts))
+    both = both.withColumn("_range", place)
+    cells = both.groupBy("_by", "_range").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_match"))).alias("_top"))
+    before = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    guests = cells.select("_by", "_range", F.last("_top", ignorenulls=True).over(before).alias("_top")).filter("_top is not null")
+    guests = guests.select(F.col("_top._at").alias("_at"), "_by", F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col("_top._match").alias("_match"), "_range")
+    both = both.unionByName(guests)
+    window = Window.partitionBy("_by", "_range").orderBy(F.col("_at").asc_nulls_first(), "_side", "_match")
     carried = F.last("_match", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("_match", carried).filter("_side = 1").withColumn("_match", F.when(F.col("_at").isNotNull(), F.col("_match")))
     return out.select("_row.*", F.col("_match._key").alias(right), *(F.col("_match")[c].alias(c) for c in kept))
@@ -240,11 +240,18 @@ def groupby2(df: DataFrame, by: list[str], **folds: tuple[str, Callable[[Column,
 
 
 def fold(df: DataFrame, column: str, f: Callable[[Column, Column], Column], initial: object) -> DataFrame:
-    """aggregate / aggregateB: a fold with an associative and commutative function, first within hash buckets, then over their results."""
+    """aggregate / aggregateB: a fold with an associative and commutative function whose neutral element is `initial`.
+
+    Rows are folded in blocks of at most BLOCK (as they lie, whatever their values), then the blocks' results again, until one block is left.
+    """
     start = F.lit(initial)
-    first = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(4096))).groupBy("_b").agg(F.array_sort(F.collect_list(column)).alias("v"))
-    parts = first.select(F.aggregate("v", start, f).alias("p"))
-    return parts.agg(F.aggregate(F.array_sort(F.collect_list("p")), start, f).alias(column))
+    now = df.select(F.col(column).alias("v"))
+    while True:
+        blocks = now.withColumn("_b", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1))
+        parts = blocks.groupBy("_b").agg(F.array_sort(F.collect_list("v")).alias("v")).select(F.aggregate("v", start, f).alias("v"))
+        now = materialise(parts)
+        if now.count() <= BLOCK:
+            return now.agg(F.aggregate(F.array_sort(F.collect_list("v")), start, f).alias(column))
 
 
 def nest(df: DataFrame, by: list[str], name: str) -> DataFrame:

@@ -58,11 +58,19 @@ def distance_join(a: DataFrame, b: DataFrame, pa: tuple[str, str], pb: tuple[str
 
 
 def closest_pairs(a: DataFrame, b: DataFrame, pa: tuple[str, str], pb: tuple[str, str], k: int, start: float) -> DataFrame:
-    """The k closest pairs: the radius of a distance join doubles until it gives enough, so all pairs are never made."""
-    total = a.count() * b.count()
+    """The k closest pairs, or all if there are fewer: the radius of a distance join doubles until it gives enough or covers all points.
+
+    Rows without coordinates have no pairs.
+    """
+    a, b = a.dropna(subset=list(pa)), b.dropna(subset=list(pb))
+    ends = lambda df, c: df.agg(F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))).first()
+    reach = 0.0
+    for u, v in zip(pa, pb, strict=True):
+        sides = [x for x in (*ends(a, u), *ends(b, v)) if x is not None]
+        reach += (max(sides) - min(sides)) if sides else 0.0
     while True:
-        pairs = distance_join(a, b, pa, pb, start)
-        if total <= k or pairs.limit(k).count() >= k:
+        pairs = materialise(distance_join(a, b, pa, pb, start))
+        if start >= reach or pairs.limit(k).count() >= k:
             return pairs.orderBy("distance", *pa, *pb).limit(k)
         start *= 2
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         made = spark.sparkContext.getCheckpointDir()
     return made
@@ -55,10 +58,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> int:
-    """Remove the tables that materialise() has written in this process, once their results are stored; how many there were."""
-    n = len(_written)
-    while _written:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables materialise() has written and sweep() hasn't removed."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Remove the tables that materialise() has written in this process, once their results are stored; how many there were.
+
+    first, last: only those from the place first (as written() gave it) up to last, exclusive.
+    """
+    gone = _written[first:last]
+    del _written[first:last]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+    return len(gone)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -28,8 +29,11 @@ def csvimport(spark: SparkSession, path: str, schema: StructType | str, skip: in
         return reader.csv(path)
     if skip == 1:
         return reader.option("header", True).option("enforceSchema", True).csv(path)
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split("value", r"\r?\n"), F.lit(skip + 1), F.lit(1 << 30))).alias("value"))
-    lines = lines.filter(F.length("value") > 0)
+    # the first lines are in the first split of a file, in the order in which they are read
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    heads = Window.partitionBy("_file").orderBy("_block", "_id")
+    first = lines.filter("_block = 0").withColumn("_row", F.row_number().over(heads)).filter(F.col("_row") <= skip).select("_id")
+    lines = lines.join(F.broadcast(first), "_id", "left_anti").filter(F.length("value") > 0)
     if comment:
         lines = lines.filter(~F.col("value").startswith(comment))
     text = schema if isinstance(schema, str) else schema.toDDL()

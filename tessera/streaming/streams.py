@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.session import shared_folder
 
@@ -57,7 +57,10 @@ def variable(df: DataFrame) -> DataFrame:
 
 def typed(df: DataFrame, column: str, schema: StructType | str) -> DataFrame:
     """Variable rows to typed ones; those that don't fit are dropped."""
-    return df.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r is not null").select("r.*")
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    marked = StructType([*fields.fields, StructField("_corrupt", StringType())])
+    parsed = F.from_json(column, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return df.select(parsed.alias("r")).filter("r is not null and r._corrupt is null").select(*(F.col("r")[c].alias(c) for c in fields.fieldNames()))
 
 
 def windowed(df: DataFrame, time: str, size: str, slide: str | None, late: str, by: list[str], **aggregates: Column) -> DataFrame:
@@ -100,20 +103,30 @@ def side_effect(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint:
     return df.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).start()
 
 
-def run_bounded(df: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """All results for the input that is there now, by one run that stops at its end; written in the shared folder."""
+def run_bounded(df: DataFrame, mode: str = "append", timeout: int | None = None) -> DataFrame:
+    """All results for the input that is there now, by one run that stops at its end; written in the shared folder.
+
+    With a timeout (seconds) a run that isn't at its end by then is stopped, and TimeoutError is raised: there are no partial results.
+    """
+
+    def wait(q) -> None:
+        ended = q.awaitTermination() if timeout is None else q.awaitTermination(timeout)
+        if timeout is not None and not ended:
+            q.stop()
+            raise TimeoutError(f"the stream has not ended after {timeout} seconds")
+
     spark = df.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        q.awaitTermination(timeout)
+        wait(q)
         return spark.read.schema(df.schema).parquet(f"{base}/out")
 
     def overwrite(rows: DataFrame, _: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/out")
 
     q = df.writeStream.outputMode(mode).foreachBatch(overwrite).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination(timeout)
+    wait(q)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 

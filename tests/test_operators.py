@@ -342,3 +342,81 @@ def test_tables(spark, tmp_path):
     assert tables.sample(df.limit(0), 20, 0.05, F.col("i")).count() == 0 and tables.realstream(spark, 1, 0, 0.5).count() == 0
     assert [r.Elem for r in tables.realstream(spark, 0, 1, 0.5).collect()] == [0, 0.5, 1]
     assert tables.probability_filter(df, 0.0, F.col("i")).count() == 0 and tables.probability_filter(df, 1.0, F.col("i")).count() == 200
+
+
+def test_closest_pairs_and_neighbours_without_places(spark):
+    from tessera.operators import patterns, spatial
+
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, None, None)], "i int, x double, y double")
+    b = spark.createDataFrame([(9, 3.0, 4.0), (8, None, 2.0)], "j int, u double, v double")
+    got = spatial.closest_pairs(a, b, ("x", "y"), ("u", "v"), 2, 0.01).collect()
+    assert [(r.i, r.j, r.distance) for r in got] == [(1, 9, 5.0)]
+    assert spatial.closest_pairs(a.limit(0), b, ("x", "y"), ("u", "v"), 2, 1.0).collect() == []
+    assert [(r.i, r.j, r["rank"]) for r in patterns.knn_join(a, b, "i", ("x", "y"), ("u", "v"), 3, 0.001).collect()] == [(1, 9, 1)]
+    assert patterns.knn_join(a, b.limit(0), "i", ("x", "y"), ("u", "v"), 3, 1.0).collect() == []
+
+
+def test_matchbelow_over_ranges_and_hot_keys(spark):
+    import random
+
+    from tessera.operators import relational as r
+
+    rng = random.Random(2)
+    left = [(i, rng.choice([None, *range(100)]), rng.choice(["hot"] * 9 + ["cold"])) for i in range(600)]
+    right = [(rng.randrange(100), rng.choice(["hot"] * 9 + ["cold"]), f"v{i}") for i in range(80)]
+    a = spark.createDataFrame(left, "i int, at int, k string")
+    b = spark.createDataFrame(right, "since int, k2 string, v string")
+    best = lambda at, k: max(((s, v) for s, k2, v in right if at is not None and s <= at and k in (None, k2)), default=(None, None))
+    got = {x.i: (x.since, x.v) for x in r.matchbelow(a, b, "at", "since", ("k", "k2"), ["v"]).collect()}
+    assert got == {i: best(at, k) for i, at, k in left}
+    got = {x.i: x.since for x in r.matchbelow(a, b, "at", "since", kept=["v"]).collect()}
+    assert got == {i: best(at, None)[0] for i, at, _ in left}
+
+
+def test_fold_of_equal_rows(spark):
+    from tessera.operators import relational as r
+
+    df = spark.range(100_000).selectExpr("cast(1 as long) as v")
+    assert r.fold(df, "v", lambda a, b: a + b, F.lit(0).cast("long")).first()[0] == 100_000
+    assert r.fold(df.limit(0), "v", lambda a, b: a + b, F.lit(0).cast("long")).first()[0] == 0
+
+
+def test_streams_drop_what_does_not_fit(spark, tmp_path):
+    import pytest
+
+    from tessera.streaming import streams
+
+    df = spark.createDataFrame([('{"a": 1}',), ("broken",), ('{"a": "x"}',), (None,)], "value string")
+    assert [x.a for x in streams.typed(df, "value", "a int").collect()] == [1]
+    df.write.parquet(f"{tmp_path}/in")
+    slow = streams.replay(spark, f"{tmp_path}/in").withColumn("z", F.udf(lambda v: __import__("time").sleep(8))("value"))
+    with pytest.raises(TimeoutError):
+        streams.run_bounded(slow, timeout=1)
+
+
+def test_csv_after_some_lines(spark, tmp_path):
+    from tessera.sources import files
+
+    for n in (1, 2):
+        with open(f"{tmp_path}/{n}.csv", "w") as f:
+            f.write("title\n\nmore\n" + "".join(f"{n},{i}\n" for i in range(50)) + "#end\n")
+    got = files.csvimport(spark, str(tmp_path), "a int, b int", skip=3, comment="#").collect()
+    assert sorted((r.a, r.b) for r in got) == sorted((n, i) for n in (1, 2) for i in range(50))
+
+
+def test_shared_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from tessera import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Fake:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Fake())
