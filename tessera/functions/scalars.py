@@ -38,7 +38,7 @@ def _value(x: object) -> object:
 FUNCTIONS |= {
     "sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "arctan2": F.atan2,
     "rad2deg": F.degrees, "deg2rad": F.radians, "abs": F.abs, "floor": F.floor, "ceil": F.ceil, "isnan": F.isnan, "pow": F.pow,
-    "length": F.length, "ldistance": F.levenshtein, "toupper": F.upper, "tolower": F.lower, "trim": F.trim, "md5": lambda s: F.md5(s.cast("binary")),
+    "log": F.ln, "ln": F.ln, "length": F.length, "ldistance": F.levenshtein, "toupper": F.upper, "tolower": F.lower, "trim": F.trim, "md5": lambda s: F.md5(s.cast("binary")),
 }
 
 
@@ -122,7 +122,7 @@ def to_bool(x: Column) -> Column:
     return x.cast("boolean")
 
 
-@named("num2string", "totext", "tostring", "chartext", "attr2text", "toString", "charToText")
+@named("num2string", "svg2text", "text2svg", "filepath2text", "text2filepath", "totext", "tostring", "chartext", "attr2text", "toString", "charToText")
 def to_text(x: Column) -> Column:
     return x.cast("string")
 
@@ -149,6 +149,47 @@ def hash_value(x: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(x), F.lit(n))
 
 
+@named("randint", "randmax")
+def random_int(n: object, key: Column | None = None, seed: int = 0) -> Column:
+    """0 to n - 1: by hash of a key and the seed, so the same at every run, or without a key by Spark's seeded generator."""
+    if key is None:
+        return F.floor(F.rand(seed) * n).cast("long")
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long"), literal(n).cast("long"))
+
+
+@named("randseed", "seqinit")
+def seeded(seed: int) -> Callable[..., Column]:
+    """A generator for that seed: seeded(7)(10, key). There is no global state."""
+    return lambda n, key=None: random_int(n, key, seed)
+
+
+@named("increment")
+def increment(x: Column) -> Column:
+    """x++: the successor."""
+    return x + 1
+
+
+@named("assert")
+def assert_true(test: Column) -> Column:
+    """true, or the query ends with an error."""
+    return F.assert_true(test).isNull()
+
+
+_BOUNDS = {"int": (-(1 << 31), (1 << 31) - 1), "longint": (-(1 << 63), (1 << 63) - 1), "real": (-1.7976931348623157e308, 1.7976931348623157e308), "bool": (False, True)}
+
+
+@named("getMinVal")
+def least_value(kind: str) -> Column:
+    """The least value of a type: int, longint, real or bool."""
+    return F.lit(_BOUNDS[kind][0])
+
+
+@named("getMaxVal")
+def greatest_value(kind: str) -> Column:
+    return F.lit(_BOUNDS[kind][1])
+
+
 @named("dms2deg")
 def dms_to_degrees(d: Column, m: Column, s: Column, north_or_east: object = True) -> Column:
     return F.when(literal(north_or_east), 1).otherwise(-1) * (d + m / 60 + s / 3600)
@@ -162,7 +203,7 @@ def contains(a: Column, b: object) -> Column:
     return a.contains(b)
 
 
-@named("substr", "subtext")
+@named("substr", "subtext", "substrw")
 def substring(s: Column, first: int, last: int) -> Column:
     """Characters first to last, counted from 1, both included."""
     return F.substring(s, first, max(0, last - first + 1))
@@ -287,6 +328,28 @@ def recode(s: Column, source: str, target: str) -> Column:
     return F.decode(F.encode(s, source), target)
 
 
+@named("createRegEx", "createRegEx2")
+def pattern(text: str) -> str:
+    """A checked regular expression, for the functions that take one."""
+    import re
+
+    re.compile(text)
+    return text
+
+
+@named("crypt")
+def crypt(s: Column, salt: str = "") -> Column:
+    """A salted one-way hash of a password, with its salt in front: $5s$salt$digest."""
+    return F.concat(F.lit(f"$5s${salt}$"), F.sha2(F.concat(F.lit(salt), s), 256))
+
+
+@named("checkpw")
+def check_password(s: Column, hashed: Column) -> Column:
+    """Whether crypt() of the text with the hash's own salt gives the hash."""
+    parts = F.split(hashed, r"\$")
+    return (F.size(parts) == 4) & (F.get(parts, F.lit(1)) == "5s") & (F.sha2(F.concat(F.get(parts, F.lit(2)), s), 256) == F.get(parts, F.lit(3)))
+
+
 # Instants and durations
 
 FUNCTIONS |= {"year_of": F.year, "month_of": F.month, "day_of": F.dayofmonth, "hour_of": F.hour, "minute_of": F.minute, "second_of": F.second, "now": F.current_timestamp, "today": F.current_date}
@@ -340,17 +403,56 @@ def text_to_date(s: Column) -> Column:
     return F.try_to_date(s, "yyyy-MM-dd")
 
 
+@named("duration_div")
+def duration_div(a: Column, b: Column) -> Column:
+    """How often a duration goes into another, as a whole number."""
+    micros = lambda d: F.round(duration_to_real(d) * 86_400_000_000).cast("long")
+    return F.floor(micros(a) / micros(b)).cast("long")
+
+
+@named("abs_duration")
+def abs_duration(d: Column) -> Column:
+    return F.when(d < F.make_dt_interval(F.lit(0)), -d).otherwise(d)
+
+
 @named("transformDateTime")
 def parse_instant(s: Column, pattern: str) -> Column:
     return F.try_to_timestamp(s, F.lit(pattern)).cast("timestamp_ntz")
 
 
+@named("create_instant")
+def instant_of(day: object, millisecond: object = 0) -> Column:
+    """The instant so many days after 2000-01-03, the zero of instants, and milliseconds after that day's begin."""
+    micros = (literal(day).cast("long") * 86_400_000 + literal(millisecond).cast("long")) * 1000 + 946_857_600_000_000
+    return F.timestamp_micros(micros).cast("timestamp_ntz")
+
+
+@named("mininstant")
+def least_instant() -> Column:
+    return F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+
+
+@named("maxnstant", "maxinstant")
+def greatest_instant() -> Column:
+    return F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
+
+
+@named("minduration")
+def least_duration() -> Column:
+    return F.make_dt_interval(F.lit(-106_751_991))
+
+
+@named("maxduration")
+def greatest_duration() -> Column:
+    return F.make_dt_interval(F.lit(106_751_991))
+
+
 # Collections: vectors, sets and multisets are arrays; sets are distinct and sorted
 
 FUNCTIONS |= {"size": F.size, "in": lambda x, c: F.array_contains(c, x), "concat_vectors": F.concat}
 
 
-@named("create_vector")
+@named("create_vector", "makearray")
 def vector(*xs: object) -> Column:
     return F.array(*map(literal, xs))
 
@@ -568,3 +670,49 @@ def top_right_class(a: Column, cell: Column) -> Column:
 @named("in_collection")
 def in_collection(x: Column, c: Column) -> Column:
     return F.array_contains(c, x)
+
+
+@named("partitionRect")
+def partition_rect(a: Column, columns: int, rows: int) -> Column:
+    """A 2-d rectangle cut into columns * rows equal ones, row by row from below, as an array."""
+    side = lambda i, n: (a["hi"][i] - a["lo"][i]) / n
+
+    def cell(n: Column) -> Column:
+        x, y = n % columns, F.floor(n / columns)
+        corner = lambda dx, dy: F.array(a["lo"][0] + (x + dx) * side(0, columns), a["lo"][1] + (y + dy) * side(1, rows))
+        return F.struct(corner(0, 0).alias("lo"), corner(1, 1).alias("hi"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(columns * rows - 1)), cell)
+
+
+@named("toprightreport")
+def top_right_report(classes: Column, others: Column) -> Column:
+    """Whether a cell reports the pair of two rectangles of these classes (see top_right_class): neither direction is left by both."""
+    return classes.bitwiseAND(others) == 0
+
+
+@named("bbox_union")
+def bounding_box(rects: Column) -> Column:
+    """The box around an array of rectangles of the same dimension; undefined for an empty one."""
+    rest = F.slice(rects, F.lit(2), F.greatest(F.size(rects) - 1, F.lit(0)))
+    return F.when(F.size(rects) > 0, F.reduce(rest, F.get(rects, F.lit(0)), rect_union))
+
+
+# Names that stand for different functions by the type of the first argument: array (collection) or struct (rectangle)
+
+OVERLOADED: dict[str, dict[str, Callable[..., Column]]] = {
+    "union": {"array": set_union, "struct": rect_union},
+    "intersection": {"array": set_intersection, "struct": rect_intersection, "other": scalar_intersection},
+    "insert": {"array": insert_element},
+    "concat": {"array": F.concat, "other": F.concat},
+    "contains": {"array": collection_contains, "struct": lambda a, b: rect_inside(b, a), "other": contains},
+    "intersects": {"array": F.arrays_overlap, "struct": rect_intersects},
+    "inside": {"struct": rect_inside, "array": lambda a, b: F.size(F.array_except(a, b)) == 0, "other": lambda x, c: F.array_contains(c, x)},
+    "distance": {"struct": rect_distance},
+    "translate": {"struct": rect_translate, "other": F.translate},
+    "scale": {"struct": scale_rect},
+    "bbox": {"struct": lambda a: a, "array": bounding_box},
+    "size": {"array": F.size, "struct": rect_size},
+    "components": {"array": F.explode},
+}
+FUNCTIONS |= {"collect_set": lambda x: F.array_sort(F.collect_set(x)), "collect_multiset": lambda x: F.array_sort(F.collect_list(x)), "collect_vector": lambda x: F.collect_list(x), "collect_intset": lambda x: F.array_sort(F.collect_set(x.cast("int"))), "feedIS": F.explode, "binands": F.bit_and}

@@ -200,7 +200,7 @@ def matchbelow(a: DataFrame, b: DataFrame, left: str, right: str, by: tuple[str,
     right_rows = b.filter(F.col(right).isNotNull()).select(F.col(right).alias("_at"), (F.col(by[1]) if by else F.lit(0)).alias("_by"), F.lit(0).alias("_side"), payload.alias("_match"))
     both = rows.withColumn("_match", F.lit(None).cast(right_rows.schema["_match"].dataType)).unionByName(right_rows.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.col("_at").cast("double")
+    at = (F.col("_at").cast("timestamp") if right_rows.schema["_at"].dataType.simpleString() in ("timestamp_ntz", "date") else F.col("_at")).cast("double")
     cuts = sorted(set(right_rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
     place = F.when(F.col("_at").isNull(), 0).otherwise(place_among(at, cuts))
     both = both.withColumn("_range", place)
