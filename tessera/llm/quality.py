@@ -69,8 +69,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_good: int = 20_000, buckets: in
     At most most_good ids are used, chosen by hash; they are the only thing sent to all tasks and don't grow with the input.
     """
     good = labels.filter(F.col("quality") == 1)
-    ids = good.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("one", F.lit(1))
-    wanted = np.unique(np.array([r.doc_id for r in stratified(ids, "one", "doc_id", most_good).collect()], np.int64))
+    ids = good.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null").distinct()
+    wanted = np.unique(np.array([r.doc_id for r in stratified(ids, "quality", "doc_id", most_good).collect()], np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
