@@ -251,3 +251,37 @@ def line_locate(line: Column, p: Column) -> Column:
         return F.struct(point_segment_distance(p, e).alias("away"), (length(F.slice(line, F.lit(1), i)) + along * size).alias("at"))
 
     return F.array_min(F.transform(line, place))["at"]
+
+
+def distance_within(p: Column, q: Column, most: float) -> Column:
+    """Whether two points are at most so far apart."""
+    return distance(p, q) <= most
+
+
+def components(line: Column) -> Column:
+    """The connected parts of a line, each a line, by common ends of segments."""
+
+    @F.pandas_udf("array<array<struct<x1:double,y1:double,x2:double,y2:double>>>")
+    def run(lines: pd.Series) -> pd.Series:
+        out = []
+        for segments in lines:
+            if segments is None:
+                out.append(None)
+                continue
+            parent: dict = {}
+
+            def root(x, parent=parent):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for e in segments:
+                parent[root((e["x1"], e["y1"]))] = root((e["x2"], e["y2"]))
+            parts: dict = {}
+            for e in segments:
+                parts.setdefault(root((e["x1"], e["y1"])), []).append(e)
+            out.append(list(parts.values()))
+        return pd.Series(out)
+
+    return run(line)

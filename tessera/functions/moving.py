@@ -297,6 +297,18 @@ def matches(units: Column, pattern: str) -> Column:
     return F.concat(F.array_join(F.transform(units, lambda u: F.coalesce(u["v"].cast("string"), F.lit(""))), ";"), F.lit(";")).rlike(f"^(?:{regex})$")
 
 
+def rewrite(units: Column, labels: list[str], replacement: str) -> Column:
+    """The first place at which these labels follow one another becomes one unit with the replacement, over the same time; undefined if there is none."""
+    n = len(labels)
+    fits = lambda i: F.transform(F.slice(units, i + 1, n), lambda u: u["v"]) == F.array(*map(F.lit, labels))
+    places = F.when(F.size(units) >= n, F.filter(F.sequence(F.lit(0), F.size(units) - n), fits))
+    at = F.get(places, F.lit(0))
+    first, last = F.get(units, at), F.get(units, at + n - 1)
+    whole = lambda us: F.transform(us, lambda u: unit_const(u["s"], u["e"], u["v"], u["lc"], u["rc"]))
+    joined = F.array(unit_const(first["s"], last["e"], F.lit(replacement), first["lc"], last["rc"]))
+    return F.when(at.isNotNull(), F.concat(whole(F.slice(units, F.lit(1), at)), joined, whole(F.slice(units, at + n + 1, F.size(units)))))
+
+
 def frechet(a: Column, b: Column) -> Column:
     """Discrete Frechet distance of two arrays of points (x, y)."""
 

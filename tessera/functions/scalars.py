@@ -715,4 +715,4 @@ OVERLOADED: dict[str, dict[str, Callable[..., Column]]] = {
     "size": {"array": F.size, "struct": rect_size},
     "components": {"array": F.explode},
 }
-FUNCTIONS |= {"collect_set": lambda x: F.array_sort(F.collect_set(x)), "collect_multiset": lambda x: F.array_sort(F.collect_list(x)), "collect_vector": lambda x: F.collect_list(x), "collect_intset": lambda x: F.array_sort(F.collect_set(x.cast("int"))), "feedIS": F.explode, "binands": F.bit_and}
+FUNCTIONS |= {"collect_set": lambda x: F.array_sort(F.collect_set(x)), "collect_multiset": lambda x: F.array_sort(F.collect_list(x)), "collect_vector": lambda x: F.collect_list(x), "collect_intset": lambda x: F.array_sort(F.collect_set(x.cast("int"))), "feedIS": F.explode, "seqnext": F.monotonically_increasing_id, "binands": F.bit_and}

@@ -92,8 +92,9 @@ def distinct_count(df: DataFrame, column: str, error: float = 0.02) -> DataFrame
 
 
 def reservoir(df: DataFrame, k: int, key: Column, seed: int = 0) -> DataFrame:
-    """A uniform sample of k rows by the hash of a key: the same at every run and without a global order."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h").limit(k).drop("_h")
+    """A uniform sample of k rows by the hash (MD5 of seed:key) of a key: the same at every run and without a global order."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+    return df.withColumns({"_h": F.md5(text.cast("binary")), "_key": key}).orderBy("_h", "_key").limit(k).drop("_h", "_key")
 
 
 def biased_reservoir(df: DataFrame, k: int, key: Column, age: Column, rate: float, seed: int = 0) -> DataFrame:
