@@ -76,11 +76,11 @@ def sequence_pattern(df: DataFrame, by: list[str], order: list[str], steps: list
     return got.filter(F.exists("_a0", fulfils)).select(*by)
 
 
-def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 10) -> DataFrame:
-    """cluster, n, centre (array) by Lloyd's rounds; centres begin at the k rows whose hashes are least. Only centres come to the driver."""
+def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 10, start: list[list[float]] | None = None) -> DataFrame:
+    """cluster, n, centre (array) by Lloyd's rounds; centres begin at start, or at the k rows whose hashes are least. Only centres come to the driver."""
     v = F.col(vector).cast("array<double>")
     rows = materialise(df.filter(F.col(vector).isNotNull()).select(v.alias("v")))
-    centres = [list(r.v) for r in rows.distinct().orderBy(F.xxhash64(F.to_json("v"))).limit(k).collect()]
+    centres = start or [list(r.v) for r in rows.distinct().orderBy(F.xxhash64(F.to_json("v"))).limit(k).collect()]
     found = []
     for _ in range(rounds):
         lit = F.array(*(F.array(*map(F.lit, c)) for c in centres))
@@ -98,8 +98,17 @@ def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 10) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "cluster int, n long, centre array<double>")
 
 
-def optics(df: DataFrame, by: list[str], ident: str, x: str, y: str, eps: float, least: int) -> DataFrame:
-    """OPTICS within each group (such as a grid cell or a component): by, ident, place, reach (null at a start), core."""
+def optics(df: DataFrame, ident: str, x: str, y: str, eps: float, least: int) -> DataFrame:
+    """OPTICS: ident, part, place, reach (null at a start), core (null if not one).
+
+    Points are parted by the components of the graph of neighbours within eps (part: the least ident of the component). No point is
+    reached from another part, so the order within each part is that of the whole. A part is ordered by one task, in memory for its points.
+    """
+    df = df.select(ident, x, y).dropna(subset=[x, y])
+    near = distance_join(df, df.toDF("_j", "_u", "_v"), (x, y), ("_u", "_v"), eps).filter(F.col(ident) < F.col("_j"))
+    found = connected_components(near.select(F.col(ident).alias("a"), F.col("_j").alias("b")))
+    df = df.join(found, F.col(ident) == F.col("node"), "left").select(F.coalesce("root", ident).alias("part"), ident, x, y)
+    by = ["part"]
     kinds = dict(df.dtypes)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

@@ -78,14 +78,9 @@ def knn_join(spark, sf_dir):
     return patterns.knn_join(points(spark, sf_dir), points(spark, sf_dir, "q", "u", "v"), "vec_id", ("x", "y"), ("u", "v"), 3, 0.05).select(c("vec_id").alias("a"), c("q").alias("b"))
 
 
-@R.add("kmeans")
-def kmeans(spark, sf_dir):
-    return patterns.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 5, 5).select("cluster", "n")
-
-
 @R.add("optics")
 def optics(spark, sf_dir):
-    return patterns.optics(points(spark, sf_dir).withColumn("cell", F.floor(c("x") / 0.5)), ["cell"], "vec_id", "x", "y", 0.05, 4)
+    return patterns.optics(points(spark, sf_dir), "vec_id", "x", "y", 0.05, 4)
 
 
 @R.add(
@@ -98,13 +93,6 @@ def sequence_pattern(spark, sf_dir):
     return patterns.sequence_pattern(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], steps)
 
 
-@R.add("flocks")
-def flocks(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    at = e.select("user_id", F.floor(c("ts").cast("timestamp").cast("long") / 86400).alias("day"), "value").groupBy("user_id", "day").agg(F.avg("value").alias("x"))
-    return patterns.flocks(at.withColumn("y", F.lit(0.0)), "user_id", "day", "x", "y", 0.2, 2, 1)
-
-
 @R.add(
     "map_match",
     f"""WITH p AS ({POINT_SQL}), r AS (SELECT range AS road, range / 10.0 AS x FROM range(-10, 11)), d AS (SELECT vec_id, road, sqrt(pow(p.x - r.x, 2) + pow(greatest(abs(y) - 0.1, 0), 2)) AS away FROM p, r),
@@ -127,11 +115,6 @@ def tilted_time(spark, sf_dir):
     return sketches.tilted_time(e, c("ts"), F.lit("2024-02-01").cast("timestamp"), [86_400, 864_000], n=F.count("*"))
 
 
-@R.add("distribute_range", "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS s FROM orders")
-def distribute_range(spark, sf_dir):
-    return distribution.distribute_range(table(spark, sf_dir, "orders"), 8, "o_orderkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
-
-
 @R.add("dmap", "SELECT n_nationkey, upper(n_name) AS n_name FROM nation")
 def dmap(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -176,11 +159,6 @@ def collect_box(spark, sf_dir):
     return tables.collect_box(points(spark, sf_dir), "x", "y", "x", "y")
 
 
-@R.add("sample")
-def sample(spark, sf_dir):
-    return tables.sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, 0.01, c("o_orderkey"))
-
-
 @R.add(
     "property_graph",
     """SELECT c_name AS c, l_quantity AS q, s_name AS s FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey

@@ -93,11 +93,6 @@ def geometry(spark, sf_dir):
     )
 
 
-@R.add("dbscan")
-def dbscan(spark, sf_dir):
-    return spatial.dbscan(points(spark, sf_dir), "vec_id", "x", "y", 0.02, 4)
-
-
 #: A forest over whole tables: customers and suppliers below nations below regions. Keys are shifted so that nodes differ.
 EDGE_SQL = """SELECT n_nationkey + 100 AS a, n_regionkey::BIGINT AS b FROM nation UNION ALL SELECT c_custkey + 1000, c_nationkey + 100 FROM customer
 UNION ALL SELECT s_suppkey + 1000000000000, s_nationkey + 100 FROM supplier"""
@@ -125,11 +120,6 @@ def shortest_paths(spark, sf_dir):
     return graph.shortest_paths(edges(spark, sf_dir), 1, "b", "a")
 
 
-@R.add("page_rank")
-def page_rank(spark, sf_dir):
-    return graph.page_rank(edges(spark, sf_dir), rounds=5)
-
-
 @R.add("match_path", "SELECT c_custkey AS n0, o_orderkey AS n1, l_partkey AS n2 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND l_quantity > 49")
 def match_path(spark, sf_dir):
     cu = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")

@@ -81,20 +81,6 @@ def bloom_contains(spark, sf_dir):
     return maybe.join(od, c("c_custkey") == c("o_custkey"), "left_semi").agg(F.count("*").alias("n"))
 
 
-@R.add("cm_count", "SELECT user_id, true AS good FROM events GROUP BY user_id")
-def cm_count(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    exact = e.groupBy("user_id").agg(F.count("*").alias("exact"))
-    return k.cm_count(exact, "user_id", k.count_min(e, "user_id")).select("user_id", (c("estimate") >= c("exact")).alias("good"))
-
-
-@R.add("ams_second_moment", "SELECT true AS good")
-def ams_second_moment(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    exact = e.groupBy("event_type").count().agg(F.sum(c("count") * c("count")).alias("exact"))
-    return k.ams_estimate(k.ams(e, "event_type", 512)).crossJoin(exact).select((F.abs(c("f2") / c("exact") - 1) < 0.5).alias("good"))
-
-
 @R.add("lossy_counts", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
 def lossy_counts(spark, sf_dir):
     return k.lc_frequent(k.lossy_counts(table(spark, sf_dir, "events"), "event_type", 0.01), 1).select("value", "n")
@@ -109,11 +95,6 @@ def outliers(spark, sf_dir):
     return k.outliers(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 2.5).select("event_id")
 
 
-@R.add("reservoir")
-def reservoir(spark, sf_dir):
-    return k.reservoir(table(spark, sf_dir, "events"), 100, c("event_id")).select("event_id")
-
-
 @R.add("stream_filter", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 50")
 def stream_filter(spark, sf_dir):
     s = streams.replay(spark, f"{sf_dir}/events.parquet")

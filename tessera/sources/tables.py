@@ -40,11 +40,20 @@ def dumpstream(df: DataFrame, path: str, separator: str = ", ") -> DataFrame:
     return df
 
 
+HASH = 1 << 52
+
+
+def key_hash(key: Column, seed: int) -> Column:
+    """52 bits of the MD5 of seed:key."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def sample(df: DataFrame, least: int, share: float, key: Column, seed: int = 0) -> DataFrame:
-    """About share of the rows but at least `least` (or all), by the hash of a key: the same at every run."""
+    """About share of the rows, or about `least` and some more (or all) if that is more, by the hash of a key: the same at every run."""
     n = df.count()
     rate = min(1.0, max(share, least / n * 1.05 + 5 / n if n else 1.0))
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    return df.filter(key_hash(key, seed) < int(rate * HASH))
 
 
 def intstream(spark: SparkSession, lo: int, hi: int, name: str = "Elem") -> DataFrame:
@@ -74,8 +83,7 @@ def project_transform_stream(df: DataFrame, name: str) -> DataFrame:
 
 def probability_filter(df: DataFrame, share: Column | float, key: Column, seed: int = 0) -> DataFrame:
     """Each row stays with the given probability, by the hash of a key."""
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(u < share)
+    return df.filter(key_hash(key, seed) / float(HASH) < share)
 
 
 def collect_box(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
