@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, jaccard_join, mixing, quality, secrets
-from tessera.session import materialise
+from tessera.session import materialise, sweep, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what a stage returns is written before the next one reads it."""
+    """All stages over the documents of sf_dir; what a stage returns is written before the next one reads it.
+
+    Tables that a stage wrote for itself, and the input of the stage, are removed once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialise(docs)
+            sweep(spark, first, written() - 1)
     return docs
