@@ -223,7 +223,7 @@ def replace(s: Column, old: object, new: object) -> Column:
 @named("keywords")
 def keywords(s: Column) -> Column:
     """Words (letters, digits, underscores) as an array."""
-    return F.filter(F.split(s, r"\W+"), lambda w: w != "")
+    return F.regexp_extract_all(s, F.lit(r"\w+"), F.lit(0))
 
 
 @named("sentences")

@@ -47,33 +47,32 @@ def shortest_paths(edges: DataFrame, source: object, a: str = "a", b: str = "b",
     links = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v"), weight.alias("w")).groupBy("u", "v").agg(F.min("w").alias("w")))
     spark = edges.sparkSession
     kind = links.schema["u"].dataType.simpleString()
-    known = spark.createDataFrame([(source, 0.0)], f"node {kind}, distance double")
-
-    def compute(known: DataFrame, moved: DataFrame) -> tuple[DataFrame, DataFrame]:
-        reached = moved.join(links, moved["node"] == links["u"]).groupBy("v").agg(F.min(F.col("distance") + F.col("w")).alias("d"))
-        both = known.join(reached, known["node"] == reached["v"], "full_outer")
-        better = F.col("d").isNotNull() & (F.col("distance").isNull() | (F.col("d") < F.col("distance")))
-        state = materialise(both.select(F.coalesce("node", "v").alias("node"), F.least("distance", "d").alias("distance"), better.alias("moved")))
-        return state.select("node", "distance"), state.filter("moved").select("node", "distance")
-
-    return pregel(known, known, compute)
+    state = spark.createDataFrame([(source, 0.0, True)], f"node {kind}, distance double, moved boolean")
+    while not state.filter("moved").isEmpty():
+        moved = state.filter("moved")
+        found = moved.join(links, moved["node"] == links["u"]).select(F.col("v").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("distance") + F.col("w")).alias("new"))
+        both = found.union(state.select("node", "distance", F.lit(None).cast("double"))).groupBy("node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
+        state = materialise(both.select("node", F.least("old", "new").alias("distance"), better.alias("moved")))
+    return state.select("node", "distance")
 
 
 def page_rank(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """node, rank (they sum to 1): sources share their rank over their links; nodes without links share it with all."""
+    """node, rank (they sum to 1): sources share their rank over their links; nodes without links share it with all.
+
+    A round is one join of the ranks with the links, one aggregation, and one table written; a node's number of links is kept beside its rank.
+    """
     links = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).distinct())
-    nodes = materialise(links.select(F.col("u").alias("node")).union(links.select("v")).distinct())
-    n = nodes.count()
-    degree = links.groupBy("u").agg(F.count("*").alias("degree"))
-    links = materialise(links.join(degree, "u"))
-    ranks = materialise(nodes.withColumn("rank", F.lit(1.0 / max(n, 1))))
+    degrees = links.select(F.col("u").alias("node"), F.lit(1).alias("one")).union(links.select("v", F.lit(0))).groupBy("node").agg(F.sum("one").alias("degree"))
+    ranks = materialise(degrees)
+    n = ranks.count()
+    ranks = ranks.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
-        given = ranks.join(links, ranks["node"] == links["u"]).groupBy("v").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        all_ranks = nodes.join(given, nodes["node"] == given["v"], "left").select("node", F.coalesce("got", F.lit(0.0)).alias("got"))
-        all_ranks = materialise(all_ranks)
-        lost = 1.0 - (all_ranks.agg(F.sum("got")).first()[0] or 0.0)
-        ranks = materialise(all_ranks.select("node", (F.lit((1 - damping) / n) + damping * (F.col("got") + F.lit(lost / n))).alias("rank")))
-    return ranks
+        lost = ranks.filter("degree = 0").agg(F.sum("rank")).first()[0] or 0.0
+        given = ranks.filter("degree > 0").join(links, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("rank") / F.col("degree")).alias("got"), F.lit(None).cast("long").alias("degree"))
+        both = given.union(ranks.select("node", F.lit(0.0), "degree")).groupBy("node").agg(F.sum("got").alias("got"), F.max("degree").alias("degree"))
+        ranks = materialise(both.select("node", "degree", (F.lit((1 - damping) / n) + damping * (F.col("got") + F.lit(lost / n))).alias("rank")))
+    return ranks.select("node", "rank")
 
 
 def match_path(steps: list[tuple[DataFrame, str, str]], where: Column | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from tessera.operators.graph import connected_components
 from tessera.session import materialise
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
+def _cells(lo: Column, hi: Column, size: Column) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
@@ -32,20 +32,34 @@ def cell_size(df: DataFrame, box: Column) -> float:
 
 
 def spatial_join(a: DataFrame, b: DataFrame, box_a: Column, box_b: Column, size: float | None = None, refine: Column | None = None) -> DataFrame:
-    """Pairs of rows whose boxes (x1, y1, x2, y2) meet, with all columns of both; refine is checked on the pairs."""
+    """Pairs of rows whose boxes (x1, y1, x2, y2) meet, with all columns of both; refine is checked on the pairs.
+
+    Grids are in levels, each with cells of twice the side of the one before. A box belongs to the first level whose cells are as large as
+    itself, so it meets few cells however large it is, and is also filed in the coarser levels that occur; a pair meets in the level of its larger box.
+    """
     size = size or max(cell_size(a, box_a), cell_size(b, box_b))
 
-    def filed(df: DataFrame, box: Column, name: str) -> DataFrame:
+    def placed(df: DataFrame, box: Column, name: str) -> DataFrame:
         df = df.withColumn(name, box).filter(F.col(name)["x1"].isNotNull())
-        df = df.withColumn("_cx", F.explode(_cells(F.col(name)["x1"], F.col(name)["x2"], size)))
-        return df.withColumn("_cy", F.explode(_cells(F.col(name)["y1"], F.col(name)["y2"], size)))
+        side = F.greatest(F.col(name)["x2"] - F.col(name)["x1"], F.col(name)["y2"] - F.col(name)["y1"])
+        return df.withColumn(f"{name}_level", F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(side / size) - 1e-6), F.lit(0))).cast("int"))
+
+    left, right = placed(a, box_a, "_a"), placed(b, box_b, "_b")
+    levels = sorted({r[0] for df, name in ((left, "_a"), (right, "_b")) for r in df.select(f"{name}_level").distinct().collect()})  # a few numbers
+
+    def filed(df: DataFrame, name: str) -> DataFrame:
+        df = df.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels or [0])), lambda x: x >= F.col(f"{name}_level"))))
+        step = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+        df = df.withColumn("_cx", F.explode(_cells(F.col(name)["x1"], F.col(name)["x2"], step)))
+        return df.withColumn("_cy", F.explode(_cells(F.col(name)["y1"], F.col(name)["y2"], step)))
 
-    pairs = filed(a, box_a, "_a").join(filed(b, box_b, "_b"), ["_cx", "_cy"])
+    pairs = filed(left, "_a").join(filed(right, "_b"), ["_level", "_cx", "_cy"]).filter(F.col("_level") == F.greatest("_a_level", "_b_level"))
     p, q = F.col("_a"), F.col("_b")
     meet = (p["x1"] <= q["x2"]) & (q["x1"] <= p["x2"]) & (p["y1"] <= q["y2"]) & (q["y1"] <= p["y2"])
-    own = (F.floor(F.greatest(p["x1"], q["x1"]) / size) == F.col("_cx")) & (F.floor(F.greatest(p["y1"], q["y1"]) / size) == F.col("_cy"))
+    step = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    own = (F.floor(F.greatest(p["x1"], q["x1"]) / step) == F.col("_cx")) & (F.floor(F.greatest(p["y1"], q["y1"]) / step) == F.col("_cy"))
     out = pairs.filter(meet & own)
-    return (out if refine is None else out.filter(refine)).drop("_a", "_b", "_cx", "_cy")
+    return (out if refine is None else out.filter(refine)).drop("_a", "_b", "_a_level", "_b_level", "_level", "_cx", "_cy")
 
 
 def distance_join(a: DataFrame, b: DataFrame, pa: tuple[str, str], pb: tuple[str, str], eps: float, name: str = "distance") -> DataFrame:

@@ -158,7 +158,8 @@ def test_spatial_and_patterns(spark):
             root[i] = min(root[j] for j in near[i] if j in core)
     want = {i: root[i] if i in core else min((root[j] for j in near[i] if j in core), default=None) for i in near}
     assert {r.i: r.cluster for r in spatial.dbscan(a, "i", "x", "y", 0.06, 4).collect()} == want
-    assert patterns.optics(a.withColumn("g", F.lit(1)), ["g"], "i", "x", "y", 0.1, 4).count() == 150
+    seen = patterns.optics(a, "i", "x", "y", 0.06, 4).collect()
+    assert len(seen) == 150 and sum(r.reach is None and r.core is not None for r in seen) == len({c for c in want.values() if c is not None})
     assert sum(r.n for r in patterns.kmeans(a.select(F.array("x", "y").alias("v")), "v", 4).collect()) == 150
     move = [(o, t, o * 0.1 + (5 if o > 2 and t > 1 else 0), t * 1.0) for o in range(5) for t in range(4)]
     f = patterns.flocks(spark.createDataFrame(move, "o int, t int, x double, y double"), "o", "t", "x", "y", 0.11, 3, 2)
@@ -420,3 +421,15 @@ def test_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Fake())
+
+
+def test_spatial_join_of_boxes_of_all_sizes(spark):
+    rng = random.Random(5)
+    box = lambda i: (i, (x := rng.uniform(-50, 50)), (y := rng.uniform(-50, 50)), x + rng.choice([0, 0.01, 1, 40, 1e7]) * rng.random(), y + rng.choice([0, 0.02, 2, 1e6]) * rng.random())
+    a, b = [box(i) for i in range(120)], [box(i) for i in range(120)] + [(999, None, None, None, None)]
+    left, right = spark.createDataFrame(a, "i int, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(b, "j int, u1 double, v1 double, u2 double, v2 double")
+    want = sorted((p[0], q[0]) for p in a for q in b if q[1] is not None and p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    for size in (0.05, 5.0, None):
+        got = spatial.spatial_join(left, right, spatial.box_of("x1", "y1", "x2", "y2"), spatial.box_of("u1", "v1", "u2", "v2"), size)
+        assert got.columns == [*left.columns, *right.columns] and sorted((r.i, r.j) for r in got.collect()) == want
+    assert spatial.spatial_join(left.limit(0), right, spatial.box_of("x1", "y1", "x2", "y2"), spatial.box_of("u1", "v1", "u2", "v2")).collect() == []
