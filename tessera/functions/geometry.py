@@ -56,7 +56,7 @@ def ring_area(ring: Column) -> Column:
 def area(region: Column) -> Column:
     """The first ring is the outside; the others are holes in it."""
     areas = F.transform(region, ring_area)
-    return F.when(F.size(region) > 0, 2 * areas[0] - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)).otherwise(0.0)
+    return F.when(F.size(region) > 0, 2 * areas[0] - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)).when(region.isNotNull(), 0.0)
 
 
 def region_perimeter(region: Column) -> Column:
