@@ -96,6 +96,59 @@ def oplang_operators(spark, sf_dir):
     return Session(spark, {"lineitem": rows}).run(OPERATORS.replace("\n", " "))
 
 
+COLLECTIONS = """query orders feed groupby[o_custkey; xs: group feed collect_set[o_shippriority7], ys: group feed collect_set[o_shippriority5]]
+projectextend[o_custkey; both: .xs + .ys, more: insert(.ys, 9), joined: concat(.xs, .ys), u: union(.xs, .ys), i: intersection(.xs, .ys), d: difference(.xs, .ys), sd: sdiff(.ys, .xs), lo: minCommon(.xs, .ys),
+eq: .xs = .ys, ne: .xs # .ys, lt: .xs < .ys, le: .xs <= .ys, gt: .xs > .ys, ge: .xs >= .ys, n: size(.xs), has: contains(.xs, 3), within: inside(.ys, .xs), meet: intersects(.xs, .ys)]"""
+
+
+@R.add(
+    "oplang_collections",
+    """WITH g AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderkey % 7))) AS xs, list_sort(list_distinct(list(o_orderkey % 5))) AS ys FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, list_concat(xs, ys) AS both, list_append(ys, 9) AS more, list_concat(xs, ys) AS joined, list_sort(list_distinct(list_concat(xs, ys))) AS u, list_sort(list_intersect(xs, ys)) AS i,
+    list_filter(xs, lambda x: NOT list_contains(ys, x)) AS d, list_filter(ys, lambda y: NOT list_contains(xs, y)) AS sd, list_min(list_intersect(xs, ys)) AS lo, xs = ys AS eq, xs <> ys AS ne, xs < ys AS lt, xs <= ys AS le,
+    xs > ys AS gt, xs >= ys AS ge, len(xs)::INT AS n, list_contains(xs, 3) AS has, len(list_filter(ys, lambda y: NOT list_contains(xs, y))) = 0 AS within, len(list_intersect(xs, ys)) > 0 AS meet FROM g""",
+)
+def oplang_collections(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumns({"o_shippriority7": c("o_orderkey") % 7, "o_shippriority5": c("o_orderkey") % 5})
+    return Session(spark, {"orders": rows}).run(COLLECTIONS.replace("\n", " "))
+
+
+@R.add(
+    "oplang_instants",
+    """SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL 36 HOUR AS later, o_orderdate::TIMESTAMP - INTERVAL 1 DAY AS sooner, round(epoch(o_orderdate::TIMESTAMP - TIMESTAMP '1995-01-01') / 86400, 6) AS since,
+    o_orderdate::TIMESTAMP < TIMESTAMP '1995-01-01' AS early, o_orderdate::TIMESTAMP = TIMESTAMP '1995-01-01' AS same, o_orderdate::TIMESTAMP > TIMESTAMP '1995-01-01' AS late,
+    o_orderdate::TIMESTAMP <= TIMESTAMP '1996-01-01' AS upto FROM orders WHERE year(o_orderdate) = 1995 OR year(o_orderdate) = 1994""",
+)
+def oplang_instants(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", c("o_orderdate").cast("timestamp_ntz").alias("t"))
+    text = """query orders feed filter[(year_of(.t) = 1995) or (year_of(.t) = 1994)] projectextend[o_orderkey; later: .t + create_duration(1, 43200000), sooner: .t - create_duration(1),
+    since: round(duration2real(.t - theInstant(1995)), 6), early: .t < theInstant(1995), same: .t = theInstant(1995, 1, 1), late: .t > theInstant(1995), upto: .t <= theInstant(1996)]"""
+    return Session(spark, {"orders": rows}).run(text.replace("\n", " "))
+
+
+@R.add(
+    "oplang_objects",
+    """SELECT '(' || n_nationkey || ' "' || n_name || '")' AS value, true AS there, false AS gone, 'string' AS kind, 'filter' AS op, 25 + 1 AS n FROM nation WHERE n_regionkey = 4""",
+)
+def oplang_objects(spark, sf_dir):
+    """Objects are made, changed, derived, listed and deleted by functions of the session."""
+    session = Session(spark, {"nation": table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")})
+    session.run('query letObject(few, "nation feed filter[.n_regionkey = 1] project[n_nationkey, n_name]")')
+    session.run('query updateObject(few, "nation feed filter[.n_regionkey = 4] project[n_nationkey, n_name]")')
+    session.run('query deriveObject(number, "nation feed count")')
+    session.run("let one = 1")
+    there = session.run("query isDBObject(few)") and session.run("query getObjectTypeNL(few)") == "(rel (tuple ((n_nationkey int) (n_name string))))"
+    found = {r.ObjectName for r in session.run("query getcatalog()").collect()}
+    there = there and {"few", "number", "nation", "one"} <= found and {r.ObjectName for r in session.run('query dbobjects("derived")').collect()} == {"number"}
+    n = session.run('query executeScript("let more = number; query more")') + session.run("query one")
+    rows = session.run("query getObjectValueNL(few)")
+    session.run("query deleteObject(few)")
+    takes = session.run("query matchingOperators(string, string)").filter("Name = 'ldistance'").first()
+    kind = "string" if takes is not None and takes.Type == "int" and session.run('query toObject("7", "int")') == 7 else "none"
+    op = session.run('query getOpName("nation feed filter[.n_regionkey = 1]")')
+    return rows.select("value", F.lit(there).alias("there"), F.lit(session.known("few")).alias("gone"), F.lit(kind).alias("kind"), F.lit(op).alias("op"), F.lit(n).alias("n"))
+
+
 class _Server:
     """A server on this host for one stream: it gives lines to every caller, or takes lines from all."""
 
