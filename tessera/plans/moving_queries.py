@@ -8,6 +8,7 @@ from tessera.functions import geometry as g
 from tessera.functions import moving as m
 from tessera.functions import regions
 from tessera.functions import scalars as s
+from tessera.functions.moving_forms import form
 from tessera.operators import graph, patterns, sketches, spatial
 from tessera.plans.registry import Registry, table
 from tessera.plans.spatial_queries import EDGE_SQL, POINT_SQL, edges, points
@@ -162,6 +163,26 @@ def region_relations(spark, sf_dir):
     return p.select("p_partkey", "bits", "adjacent_", "overlaps_", "touches_", F.round(left, 6).alias("left_"), F.round(100 - left + 0.0, 6).alias("right_"))
 
 
+@R.add(
+    "moving_forms",
+    f"""WITH u AS ({UNITS_SQL}), l AS ({LABEL_SQL}), k AS (SELECT *, greatest(ts, TIMESTAMP '{SPAN[0]}') AS s, least(until, TIMESTAMP '{SPAN[1]}') AS e FROM u),
+    p AS (SELECT user_id, round(max(x + (x2 - x) * (epoch(TIMESTAMP '{AT}') - epoch(ts)) / span) FILTER (ts <= TIMESTAMP '{AT}' AND TIMESTAMP '{AT}' < until), 5) AS x, count(*) FILTER (s < e AND way > 0)::INT AS ways,
+    min(s) FILTER (s < e) AS since, bool_or(ts <= TIMESTAMP '{AT}' AND TIMESTAMP '{AT}' < until) AS there, count(*) FILTER (s < e) > 0 AS any_ FROM k GROUP BY user_id),
+    q AS (SELECT user_id, count(*) FILTER (event_type = 'view')::INT AS views, list_sort(list(DISTINCT event_type)) AS kinds, bool_or(event_type = 'purchase') AS buys FROM l GROUP BY user_id)
+    SELECT p.*, views, kinds, buys FROM p JOIN q USING (user_id)""",
+)
+def moving_forms(spark, sf_dir):
+    labels = m.labels(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_type").select("user_id", c("units").alias("lab"))
+    t = trips(spark, sf_dir).join(labels, "user_id").withColumns({"six": at(AT), "week": span(), "view": F.lit("view"), "purchase": F.lit("purchase")})
+    f = lambda text: form(t, text)
+    return t.select(
+        "user_id", F.round(f("get units:pos from [units, six] where units:t = six:t")["x"], 5).alias("x"), F.size(f("get units:pos from [units, week] where units:t = week:t")).alias("ways"),
+        f("get units:t from [units, week] where units:t = week:t")[0]["s"].alias("since"), f("exists(get * from [units, six] where units:t = six:t)").alias("there"),
+        f("exists(get * from [units, week] where units:t = week:t)").alias("any_"), F.size(f("get * from [lab, view] where lab:v = view:v")).alias("views"), f("get lab:v from lab").alias("kinds"),
+        f("exists (get * from [lab, purchase] where lab:v = purchase:v)").alias("buys"),
+    )
+
+
 @R.add("z_cells", "SELECT p_partkey, list_sum(list_transform(range(0, 16), lambda i: (((p_size >> i) & 1) << (2 * i)) + (((p_partkey >> i) & 1) << (2 * i + 1))))::BIGINT AS z FROM (SELECT p_partkey::BIGINT AS p_partkey, p_size::BIGINT AS p_size FROM part)")
 def z_cells(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", s.z_order(c("p_size"), c("p_partkey")).alias("z"))
