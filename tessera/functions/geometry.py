@@ -36,7 +36,8 @@ def direction(p: Column, q: Column) -> Column:
 def polyline(points: Column) -> Column:
     """Segments between successive points."""
     n = F.size(points)
-    return F.when(n >= 2, F.zip_with(F.slice(points, F.lit(1), n - 1), F.slice(points, F.lit(2), n - 1), lambda p, q: segment(p["x"], p["y"], q["x"], q["y"]))).otherwise(F.array())
+    return F.when(n >= 2, F.zip_with(F.slice(points, F.lit(1), n - 1), F.slice(points, F.lit(2), n - 1),
+        lambda p, q: segment(p["x"], p["y"], q["x"], q["y"]))).otherwise(F.array())
 
 
 def edges(ring: Column) -> Column:
@@ -76,7 +77,8 @@ def region_bbox(region: Column) -> Column:
 
 def inside(p: Column, region: Column) -> Column:
     """Point in region by the number of edges to its right; points on a border fall to the lower left side."""
-    crosses = lambda e: ((e["y1"] > p["y"]) != (e["y2"] > p["y"])) & (p["x"] < (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])
+    crosses = lambda e: ((e["y1"] > p["y"]) != (e["y2"] > p["y"])) & (p["x"] < (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) / F.nullif(e["y2"] - e["y1"],
+        F.lit(0.0)) + e["x1"])
     return F.size(F.filter(F.flatten(F.transform(region, edges)), crosses)) % 2 == 1
 
 
@@ -104,7 +106,8 @@ def regions_intersect(a: Column, b: Column) -> Column:
 
 def point_segment_distance(p: Column, e: Column) -> Column:
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    along = F.coalesce(F.least(F.greatest(((p["x"] - e["x1"]) * dx + (p["y"] - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    along = F.coalesce(F.least(F.greatest(((p["x"] - e["x1"]) * dx + (p["y"] - e["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)),
+        F.lit(1.0)), F.lit(0.0))
     return F.hypot(p["x"] - e["x1"] - along * dx, p["y"] - e["y1"] - along * dy)
 
 
@@ -235,10 +238,12 @@ def crossings(a: Column, b: Column) -> Column:
 
 def line_at(line: Column, position: Column) -> Column:
     """The point at a distance along a line of joined segments; undefined beyond its ends."""
-    seen = F.transform(line, lambda e, i: F.struct(length(F.slice(line, F.lit(1), i)).alias("from"), F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]).alias("size"), e.alias("e")))
+    seen = F.transform(line, lambda e, i: F.struct(length(F.slice(line, F.lit(1), i)).alias("from"),
+        F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]).alias("size"), e.alias("e")))
     own = F.get(F.filter(seen, lambda s: (position >= s["from"]) & (position <= s["from"] + s["size"])), F.lit(0))
     f = (position - own["from"]) / F.nullif(own["size"], F.lit(0.0))
-    return F.when(own.isNotNull(), point(own["e"]["x1"] + F.coalesce(f, F.lit(0.0)) * (own["e"]["x2"] - own["e"]["x1"]), own["e"]["y1"] + F.coalesce(f, F.lit(0.0)) * (own["e"]["y2"] - own["e"]["y1"])))
+    return F.when(own.isNotNull(), point(own["e"]["x1"] + F.coalesce(f, F.lit(0.0)) * (own["e"]["x2"] - own["e"]["x1"]),
+        own["e"]["y1"] + F.coalesce(f, F.lit(0.0)) * (own["e"]["y2"] - own["e"]["y1"])))
 
 
 def line_locate(line: Column, p: Column) -> Column:
@@ -247,7 +252,8 @@ def line_locate(line: Column, p: Column) -> Column:
     def place(e: Column, i: Column) -> Column:
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
         size = F.hypot(dx, dy)
-        along = F.coalesce(F.least(F.greatest(((p["x"] - e["x1"]) * dx + (p["y"] - e["y1"]) * dy) / F.nullif(size * size, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        along = F.coalesce(F.least(F.greatest(((p["x"] - e["x1"]) * dx + (p["y"] - e["y1"]) * dy) / F.nullif(size * size, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)),
+            F.lit(0.0))
         return F.struct(point_segment_distance(p, e).alias("away"), (length(F.slice(line, F.lit(1), i)) + along * size).alias("at"))
 
     return F.array_min(F.transform(line, place))["at"]

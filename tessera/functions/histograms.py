@@ -97,7 +97,8 @@ def shrink(h: Column, lo: object, hi: object, eager: bool = True) -> Column:
     """Without bins that lie (eager: partly; else: wholly) outside lo to hi."""
     bins = F.transform(h["counts"], lambda c, i: F.struct(F.get(h["bounds"], i).alias("a"), F.get(h["bounds"], i + 1).alias("b"), c.alias("c")))
     kept = F.filter(bins, lambda s: (s["a"] >= lo) & (s["b"] <= hi) if eager else (s["b"] > lo) & (s["a"] < hi))
-    bounds = F.when(F.size(kept) > 0, F.concat(F.transform(kept, lambda s: s["a"]), F.array(F.element_at(kept, -1)["b"]))).otherwise(F.array().cast("array<double>"))
+    bounds = F.when(F.size(kept) > 0,
+        F.concat(F.transform(kept, lambda s: s["a"]), F.array(F.element_at(kept, -1)["b"]))).otherwise(F.array().cast("array<double>"))
     return F.struct(bounds.alias("bounds"), F.transform(kept, lambda s: s["c"]).alias("counts"))
 
 

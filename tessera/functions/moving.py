@@ -39,7 +39,8 @@ def unit_point(s: Column, e: Column, x1: Column, y1: Column, x2: Column, y2: Col
 
 
 def unit_real(s: Column, e: Column, a: Column, b: Column, c: Column, r: object = False, lc: object = True, rc: object = False) -> Column:
-    return F.struct(*interval(s, e, lc, rc), *(x.cast("double").alias(n) for x, n in zip((a, b, c), "abc", strict=True)), (r if isinstance(r, Column) else F.lit(r)).alias("r"))
+    return F.struct(*interval(s, e, lc, rc), *(x.cast("double").alias(n) for x, n in zip((a, b, c), "abc", strict=True)),
+        (r if isinstance(r, Column) else F.lit(r)).alias("r"))
 
 
 def covers(u: Column, t: Column) -> Column:
@@ -98,7 +99,10 @@ def deftime(units: Column) -> Column:
         return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(own)))
 
     safe = F.when(F.size(units) > 0, units)
-    return F.coalesce(F.aggregate(safe, start, lambda acc, u: F.when(F.size(acc) == 0, F.array(F.struct(u["s"].alias("s"), u["e"].alias("e"), u["lc"].alias("lc"), u["rc"].alias("rc")))).otherwise(step(F.when(F.size(acc) > 0, acc), u))), start)
+    return F.coalesce(F.aggregate(safe, start,
+        lambda acc, u: F.when(F.size(acc) == 0,
+            F.array(F.struct(u["s"].alias("s"), u["e"].alias("e"), u["lc"].alias("lc"), u["rc"].alias("rc")))).otherwise(step(F.when(F.size(acc) > 0, acc),
+                u))), start)
 
 
 def duration(units: Column) -> Column:
@@ -189,7 +193,8 @@ def compact(units: Column) -> Column:
 
     def step(acc: Column, u: Column) -> Column:
         last = F.element_at(acc, -1)
-        return F.when(same(last, u), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined(last, u)))).otherwise(F.concat(acc, F.array(unit_const(u["s"], u["e"], u["v"], u["lc"], u["rc"]))))
+        return F.when(same(last, u), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined(last, u)))).otherwise(F.concat(acc,
+            F.array(unit_const(u["s"], u["e"], u["v"], u["lc"], u["rc"]))))
 
     return F.when(F.size(units) > 0, F.aggregate(rest, first, step)).otherwise(units)
 
@@ -208,7 +213,8 @@ def travelled(units: Column) -> Column:
 def speed(units: Column) -> Column:
     """Moving real: units of length a second."""
     span = lambda u: F.nullif(seconds(u["e"]) - seconds(u["s"]), F.lit(0.0))
-    return F.transform(units, lambda u: unit_real(u["s"], u["e"], F.lit(0.0), F.lit(0.0), F.hypot(u["x2"] - u["x1"], u["y2"] - u["y1"]) / span(u), False, u["lc"], u["rc"]))
+    return F.transform(units, lambda u: unit_real(u["s"], u["e"], F.lit(0.0), F.lit(0.0), F.hypot(u["x2"] - u["x1"], u["y2"] - u["y1"]) / span(u), False,
+        u["lc"], u["rc"]))
 
 
 def velocity(units: Column) -> Column:
@@ -238,7 +244,8 @@ def distance_to(units: Column, x: Column, y: Column) -> Column:
 
 def _extreme(u: Column, low: bool) -> Column:
     days = (seconds(u["e"]) - seconds(u["s"])) / DAY
-    value = lambda d: F.when(u["r"], F.sqrt(F.greatest(u["a"] * d * d + u["b"] * d + u["c"], F.lit(0.0)))).otherwise(u["a"] * d * d + u["b"] * d + u["c"])
+    value = lambda d: F.when(u["r"],
+        F.sqrt(F.greatest(u["a"] * d * d + u["b"] * d + u["c"], F.lit(0.0)))).otherwise(u["a"] * d * d + u["b"] * d + u["c"])
     turn = F.least(F.greatest(F.coalesce(-u["b"] / (2 * F.nullif(u["a"], F.lit(0.0))), F.lit(0.0)), F.lit(0.0)), days)
     return (F.least if low else F.greatest)(value(F.lit(0.0)), value(days), value(turn))
 
@@ -357,7 +364,8 @@ def lcss(eps: float) -> Callable[[Column, Column], Column]:
 def repeated(units: Column, period_seconds: object, times: int) -> Column:
     """A periodic value: constant units, shifted by the period so many times (the first time by none)."""
     shift = lambda t, i: F.timestamp_micros((F.unix_micros(t) + i.cast("long") * F.lit(period_seconds) * F.lit(1_000_000).cast("long")).cast("long"))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda i: F.transform(units, lambda u: unit_const(shift(u["s"], i), shift(u["e"], i), u["v"], u["lc"], u["rc"]))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(times - 1)),
+        lambda i: F.transform(units, lambda u: unit_const(shift(u["s"], i), shift(u["e"], i), u["v"], u["lc"], u["rc"]))))
 
 
 def the_period(year: int, month: int | None = None, day: int | None = None, hour: int | None = None) -> Column:

@@ -38,7 +38,8 @@ def _value(x: object) -> object:
 FUNCTIONS |= {
     "sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "arctan2": F.atan2,
     "rad2deg": F.degrees, "deg2rad": F.radians, "abs": F.abs, "floor": F.floor, "ceil": F.ceil, "isnan": F.isnan, "pow": F.pow,
-    "log": F.ln, "ln": F.ln, "length": F.length, "ldistance": F.levenshtein, "toupper": F.upper, "tolower": F.lower, "trim": F.trim, "md5": lambda s: F.md5(s.cast("binary")),
+    "log": F.ln, "ln": F.ln, "length": F.length, "ldistance": F.levenshtein, "toupper": F.upper, "tolower": F.lower, "trim": F.trim,
+        "md5": lambda s: F.md5(s.cast("binary")),
 }
 
 
@@ -176,7 +177,8 @@ def assert_true(test: Column) -> Column:
     return F.assert_true(test).isNull()
 
 
-_BOUNDS = {"int": (-(1 << 31), (1 << 31) - 1), "longint": (-(1 << 63), (1 << 63) - 1), "real": (-1.7976931348623157e308, 1.7976931348623157e308), "bool": (False, True)}
+_BOUNDS = {"int": (-(1 << 31), (1 << 31) - 1), "longint": (-(1 << 63), (1 << 63) - 1), "real": (-1.7976931348623157e308, 1.7976931348623157e308),
+    "bool": (False, True)}
 
 
 @named("getMinVal")
@@ -243,7 +245,8 @@ def tokenize(s: Column, separators: str) -> Column:
 @named("dice")
 def dice(a: Column, b: Column, n: int = 2) -> Column:
     """Dice coefficient of the sets of n-grams of characters."""
-    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: s.substr(i, F.lit(n))))
+    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
+        lambda i: s.substr(i, F.lit(n))))
     x, y = grams(a), grams(b)
     return 2 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
 
@@ -352,7 +355,8 @@ def check_password(s: Column, hashed: Column) -> Column:
 
 # Instants and durations
 
-FUNCTIONS |= {"year_of": F.year, "month_of": F.month, "day_of": F.dayofmonth, "hour_of": F.hour, "minute_of": F.minute, "second_of": F.second, "now": F.current_timestamp, "today": F.current_date}
+FUNCTIONS |= {"year_of": F.year, "month_of": F.month, "day_of": F.dayofmonth, "hour_of": F.hour, "minute_of": F.minute, "second_of": F.second,
+    "now": F.current_timestamp, "today": F.current_date}
 
 
 @named("weekday_of")
@@ -715,4 +719,6 @@ OVERLOADED: dict[str, dict[str, Callable[..., Column]]] = {
     "size": {"array": F.size, "struct": rect_size},
     "components": {"array": F.explode},
 }
-FUNCTIONS |= {"collect_set": lambda x: F.array_sort(F.collect_set(x)), "collect_multiset": lambda x: F.array_sort(F.collect_list(x)), "collect_vector": lambda x: F.collect_list(x), "collect_intset": lambda x: F.array_sort(F.collect_set(x.cast("int"))), "feedIS": F.explode, "seqnext": F.monotonically_increasing_id, "binands": F.bit_and}
+FUNCTIONS |= {"collect_set": lambda x: F.array_sort(F.collect_set(x)), "collect_multiset": lambda x: F.array_sort(F.collect_list(x)),
+    "collect_vector": lambda x: F.collect_list(x), "collect_intset": lambda x: F.array_sort(F.collect_set(x.cast("int"))), "feedIS": F.explode,
+        "seqnext": F.monotonically_increasing_id, "binands": F.bit_and}

@@ -52,7 +52,9 @@ def cjoin(a: DataFrame, b: DataFrame, left: str, right: str, name: str = "constr
     """
     a, b = a.withColumn("_p", corners(F.col(left))), b.withColumn("_q", corners(F.col(right)))
     side = lambda c, n: F.transform(c, lambda p: p[n])
-    box = lambda c: F.when(F.size(c) > 0, F.struct(*(f(side(c, n)).alias(k) for f, n, k in ((F.array_min, "x", "x1"), (F.array_min, "y", "y1"), (F.array_max, "x", "x2"), (F.array_max, "y", "y2")))))
+    box = lambda c: F.when(F.size(c) > 0,
+        F.struct(*(f(side(c, n)).alias(k) for f, n,
+            k in ((F.array_min, "x", "x1"), (F.array_min, "y", "y1"), (F.array_max, "x", "x2"), (F.array_max, "y", "y2")))))
     pairs = spatial_join(a.withColumn("_box", box("_p")), b.withColumn("_rbox", box("_q")), F.col("_box"), F.col("_rbox"))
     pairs = pairs.drop("_p", "_q", "_box", "_rbox").withColumn(name, F.concat(left, right))
     return pairs.filter(F.size(corners(F.col(name))) > 0)

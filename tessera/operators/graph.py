@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     raise RuntimeError("components did not settle")
 
 
-def pregel(vertices: DataFrame, messages: DataFrame, compute: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], supersteps: int | None = None) -> DataFrame:
+def pregel(vertices: DataFrame, messages: DataFrame, compute: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+    supersteps: int | None = None) -> DataFrame:
     """Run supersteps until no message is left, or so many: compute(vertices, messages) gives the new vertices and messages."""
     step = 0
     messages = materialise(messages)
@@ -50,8 +51,10 @@ def shortest_paths(edges: DataFrame, source: object, a: str = "a", b: str = "b",
     state = spark.createDataFrame([(source, 0.0, True)], f"node {kind}, distance double, moved boolean")
     while not state.filter("moved").isEmpty():
         moved = state.filter("moved")
-        found = moved.join(links, moved["node"] == links["u"]).select(F.col("v").alias("node"), F.lit(None).cast("double").alias("old"), (F.col("distance") + F.col("w")).alias("new"))
-        both = found.union(state.select("node", "distance", F.lit(None).cast("double"))).groupBy("node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        found = moved.join(links, moved["node"] == links["u"]).select(F.col("v").alias("node"), F.lit(None).cast("double").alias("old"),
+            (F.col("distance") + F.col("w")).alias("new"))
+        both = found.union(state.select("node", "distance", F.lit(None).cast("double"))).groupBy("node").agg(F.min("old").alias("old"),
+            F.min("new").alias("new"))
         better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
         state = materialise(both.select("node", F.least("old", "new").alias("distance"), better.alias("moved")))
     return state.select("node", "distance")
@@ -69,7 +72,8 @@ def page_rank(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 10, da
     ranks = ranks.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         lost = ranks.filter("degree = 0").agg(F.sum("rank")).first()[0] or 0.0
-        given = ranks.filter("degree > 0").join(links, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("rank") / F.col("degree")).alias("got"), F.lit(None).cast("long").alias("degree"))
+        given = ranks.filter("degree > 0").join(links, F.col("node") == F.col("u")).select(F.col("v").alias("node"),
+            (F.col("rank") / F.col("degree")).alias("got"), F.lit(None).cast("long").alias("degree"))
         both = given.union(ranks.select("node", F.lit(0.0), "degree")).groupBy("node").agg(F.sum("got").alias("got"), F.max("degree").alias("degree"))
         ranks = materialise(both.select("node", "degree", (F.lit((1 - damping) / n) + damping * (F.col("got") + F.lit(lost / n))).alias("rank")))
     return ranks.select("node", "rank")
@@ -98,4 +102,5 @@ def strong_rules(baskets: DataFrame, items: str, support: float, confidence: flo
     from pyspark.ml.fpm import FPGrowth
 
     model = FPGrowth(itemsCol=items, minSupport=support, minConfidence=confidence).fit(baskets)
-    return model.associationRules.select(F.array_sort("antecedent").alias("Antecedent"), F.array_sort("consequent").alias("Consequent"), F.col("confidence").alias("Confidence"))
+    return model.associationRules.select(F.array_sort("antecedent").alias("Antecedent"), F.array_sort("consequent").alias("Consequent"),
+        F.col("confidence").alias("Confidence"))

@@ -21,7 +21,8 @@ def adjacent_sections(sections: DataFrame, sid: str, a: str, b: str) -> DataFram
 def network_distances(sections: DataFrame, sid: str, a: str, b: str, length: str, place: tuple[object, float], places: DataFrame, at: str) -> DataFrame:
     """places (columns sid and at) with distance along the network from one position; null where it isn't reached. Sections lead both ways."""
     on, way = place
-    own = sections.filter(F.col(sid) == F.lit(on)).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(length).cast("double").alias("len"))
+    own = sections.filter(F.col(sid) == F.lit(on)).select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"),
+        F.col(length).cast("double").alias("len"))
     start = own.select(F.lit("start").alias("u"), F.concat(F.lit("n"), "a").alias("v"), F.lit(float(way)).alias("w"))
     start = start.union(own.select(F.lit("start"), F.concat(F.lit("n"), "b"), F.col("len") - float(way)))
     name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))

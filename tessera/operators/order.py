@@ -69,7 +69,8 @@ def _with_neighbour(df: DataFrame, order: list[str], step: int) -> tuple[DataFra
     rows = numbered(df, order, "_n")
     block = F.floor(F.col("_n") / BLOCK)
     near = F.floor((F.col("_n") - step) / BLOCK)
-    seats = F.when((near != block) & (near >= 0), F.array(F.struct(block.alias("b"), F.lit(False).alias("guest")), F.struct(near.alias("b"), F.lit(True).alias("guest"))))
+    seats = F.when((near != block) & (near >= 0),
+        F.array(F.struct(block.alias("b"), F.lit(False).alias("guest")), F.struct(near.alias("b"), F.lit(True).alias("guest"))))
     rows = rows.withColumn("_seat", F.explode(F.coalesce(seats, F.array(F.struct(block.alias("b"), F.lit(False).alias("guest"))))))
     return rows, Window.partitionBy("_seat.b").orderBy("_n")
 
@@ -160,7 +161,9 @@ def cancel(df: DataFrame, stop: Column, order: list[str]) -> DataFrame:
 def reduce_runs(df: DataFrame, same: list[str], order: list[str], **aggregates: Column) -> DataFrame:
     """Collapse runs of neighbouring rows that agree in `same`: run (0, 1, ...), those columns and the aggregates."""
     rows = numbered(df, order, "_n")
-    marked = extend_last(rows, ["_n"], _new=(lambda last: F.when(F.struct(*same).eqNullSafe(F.struct(*(last(c).alias(c) for c in same))), 0).otherwise(1), 0)).withColumn("_new", F.col("_new").cast("long"))
+    marked = extend_last(rows, ["_n"],
+        _new=(lambda last: F.when(F.struct(*same).eqNullSafe(F.struct(*(last(c).alias(c) for c in same))), 0).otherwise(1), 0)).withColumn("_new",
+            F.col("_new").cast("long"))
     runs = extend_aggr(marked, ["_n"], run=("sum", "_new"))
     return runs.groupBy("run", *same).agg(*(c.alias(n) for n, c in aggregates.items()))
 

@@ -42,7 +42,8 @@ def knn_join(a: DataFrame, b: DataFrame, ident: str, pa: tuple[str, str], pb: tu
 
 def flocks(positions: DataFrame, ident: str, step: str, x: str, y: str, radius: float, least: int, steps: int) -> DataFrame:
     """Groups that stay together: members (sorted ids), first, last (steps): at each of at least `steps` successive steps a component of the graph of neighbours within radius, of at least `least` objects, has these members."""
-    rows = positions.select(F.col(ident).alias("i"), F.col(step).cast("long").alias("t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = positions.select(F.col(ident).alias("i"), F.col(step).cast("long").alias("t"), F.col(x).cast("double").alias("x"),
+        F.col(y).cast("double").alias("y"))
     others = rows.select(F.col("i").alias("j"), F.col("t").alias("u"), F.col("x").alias("p"), F.col("y").alias("q"))
     near = distance_join(rows, others, ("x", "y"), ("p", "q"), radius).filter("t = u and i < j")
     node = lambda i: F.struct(F.col("t"), F.col(i).alias("i"))
@@ -53,7 +54,8 @@ def flocks(positions: DataFrame, ident: str, step: str, x: str, y: str, radius:
     return runs.filter(F.col("last") - F.col("first") + 1 >= steps).select("members", "first", "last")
 
 
-def sequence_pattern(df: DataFrame, by: list[str], order: list[str], steps: list[Column], within_seconds: float | None = None, time: str | None = None) -> DataFrame:
+def sequence_pattern(df: DataFrame, by: list[str], order: list[str], steps: list[Column], within_seconds: float | None = None,
+    time: str | None = None) -> DataFrame:
     """Keys at which rows fulfil the steps one after another: the earliest end of each prefix is carried along, so a key takes one pass."""
     matched = df
     for i, s in enumerate(steps):
@@ -173,7 +175,9 @@ def random_values(df: DataFrame, key: Column, seed: int, kind: str = "uniform",
         return -F.log(u(0)) / a
     if kind == "poisson":
         steps = F.sequence(F.lit(1), F.lit(int(a + 10 * a**0.5 + 20)))
-        terms = F.aggregate(steps, F.struct(F.exp(F.lit(-a)).alias("p"), F.exp(F.lit(-a)).alias("c"), F.lit(0).alias("n")), lambda s, k: F.struct((s["p"] * a / k).alias("p"), (s["c"] + s["p"] * a / k).alias("c"), F.when(s["c"] < u(0), s["n"] + 1).otherwise(s["n"]).alias("n")))
+        terms = F.aggregate(steps, F.struct(F.exp(F.lit(-a)).alias("p"), F.exp(F.lit(-a)).alias("c"), F.lit(0).alias("n")),
+            lambda s, k: F.struct((s["p"] * a / k).alias("p"), (s["c"] + s["p"] * a / k).alias("c"),
+                F.when(s["c"] < u(0), s["n"] + 1).otherwise(s["n"]).alias("n")))
         return terms["n"]
     raise ValueError(f"no distribution {kind!r}")
 
@@ -202,7 +206,8 @@ def map_match(positions: DataFrame, roads: DataFrame, ident: list[str], x: str,
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     r = roads.select("road", *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")))
     box = F.struct((px - radius).alias("x1"), (py - radius).alias("y1"), (px + radius).alias("x2"), (py + radius).alias("y2"))
-    road_box = F.struct(F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
+    road_box = F.struct(F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"),
+        F.greatest("y1", "y2").alias("y2"))
     pairs = spatial_join(positions, r, box, road_box, max(2 * radius, 1e-9))
     away = point_segment_distance(point(px, py), F.struct("x1", "y1", "x2", "y2"))
     best = pairs.withColumn("away", away).filter(F.col("away") <= radius).groupBy(*ident).agg(F.min(F.struct("away", "road")).alias("_m"))

@@ -42,7 +42,8 @@ def neighbourhood(r: DataFrame, radius: int, aggregate: Callable[[str], Column])
 
 def upsample(r: DataFrame, factor: int) -> DataFrame:
     """Coarser cells with the mean of theirs."""
-    return r.groupBy(F.floor(F.col("cell_x") / factor).cast("int").alias("cell_x"), F.floor(F.col("cell_y") / factor).cast("int").alias("cell_y")).agg(F.avg("v").alias("v"))
+    return r.groupBy(F.floor(F.col("cell_x") / factor).cast("int").alias("cell_x"),
+        F.floor(F.col("cell_y") / factor).cast("int").alias("cell_y")).agg(F.avg("v").alias("v"))
 
 
 def slope(r: DataFrame, size: float) -> DataFrame:

@@ -182,7 +182,8 @@ def loopjoin(a: DataFrame, inner: Callable[[Callable[[str], Column]], DataFrame]
 def loopsel(a: DataFrame, inner: Callable[[Callable[[str], Column]], DataFrame]) -> DataFrame:
     """As loopjoin, with the inner columns only."""
     joined = loopjoin(a, inner)
-    return joined.toDF(*(f"_{i}" for i in range(len(joined.columns)))).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(joined.columns) if i >= len(a.columns)))
+    return joined.toDF(*(f"_{i}" for i in range(len(joined.columns)))).select(*(F.col(f"_{i}").alias(c) for i,
+        c in enumerate(joined.columns) if i >= len(a.columns)))
 
 
 def matchbelow(a: DataFrame, b: DataFrame, left: str, right: str, by: tuple[str, str] | None = None, kept: list[str] | None = None) -> DataFrame:
@@ -197,8 +198,10 @@ def matchbelow(a: DataFrame, b: DataFrame, left: str, right: str, by: tuple[str,
     payload = F.struct(F.col(right).alias("_key"), *(F.col(c).alias(f"{c}") for c in kept))
     names = a.columns
     rows = a.select(F.col(left).alias("_at"), (F.col(by[0]) if by else F.lit(0)).alias("_by"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"))
-    right_rows = b.filter(F.col(right).isNotNull()).select(F.col(right).alias("_at"), (F.col(by[1]) if by else F.lit(0)).alias("_by"), F.lit(0).alias("_side"), payload.alias("_match"))
-    both = rows.withColumn("_match", F.lit(None).cast(right_rows.schema["_match"].dataType)).unionByName(right_rows.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    right_rows = b.filter(F.col(right).isNotNull()).select(F.col(right).alias("_at"), (F.col(by[1]) if by else F.lit(0)).alias("_by"), F.lit(0).alias("_side"),
+        payload.alias("_match"))
+    both = rows.withColumn("_match",
+        F.lit(None).cast(right_rows.schema["_match"].dataType)).unionByName(right_rows.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = (F.col("_at").cast("timestamp") if right_rows.schema["_at"].dataType.simpleString() in ("timestamp_ntz", "date") else F.col("_at")).cast("double")
     cuts = sorted(set(right_rows.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []))
@@ -207,7 +210,8 @@ def matchbelow(a: DataFrame, b: DataFrame, left: str, right: str, by: tuple[str,
     cells = both.groupBy("_by", "_range").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_match"))).alias("_top"))
     before = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     guests = cells.select("_by", "_range", F.last("_top", ignorenulls=True).over(before).alias("_top")).filter("_top is not null")
-    guests = guests.select(F.col("_top._at").alias("_at"), "_by", F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.col("_top._match").alias("_match"), "_range")
+    guests = guests.select(F.col("_top._at").alias("_at"), "_by", F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"),
+        F.col("_top._match").alias("_match"), "_range")
     both = both.unionByName(guests)
     window = Window.partitionBy("_by", "_range").orderBy(F.col("_at").asc_nulls_first(), "_side", "_match")
     carried = F.last("_match", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
@@ -222,7 +226,8 @@ def stats(df: DataFrame, x: str, y: str) -> DataFrame:
     """Joint statistics of two columns in one pass."""
     parts = [F.count(F.lit(1)).alias("Count")]
     for n, c in (("X", x), ("Y", y)):
-        parts += [F.count(c).alias(f"Count{n}"), F.sum(c).alias(f"Sum{n}"), F.avg(c).alias(f"Avg{n}"), F.min(c).alias(f"Min{n}"), F.max(c).alias(f"Max{n}"), F.var_samp(c).alias(f"Var{n}")]
+        parts += [F.count(c).alias(f"Count{n}"), F.sum(c).alias(f"Sum{n}"), F.avg(c).alias(f"Avg{n}"), F.min(c).alias(f"Min{n}"), F.max(c).alias(f"Max{n}"),
+            F.var_samp(c).alias(f"Var{n}")]
     return df.agg(*parts, F.covar_samp(x, y).alias("CovXY"), F.corr(x, y).alias("CorrXY"))
 
 
@@ -236,7 +241,8 @@ def groupby2(df: DataFrame, by: list[str], **folds: tuple[str, Callable[[Column,
     Values of a group are gathered, so groups must fit into memory; use groupby with built-in aggregates where there is one.
     """
     gathered = df.groupBy(*by).agg(*(F.array_sort(F.collect_list(c)).alias(f"_v_{n}") for n, (c, _, _) in folds.items()))
-    return gathered.select(*by, *(F.aggregate(f"_v_{n}", F.lit(start) if not isinstance(start, Column) else start, f).alias(n) for n, (_, f, start) in folds.items()))
+    return gathered.select(*by, *(F.aggregate(f"_v_{n}", F.lit(start) if not isinstance(start, Column) else start, f).alias(n) for n,
+        (_, f, start) in folds.items()))
 
 
 def fold(df: DataFrame, column: str, f: Callable[[Column, Column], Column], initial: object) -> DataFrame:
@@ -266,7 +272,8 @@ def unnest(df: DataFrame, name: str) -> DataFrame:
 
 def histogram_equiwidth(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> DataFrame:
     """bin (1 to bins, 0 and bins + 1 outside) and its count."""
-    return df.filter(F.col(column).isNotNull()).groupBy(F.width_bucket(F.col(column), F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
+    return df.filter(F.col(column).isNotNull()).groupBy(F.width_bucket(F.col(column), F.lit(lo), F.lit(hi),
+        F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def histogram_equicount(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -366,7 +373,8 @@ def keyrange(df: DataFrame, column: str, key: object) -> DataFrame:
     """Less, Equal, Greater (fractions) and NumOfKeys."""
     c, k = F.col(column), F.lit(key)
     share = lambda p: F.avg(F.when(p, 1.0).otherwise(0.0))
-    return df.filter(c.isNotNull()).agg(share(c < k).alias("Less"), share(c == k).alias("Equal"), share(c > k).alias("Greater"), F.count("*").alias("NumOfKeys"))
+    return df.filter(c.isNotNull()).agg(share(c < k).alias("Less"), share(c == k).alias("Equal"), share(c > k).alias("Greater"),
+        F.count("*").alias("NumOfKeys"))
 
 
 def search_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:

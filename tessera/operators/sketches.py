@@ -26,7 +26,8 @@ def _places(c: Column, bits: int, hashes: int) -> Column:
 def bloom_contains(df: DataFrame, column: str, bloom: DataFrame, bits: int = 1 << 20, hashes: int = 5) -> DataFrame:
     """df with maybe (false: surely not in the filter). The filter has at most bits / 32768 rows, so it is broadcast."""
     whole = bloom.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("_bloom"))
-    byte = lambda p: F.conv(F.hex(F.substring(F.element_at("_bloom", F.floor(p / BITS)), F.floor((p % BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    byte = lambda p: F.conv(F.hex(F.substring(F.element_at("_bloom", F.floor(p / BITS)), F.floor((p % BITS) / 8).cast("int") + 1, F.lit(1))), 16,
+        10).cast("long")
     hit = F.forall(_places(F.col(column), bits, hashes), lambda p: F.coalesce(F.getbit(byte(p), (p % 8).cast("int")) == 1, F.lit(False)))
     return df.crossJoin(F.broadcast(whole)).withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("_bloom")
 
@@ -47,7 +48,8 @@ def cm_count(df: DataFrame, column: str, sketch: DataFrame, width: int = 2048, d
 def ams(df: DataFrame, column: str, width: int = 64, depth: int = 7) -> DataFrame:
     """row, cell, z: signed counts whose squares estimate the second moment."""
     h = lambda i, salt: F.xxhash64(F.lit(salt + i), F.col(column))
-    cells = F.array(*(F.struct(F.lit(i).alias("row"), F.pmod(h(i, 200), F.lit(width)).alias("cell"), (F.pmod(h(i, 300), F.lit(2)) * 2 - 1).alias("sign")) for i in range(depth)))
+    cells = F.array(*(F.struct(F.lit(i).alias("row"), F.pmod(h(i, 200), F.lit(width)).alias("cell"),
+        (F.pmod(h(i, 300), F.lit(2)) * 2 - 1).alias("sign")) for i in range(depth)))
     return df.filter(F.col(column).isNotNull()).select(F.inline(cells)).groupBy("row", "cell").agg(F.sum("sign").alias("z"))
 
 
@@ -75,7 +77,8 @@ def lossy_counts(df: DataFrame, column: str, error: float) -> DataFrame:
                 kept = {v: n - cut for v, n in kept.items() if n > cut}
                 lost += cut
         values = [None, *kept]
-        yield pa.record_batch([pa.array(values, pa.string()), pa.array([0, *kept.values()], pa.int64()), pa.array([lost] + [0] * len(kept), pa.int64())], ["value", "n", "missed"])
+        yield pa.record_batch([pa.array(values, pa.string()), pa.array([0, *kept.values()], pa.int64()), pa.array([lost] + [0] * len(kept), pa.int64())],
+            ["value", "n", "missed"])
 
     parts = df.select(F.col(column).cast("string").alias("value")).mapInArrow(run, "value string, n long, missed long")
     total = parts.groupBy().agg(F.sum("missed").alias("missed"))

@@ -22,7 +22,8 @@ def _cells(lo: Column, hi: Column, size: Column) -> Column:
 
 
 def box_of(x1: str, y1: str, x2: str, y2: str) -> Column:
-    return F.struct(F.col(x1).cast("double").alias("x1"), F.col(y1).cast("double").alias("y1"), F.col(x2).cast("double").alias("x2"), F.col(y2).cast("double").alias("y2"))
+    return F.struct(F.col(x1).cast("double").alias("x1"), F.col(y1).cast("double").alias("y1"), F.col(x2).cast("double").alias("x2"),
+        F.col(y2).cast("double").alias("y2"))
 
 
 def cell_size(df: DataFrame, box: Column) -> float:

@@ -36,7 +36,8 @@ def exponential_smoothing(df: DataFrame, by: list[str], order: list[str], value:
     at = F.struct(*order, F.col(value).cast("double").alias("_x"))
     series = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(at)).alias("_s"))
     start = F.array().cast("array<double>")
-    step = lambda acc, s: F.concat(acc, F.array(F.when(F.size(acc) > 0, alpha * s["_x"] + (1 - alpha) * F.get(acc, F.size(acc) - 1)).otherwise(s["_x"])))
+    step = lambda acc, s: F.concat(acc,
+        F.array(F.when(F.size(acc) > 0, alpha * s["_x"] + (1 - alpha) * F.get(acc, F.size(acc) - 1)).otherwise(s["_x"])))
     both = series.withColumn("_e", F.aggregate("_s", start, step)).select(*by, F.explode(F.arrays_zip("_s", "_e")).alias("_z"))
     return both.select(*by, *(F.col(f"_z._s.{o}").alias(o) for o in order), F.col("_z._e").alias(name))
 

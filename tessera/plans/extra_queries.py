@@ -38,7 +38,8 @@ def moving_regions(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.array(mr.unit_region(at("00"), at("12"), start, end)).alias("r"), rests.alias("q"))
     box = mr.region_trajectory_box(c("r"))
     return p.select(
-        "p_partkey", F.round(mr.area_at(c("r"), at("06")), 6).alias("area"), box["lo"].alias("lo"), box["hi"].alias("hi"), mr.inside_at(c("q"), c("r"), at("06")).alias("within_"),
+        "p_partkey", F.round(mr.area_at(c("r"), at("06")), 6).alias("area"), box["lo"].alias("lo"), box["hi"].alias("hi"),
+            mr.inside_at(c("q"), c("r"), at("06")).alias("within_"),
         mr.area_at(c("r"), at("13")).alias("later"),
     )
 
@@ -50,12 +51,14 @@ def moving_regions(spark, sf_dir):
 )
 def network_distances(spark, sf_dir):
     """Sections lead from nations to their regions; distances are those of their middles from a place on one of them."""
-    sections = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("sid"), (c("n_nationkey") + 100).alias("a"), c("n_regionkey").alias("b"), (c("n_nationkey") + 1.0).alias("len"))
+    sections = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("sid"), (c("n_nationkey") + 100).alias("a"), c("n_regionkey").alias("b"),
+        (c("n_nationkey") + 1.0).alias("len"))
     middles = sections.select("sid", (c("len") / 2).alias("at"))
     return network.network_distances(sections, "sid", "a", "b", "len", (3, 0.5), middles, "at").select("sid", "distance")
 
 
-@R.add("adjacent_sections", "SELECT a.n_nationkey AS sid, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+@R.add("adjacent_sections",
+    "SELECT a.n_nationkey AS sid, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 def adjacent_sections(spark, sf_dir):
     sections = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("sid"), (c("n_nationkey") + 100).alias("a"), c("n_regionkey").alias("b"))
     return network.adjacent_sections(sections, "sid", "a", "b")
@@ -81,15 +84,19 @@ def cipher_round_trip(spark, sf_dir):
 
 
 OPERATORS = """query lineitem feed filter[(.l_quantity >= 10) and not(.l_quantity > 40) or (.l_tax = 0.08) sor FALSE and TRUE]
-projectextend[l_orderkey, l_linenumber; a: .l_quantity + .l_tax - 1, b: .l_extendedprice / 4, d: .l_orderkey div 3, m: .l_orderkey mod 3, t: .l_returnflag + "-" + .l_linestatus,
-lt: .l_tax < 0.05, le: .l_tax <= 0.05, ge: .l_quantity >= 20, eq: .l_returnflag = "R", ne: .l_returnflag # "R", has: .l_shipmode2 contains "x", s: (.l_linenumber = 1) sand (.l_tax > 0.01), after: .l_shipdate > .l_shipdate, n: -.l_linenumber, up: .l_linenumber++]"""
+projectextend[l_orderkey, l_linenumber; a: .l_quantity + .l_tax - 1, b: .l_extendedprice / 4, d: .l_orderkey div 3, m: .l_orderkey mod 3,
+    t: .l_returnflag + "-" + .l_linestatus,
+lt: .l_tax < 0.05, le: .l_tax <= 0.05, ge: .l_quantity >= 20, eq: .l_returnflag = "R", ne: .l_returnflag # "R", has: .l_shipmode2 contains "x",
+    s: (.l_linenumber = 1) sand (.l_tax > 0.01), after: .l_shipdate > .l_shipdate, n: -.l_linenumber, up: .l_linenumber++]"""
 
 
 @R.add(
     "oplang_operators",
     """SELECT l_orderkey, l_linenumber, l_quantity + l_tax - 1 AS a, l_extendedprice / 4 AS b, l_orderkey // 3 AS d, l_orderkey % 3 AS m, l_returnflag || '-' || l_linestatus AS t,
-    l_tax < 0.05 AS lt, l_tax <= 0.05 AS le, l_quantity >= 20 AS ge, l_returnflag = 'R' AS eq, l_returnflag <> 'R' AS ne, contains(l_returnflag || 'x', 'x') AS has, l_linenumber = 1 AND l_tax > 0.01 AS s,
-    false AS after, -l_linenumber AS n, l_linenumber + 1 AS up FROM lineitem WHERE l_quantity >= 10 AND NOT (l_quantity > 40) OR l_tax = 0.08 OR (false AND true)""",
+    l_tax < 0.05 AS lt, l_tax <= 0.05 AS le, l_quantity >= 20 AS ge, l_returnflag = 'R' AS eq, l_returnflag <> 'R' AS ne, contains(l_returnflag || 'x',
+    'x') AS has, l_linenumber = 1 AND l_tax > 0.01 AS s,
+    false AS after, -l_linenumber AS n, l_linenumber + 1 AS up FROM lineitem WHERE l_quantity >= 10 AND NOT (l_quantity > 40) OR l_tax = 0.08 OR (false
+    AND true)""",
 )
 def oplang_operators(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("l_shipmode2", F.concat("l_returnflag", F.lit("x")))
@@ -97,16 +104,21 @@ def oplang_operators(spark, sf_dir):
 
 
 COLLECTIONS = """query orders feed groupby[o_custkey; xs: group feed collect_set[o_shippriority7], ys: group feed collect_set[o_shippriority5]]
-projectextend[o_custkey; both: .xs + .ys, more: insert(.ys, 9), joined: concat(.xs, .ys), u: union(.xs, .ys), i: intersection(.xs, .ys), d: difference(.xs, .ys), sd: sdiff(.ys, .xs), lo: minCommon(.xs, .ys),
-eq: .xs = .ys, ne: .xs # .ys, lt: .xs < .ys, le: .xs <= .ys, gt: .xs > .ys, ge: .xs >= .ys, n: size(.xs), has: contains(.xs, 3), within: inside(.ys, .xs), meet: intersects(.xs, .ys)]"""
+projectextend[o_custkey; both: .xs + .ys, more: insert(.ys, 9), joined: concat(.xs, .ys), u: union(.xs, .ys), i: intersection(.xs, .ys), d: difference(.xs,
+    .ys), sd: sdiff(.ys, .xs), lo: minCommon(.xs, .ys),
+eq: .xs = .ys, ne: .xs # .ys, lt: .xs < .ys, le: .xs <= .ys, gt: .xs > .ys, ge: .xs >= .ys, n: size(.xs), has: contains(.xs, 3), within: inside(.ys, .xs),
+    meet: intersects(.xs, .ys)]"""
 
 
 @R.add(
     "oplang_collections",
     """WITH g AS (SELECT o_custkey, list_sort(list_distinct(list(o_orderkey % 7))) AS xs, list_sort(list_distinct(list(o_orderkey % 5))) AS ys FROM orders GROUP BY o_custkey)
-    SELECT o_custkey, list_concat(xs, ys) AS both, list_append(ys, 9) AS more, list_concat(xs, ys) AS joined, list_sort(list_distinct(list_concat(xs, ys))) AS u, list_sort(list_intersect(xs, ys)) AS i,
-    list_filter(xs, lambda x: NOT list_contains(ys, x)) AS d, list_filter(ys, lambda y: NOT list_contains(xs, y)) AS sd, list_min(list_intersect(xs, ys)) AS lo, xs = ys AS eq, xs <> ys AS ne, xs < ys AS lt, xs <= ys AS le,
-    xs > ys AS gt, xs >= ys AS ge, len(xs)::INT AS n, list_contains(xs, 3) AS has, len(list_filter(ys, lambda y: NOT list_contains(xs, y))) = 0 AS within, len(list_intersect(xs, ys)) > 0 AS meet FROM g""",
+    SELECT o_custkey, list_concat(xs, ys) AS both, list_append(ys, 9) AS more, list_concat(xs, ys) AS joined, list_sort(list_distinct(list_concat(xs,
+    ys))) AS u, list_sort(list_intersect(xs, ys)) AS i,
+    list_filter(xs, lambda x: NOT list_contains(ys, x)) AS d, list_filter(ys, lambda y: NOT list_contains(xs, y)) AS sd, list_min(list_intersect(xs,
+    ys)) AS lo, xs = ys AS eq, xs <> ys AS ne, xs < ys AS lt, xs <= ys AS le,
+    xs > ys AS gt, xs >= ys AS ge, len(xs)::INT AS n, list_contains(xs, 3) AS has, len(list_filter(ys, lambda y: NOT list_contains(xs, y))) = 0 AS within,
+    len(list_intersect(xs, ys)) > 0 AS meet FROM g""",
 )
 def oplang_collections(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumns({"o_shippriority7": c("o_orderkey") % 7, "o_shippriority5": c("o_orderkey") % 5})
@@ -116,13 +128,15 @@ def oplang_collections(spark, sf_dir):
 @R.add(
     "oplang_instants",
     """SELECT o_orderkey, o_orderdate::TIMESTAMP + INTERVAL 36 HOUR AS later, o_orderdate::TIMESTAMP - INTERVAL 1 DAY AS sooner, round(epoch(o_orderdate::TIMESTAMP - TIMESTAMP '1995-01-01') / 86400, 6) AS since,
-    o_orderdate::TIMESTAMP < TIMESTAMP '1995-01-01' AS early, o_orderdate::TIMESTAMP = TIMESTAMP '1995-01-01' AS same, o_orderdate::TIMESTAMP > TIMESTAMP '1995-01-01' AS late,
+    o_orderdate::TIMESTAMP < TIMESTAMP '1995-01-01' AS early, o_orderdate::TIMESTAMP = TIMESTAMP '1995-01-01' AS same,
+    o_orderdate::TIMESTAMP > TIMESTAMP '1995-01-01' AS late,
     o_orderdate::TIMESTAMP <= TIMESTAMP '1996-01-01' AS upto FROM orders WHERE year(o_orderdate) = 1995 OR year(o_orderdate) = 1994""",
 )
 def oplang_instants(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", c("o_orderdate").cast("timestamp_ntz").alias("t"))
     text = """query orders feed filter[(year_of(.t) = 1995) or (year_of(.t) = 1994)] projectextend[o_orderkey; later: .t + create_duration(1, 43200000), sooner: .t - create_duration(1),
-    since: round(duration2real(.t - theInstant(1995)), 6), early: .t < theInstant(1995), same: .t = theInstant(1995, 1, 1), late: .t > theInstant(1995), upto: .t <= theInstant(1996)]"""
+    since: round(duration2real(.t - theInstant(1995)), 6), early: .t < theInstant(1995), same: .t = theInstant(1995, 1, 1), late: .t > theInstant(1995),
+    upto: .t <= theInstant(1996)]"""
     return Session(spark, {"orders": rows}).run(text.replace("\n", " "))
 
 
@@ -146,7 +160,8 @@ def oplang_objects(spark, sf_dir):
     takes = session.run("query matchingOperators(string, string)").filter("Name = 'ldistance'").first()
     kind = "string" if takes is not None and takes.Type == "int" and session.run('query toObject("7", "int")') == 7 else "none"
     op = session.run('query getOpName("nation feed filter[.n_regionkey = 1]")')
-    return rows.select("value", F.lit(there).alias("there"), F.lit(session.known("few")).alias("gone"), F.lit(kind).alias("kind"), F.lit(op).alias("op"), F.lit(n).alias("n"))
+    return rows.select("value", F.lit(there).alias("there"), F.lit(session.known("few")).alias("gone"), F.lit(kind).alias("kind"), F.lit(op).alias("op"),
+        F.lit(n).alias("n"))
 
 
 class _Server:
@@ -180,7 +195,8 @@ class _Server:
 @R.add("socket_streams", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 2")
 def socket_streams(spark, sf_dir):
     """Rows are sent to a server as lines, and read from a server as typed rows; a line that doesn't fit is dropped."""
-    nation, out = table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(c("n_nationkey").alias("k"), c("n_name").alias("name")), f"{shared_folder(spark).rstrip('/')}/socket-{uuid.uuid4().hex}"
+    nation, out = table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(c("n_nationkey").alias("k"),
+        c("n_name").alias("name")), f"{shared_folder(spark).rstrip('/')}/socket-{uuid.uuid4().hex}"
     nation.write.parquet(f"{out}/in")
     taker = _Server()
     q = streams.to_socket(streams.replay(spark, f"{out}/in"), "127.0.0.1", taker.port, f"{out}/state1")

@@ -37,7 +37,8 @@ OPLANG = {
         "query customer feed projectextend[; k: .c_nationkey] supplier feed projectextend[; k: .s_nationkey] mergesec rdup",
         "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     ),
-    "oplang_ksmallest": ("query part feed ksmallest[5; p_retailprice, p_partkey] project[p_partkey]", "SELECT p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT 5"),
+    "oplang_ksmallest": ("query part feed ksmallest[5; p_retailprice, p_partkey] project[p_partkey]",
+        "SELECT p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT 5"),
     "oplang_loopjoin": (
         "query nation feed filter[.n_regionkey = 1] loopjoin[supplier feed filter[.s_nationkey = ..n_nationkey]] project[n_name, s_name]",
         "SELECT n_name, s_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 1",
@@ -115,12 +116,16 @@ VALUES = {
     "oplang_value_ensure": ("query supplier feed filter[.s_nationkey = 3] ensure[2]", "SELECT count(*) >= 2 AS value FROM supplier WHERE s_nationkey = 3"),
     "oplang_value_exist": ("query orders feed filter[.o_totalprice < 0] exist", "SELECT count(*) > 0 AS value FROM orders WHERE o_totalprice < 0"),
     "oplang_value_some": ("query orders feed some[.o_totalprice > 400000]", "SELECT max(o_totalprice) > 400000 AS value FROM orders"),
-    "oplang_value_ordered": ("query orders feed sortby[o_orderkey] isOrderedBy[o_orderkey]", "SELECT count(*) = 0 AS value FROM (SELECT o_orderkey < lag(o_orderkey) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad"),
-    "oplang_value_not_ordered": ("query orders feed sortby[o_orderkey] isOrderedBy[o_custkey]", "SELECT count(*) = 0 AS value FROM (SELECT o_custkey < lag(o_custkey) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad"),
+    "oplang_value_ordered": ("query orders feed sortby[o_orderkey] isOrderedBy[o_orderkey]",
+        "SELECT count(*) = 0 AS value FROM (SELECT o_orderkey < lag(o_orderkey) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad"),
+    "oplang_value_not_ordered": ("query orders feed sortby[o_orderkey] isOrderedBy[o_custkey]",
+        "SELECT count(*) = 0 AS value FROM (SELECT o_custkey < lag(o_custkey) OVER (ORDER BY o_orderkey) AS bad FROM orders) WHERE bad"),
     "oplang_value_object": ("query isDBObject(orders)", "SELECT true AS value FROM orders LIMIT 1"),
     "oplang_value_type": ("query region feed project[r_name] getTypeNL", "SELECT '(rel (tuple ((r_name string))))' AS value FROM region LIMIT 1"),
-    "oplang_value_list": ("query query2list(\"orders feed filter[.a > 5] count\")", "SELECT '(orders feed filter (.a > 5) count)' AS value FROM orders LIMIT 1"),
-    "oplang_value_evaluate": ("query evaluate(\"nation feed filter[.n_regionkey = 2] count\")", "SELECT count(*)::INT AS value FROM nation WHERE n_regionkey = 2"),
+    "oplang_value_list": ("query query2list(\"orders feed filter[.a > 5] count\")",
+        "SELECT '(orders feed filter (.a > 5) count)' AS value FROM orders LIMIT 1"),
+    "oplang_value_evaluate": ("query evaluate(\"nation feed filter[.n_regionkey = 2] count\")",
+        "SELECT count(*)::INT AS value FROM nation WHERE n_regionkey = 2"),
     "oplang_value_check": ("query checkOperatorTypeMap(ldistance, \"string\", \"string\")", "SELECT 'int' AS value FROM orders LIMIT 1"),
 }
 DIALECT = {
@@ -132,7 +137,8 @@ DIALECT = {
         "select [o_custkey, count(*) as n] from orders where o_orderstatus = \"F\" groupby [o_custkey] orderby [n desc, o_custkey asc] first 9",
         "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 9",
     ),
-    "dialect_last": ("select [o_orderkey, o_totalprice] from orders orderby [o_totalprice, o_orderkey] last 6", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 6"),
+    "dialect_last": ("select [o_orderkey, o_totalprice] from orders orderby [o_totalprice, o_orderkey] last 6",
+        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 6"),
     "dialect_union": (
         "union [select c_nationkey as k from customer where c_acctbal > 5000, select s_nationkey as k from supplier]",
         "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 UNION SELECT s_nationkey FROM supplier",
@@ -153,7 +159,8 @@ DIALECT = {
         "select [count(distinct rowid) as n, min(rowid) as lo, max(rowid) as hi] from nation where n_regionkey >= 0",
         "SELECT count(*) AS n, 1::BIGINT AS lo, count(*) AS hi FROM nation",
     ),
-    "dialect_distributed": ("select [n_name, r_name] from [nation_d, region_d] where [n_regionkey = r_regionkey, r_name = \"ASIA\"]", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
+    "dialect_distributed": ("select [n_name, r_name] from [nation_d, region_d] where [n_regionkey = r_regionkey, r_name = \"ASIA\"]",
+        "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     "dialect_nonempty": (
         "select nonempty [p_partkey, nullif(p_size, 7) as size] from part where p_partkey < 300",
         "SELECT p_partkey, p_size AS size FROM part WHERE p_partkey < 300 AND p_size <> 7",
@@ -189,7 +196,8 @@ def _dialect(spark, sf_dir, text):
     for n, df in _tables(spark, sf_dir).items():
         df.createOrReplaceTempView(n)
     size, y = F.col("p_size").cast("double"), F.col("p_partkey") % 20 + 0.0
-    table(spark, sf_dir, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("k"), scalars.rectangle(size, size + 1, y, y + 1).alias("box")).createOrReplaceTempView("boxes")
+    table(spark, sf_dir, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("k"),
+        scalars.rectangle(size, size + 1, y, y + 1).alias("box")).createOrReplaceTempView("boxes")
     return Dialect(spark).run(text)
 
 
@@ -206,7 +214,8 @@ for _name, (_text, _sql) in DIALECT.items():
     R.add(_name, _sql)(lambda spark, sf_dir, text=_text: _dialect(spark, sf_dir, text))
 
 
-@R.add("dialect_changes", "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'TWO' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 3 UNION ALL SELECT 7, 'SEVEN'")
+@R.add("dialect_changes",
+    "SELECT r_regionkey, CASE WHEN r_regionkey = 2 THEN 'TWO' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 3 UNION ALL SELECT 7, 'SEVEN'")
 def dialect_changes(spark, sf_dir):
     table(spark, sf_dir, "region").createOrReplaceTempView("region")
     d = Dialect(spark)

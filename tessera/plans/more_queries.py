@@ -53,13 +53,15 @@ def _square(x, y, size):
 @R.add(
     "region_operations",
     """WITH s AS (SELECT p_partkey, p_size / 10.0 AS x, greatest(4 - p_size / 10.0, 0) * 3 AS c FROM part)
-    SELECT p_partkey, round(c, 6)::DOUBLE AS common, round(31 - c, 6)::DOUBLE AS both_, round(16 - c, 6)::DOUBLE AS rest, CASE WHEN x < 4 THEN 'overlap' WHEN x = 4 THEN 'meet' ELSE 'disjoint' END AS rel FROM s""",
+    SELECT p_partkey, round(c, 6)::DOUBLE AS common, round(31 - c, 6)::DOUBLE AS both_, round(16 - c, 6)::DOUBLE AS rest, CASE WHEN x < 4 THEN 'overlap'
+    WHEN x = 4 THEN 'meet' ELSE 'disjoint' END AS rel FROM s""",
 )
 def region_operations(spark, sf_dir):
     x = c("p_size") / 10
     b = F.array(F.array(*(g.point(u, v) for u, v in ((x, F.lit(1.0)), (x + 5, F.lit(1.0)), (x + 5, F.lit(4.0)), (x, F.lit(4.0))))))
     p = table(spark, sf_dir, "part").select("p_partkey", _square(F.lit(0.0), F.lit(0.0), 4.0).alias("a"), b.alias("b"))
-    p = p.select("p_partkey", *(f(c("a"), c("b")).alias(n) for n, f in (("i", regions.region_intersection), ("u", regions.region_union), ("m", regions.region_minus), ("rel", regions.topology))))
+    p = p.select("p_partkey", *(f(c("a"), c("b")).alias(n) for n,
+        f in (("i", regions.region_intersection), ("u", regions.region_union), ("m", regions.region_minus), ("rel", regions.topology))))
     size = lambda r: F.round(F.aggregate(F.transform(r, g.ring_area), F.lit(0.0), lambda t, v: t + v), 6)
     return p.select("p_partkey", size(c("i")).alias("common"), size(c("u")).alias("both_"), size(c("m")).alias("rest"), "rel")
 
@@ -75,7 +77,8 @@ def histogram_value(spark, sf_dir):
 
 @R.add("knn_join", f"WITH p AS ({POINT_SQL}) SELECT a.vec_id AS a, b.vec_id AS b FROM p a, LATERAL (SELECT vec_id FROM p ORDER BY pow(p.x - a.x, 2) + pow(p.y - a.y, 2), p.x, p.y LIMIT 3) b")
 def knn_join(spark, sf_dir):
-    return patterns.knn_join(points(spark, sf_dir), points(spark, sf_dir, "q", "u", "v"), "vec_id", ("x", "y"), ("u", "v"), 3, 0.05).select(c("vec_id").alias("a"), c("q").alias("b"))
+    return patterns.knn_join(points(spark, sf_dir), points(spark, sf_dir, "q", "u", "v"), "vec_id", ("x", "y"), ("u", "v"), 3,
+        0.05).select(c("vec_id").alias("a"), c("q").alias("b"))
 
 
 @R.add("optics")
@@ -96,10 +99,12 @@ def sequence_pattern(spark, sf_dir):
 @R.add(
     "map_match",
     f"""WITH p AS ({POINT_SQL}), r AS (SELECT range AS road, range / 10.0 AS x FROM range(-10, 11)), d AS (SELECT vec_id, road, sqrt(pow(p.x - r.x, 2) + pow(greatest(abs(y) - 0.1, 0), 2)) AS away FROM p, r),
-    m AS (SELECT vec_id, arg_min(road, away) AS road, min(away) AS away FROM d WHERE away <= 0.2 GROUP BY vec_id) SELECT vec_id, road::BIGINT AS road, round(away, 6) AS away FROM p LEFT JOIN m USING (vec_id)""",
+    m AS (SELECT vec_id, arg_min(road, away) AS road, min(away) AS away FROM d WHERE away <= 0.2 GROUP BY vec_id) SELECT vec_id, road::BIGINT AS road,
+    round(away, 6) AS away FROM p LEFT JOIN m USING (vec_id)""",
 )
 def map_match(spark, sf_dir):
-    roads = spark.range(-10, 11).select(c("id").alias("road"), (c("id") / 10).alias("x1"), F.lit(-0.1).alias("y1"), (c("id") / 10).alias("x2"), F.lit(0.1).alias("y2"))
+    roads = spark.range(-10, 11).select(c("id").alias("road"), (c("id") / 10).alias("x1"), F.lit(-0.1).alias("y1"), (c("id") / 10).alias("x2"),
+        F.lit(0.1).alias("y2"))
     return patterns.map_match(points(spark, sf_dir), roads, ["vec_id"], "x", "y", 0.2).select("vec_id", "road", F.round("away", 6).alias("away"))
 
 
@@ -172,7 +177,8 @@ def property_graph(spark, sf_dir):
     p.add_nodes("supplier", t("supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
     p.add_edges("placed", t("orders").select("o_custkey", F.col("o_orderkey").alias("o")), "o_custkey", "customer", "o", "order")
     p.add_edges("supplied", t("lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), "l_suppkey", "supplier", "l_orderkey", "order")
-    return p.match("(a:customer)-[:placed]->(b:order)<-[l:supplied]-(s:supplier)", "a.c_nationkey = s.s_nationkey and l.l_quantity > 48", ["a.c_name as c", "l.l_quantity as q", "s.s_name as s"])
+    return p.match("(a:customer)-[:placed]->(b:order)<-[l:supplied]-(s:supplier)", "a.c_nationkey = s.s_nationkey and l.l_quantity > 48",
+        ["a.c_name as c", "l.l_quantity as q", "s.s_name as s"])
 
 
 @R.add("trend", "SELECT event_type, round(regr_slope(value, event_id), 9) AS slope, round(regr_r2(value, event_id), 6) AS r2 FROM events GROUP BY event_type")

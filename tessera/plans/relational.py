@@ -73,7 +73,8 @@ def tpch_q10(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     li = r.equijoin(t("lineitem").filter("l_returnflag = 'R'"), t("orders"), "l_orderkey", "o_orderkey")
     c = r.equijoin(t("customer"), t("nation"), "c_nationkey", "n_nationkey")
-    g = r.groupby(r.equijoin(li, c, "o_custkey", "c_custkey"), ["c_custkey", "c_name", "n_name"], revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2))
+    g = r.groupby(r.equijoin(li, c, "o_custkey", "c_custkey"), ["c_custkey", "c_name", "n_name"],
+        revenue=F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2))
     return r.ksmallest(g, 20, "revenue desc", "c_custkey")
 
 
@@ -135,7 +136,8 @@ def to_fields(spark, sf_dir):
 
 @R.add("from_fields", "SELECT n_nationkey, n_name, n_regionkey, NULL::DOUBLE AS missing FROM nation")
 def from_fields(spark, sf_dir):
-    return r.from_fields(r.to_fields(table(spark, sf_dir, "nation"), "n_nationkey"), ["n_nationkey"], {"n_name": "string", "n_regionkey": "int", "missing": "double"})
+    return r.from_fields(r.to_fields(table(spark, sf_dir, "nation"), "n_nationkey"), ["n_nationkey"],
+        {"n_name": "string", "n_regionkey": "int", "missing": "double"})
 
 
 @R.add("addcounter", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) + 99 AS n FROM events")
@@ -150,7 +152,8 @@ def add_mod_counter(spark, sf_dir):
 
 @R.add("extend_last", "SELECT event_id, coalesce(round(value - lag(value) OVER (ORDER BY ts, event_id), 6), 0) AS change FROM events")
 def extend_last(spark, sf_dir):
-    return o.extend_last(table(spark, sf_dir, "events"), ["ts", "event_id"], change=(lambda last: F.round(F.col("value") - last("value"), 6), 0.0)).select("event_id", "change")
+    return o.extend_last(table(spark, sf_dir, "events"), ["ts", "event_id"],
+        change=(lambda last: F.round(F.col("value") - last("value"), 6), 0.0)).select("event_id", "change")
 
 
 @R.add("extend_next", "SELECT event_id, lead(event_type) OVER (ORDER BY ts, event_id) AS following FROM events")
@@ -175,7 +178,8 @@ def sliding_window(spark, sf_dir):
 
 @R.add("obojoin", "SELECT a.n_name, b.s_suppkey FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) b USING (i)")
 def obojoin(spark, sf_dir):
-    return o.obojoin(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "supplier").select("s_suppkey"), ["n_nationkey"], ["s_suppkey"]).select("n_name", "s_suppkey")
+    return o.obojoin(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "supplier").select("s_suppkey"), ["n_nationkey"],
+        ["s_suppkey"]).select("n_name", "s_suppkey")
 
 
 @R.add("nth", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i % 10 = 3")
@@ -271,7 +275,8 @@ def loopsel(spark, sf_dir):
 @R.add(
     "matchbelow",
     """SELECT e.event_id, o.o_orderdate, o.o_orderkey FROM (SELECT event_id, value * 1000 AS v FROM events) e
-    ASOF LEFT JOIN (SELECT o_totalprice, max(o_orderkey) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_totalprice) o ON e.v >= o.o_totalprice""",
+    ASOF LEFT JOIN (SELECT o_totalprice, max(o_orderkey) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders
+    GROUP BY o_totalprice) o ON e.v >= o.o_totalprice""",
 )
 def matchbelow(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") * 1000).alias("v"))
@@ -293,7 +298,8 @@ def matchbelow_by_key(spark, sf_dir):
 @R.add("aggregates", "SELECT count(*) AS n, round(sum(l_tax), 4) AS s, round(avg(l_quantity), 6) AS m, min(l_shipdate) AS lo, max(l_shipdate) AS hi, round(var_samp(l_quantity), 4) AS v FROM lineitem")
 def aggregates(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(
-        F.count("*").alias("n"), F.round(F.sum("l_tax"), 4).alias("s"), F.round(F.avg("l_quantity"), 6).alias("m"), F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"), F.round(F.var_samp("l_quantity"), 4).alias("v")
+        F.count("*").alias("n"), F.round(F.sum("l_tax"), 4).alias("s"), F.round(F.avg("l_quantity"), 6).alias("m"), F.min("l_shipdate").alias("lo"),
+            F.max("l_shipdate").alias("hi"), F.round(F.var_samp("l_quantity"), 4).alias("v")
     )
 
 
@@ -320,7 +326,8 @@ def aggregate_b(spark, sf_dir):
 
 @R.add("nest", "SELECT n_regionkey, list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)::VARCHAR AS nations FROM nation GROUP BY n_regionkey")
 def nest(spark, sf_dir):
-    text = F.concat(F.lit("["), F.array_join(F.transform("nations", lambda s: F.concat(F.lit("{'n_nationkey': "), s["n_nationkey"].cast("string"), F.lit(", 'n_name': "), s["n_name"], F.lit("}"))), ", "), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("nations",
+        lambda s: F.concat(F.lit("{'n_nationkey': "), s["n_nationkey"].cast("string"), F.lit(", 'n_name': "), s["n_name"], F.lit("}"))), ", "), F.lit("]"))
     return r.nest(table(spark, sf_dir, "nation"), ["n_regionkey"], "nations").select("n_regionkey", text.alias("nations"))
 
 

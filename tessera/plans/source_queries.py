@@ -86,19 +86,25 @@ def shp_round_trip(spark, sf_dir):
 def geojson_import(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").orderBy("n_nationkey")
     feature = F.concat(
-        F.lit('{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, 0], ['), c("n_regionkey").cast("string"), F.lit(', 1]]}, "properties": {"name": "'), c("n_name"), F.lit('"}}')
+        F.lit('{"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[0, 0], ['), c("n_regionkey").cast("string"),
+            F.lit(', 1]]}, "properties": {"name": "'), c("n_name"), F.lit('"}}')
     )
-    whole = nation.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", feature.alias("f")))), lambda x: x["f"]), ", "), F.lit("]}")).alias("value"))
+    whole = nation.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", feature.alias("f")))), lambda x: x["f"]), ", "),
+            F.lit("]}")).alias("value"))
     path = folder(spark, "geojson")
     whole.coalesce(1).write.text(path)
     got = files.geojson(spark, path)
-    return got.select("No", "Kind", F.size(c("Parts")[0]).alias("points"), c("Parts")[0][1]["x"].alias("x"), F.get_json_object("Properties", "$.name").alias("name"))
+    return got.select("No", "Kind", F.size(c("Parts")[0]).alias("points"), c("Parts")[0][1]["x"].alias("x"),
+        F.get_json_object("Properties", "$.name").alias("name"))
 
 
 @R.add("gpx_import", "SELECT 0 AS Track, 0 AS Segment, n_nationkey + 0.5 AS Lat, n_regionkey::DOUBLE AS Lon, n_nationkey * 10.0 AS Elevation, TIMESTAMP '2024-01-01' + to_seconds(n_nationkey) AS t FROM nation")
 def gpx_import(spark, sf_dir):
-    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele><time>%s</time></trkpt>', c("n_nationkey") + 0.5, c("n_regionkey"), c("n_nationkey") * 10, F.date_format(F.timestamp_seconds(c("n_nationkey") + 1_704_067_200), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    whole = table(spark, sf_dir, "nation").agg(F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'), F.array_join(F.collect_list(point), ""), F.lit("</trkseg></trk></gpx>")).alias("value"))
+    point = F.format_string('<trkpt lat="%s" lon="%s"><ele>%s</ele><time>%s</time></trkpt>', c("n_nationkey") + 0.5, c("n_regionkey"), c("n_nationkey") * 10,
+        F.date_format(F.timestamp_seconds(c("n_nationkey") + 1_704_067_200), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    whole = table(spark, sf_dir, "nation").agg(F.concat(F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'),
+        F.array_join(F.collect_list(point), ""), F.lit("</trkseg></trk></gpx>")).alias("value"))
     path = folder(spark, "gpx")
     whole.coalesce(1).write.text(path)
     return files.gpximport(spark, path).select("Track", "Segment", "Lat", "Lon", "Elevation", c("Time").alias("t"))
@@ -106,9 +112,12 @@ def gpx_import(spark, sf_dir):
 
 @R.add("esri_grid_import", "SELECT (n_nationkey % 5)::INT AS cell_x, (4 - n_nationkey // 5)::INT AS cell_y, 10.0 + 2 * (n_nationkey % 5) AS x, n_regionkey::DOUBLE AS v FROM nation WHERE n_regionkey <> 4")
 def esri_grid_import(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").groupBy(F.floor(c("n_nationkey") / 5).alias("row")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_regionkey"))), lambda s: F.when(s["n_regionkey"] == 4, "-9").otherwise(s["n_regionkey"].cast("string"))), " ").alias("line"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey",
+        "n_regionkey").groupBy(F.floor(c("n_nationkey") / 5).alias("row")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey",
+            "n_regionkey"))), lambda s: F.when(s["n_regionkey"] == 4, "-9").otherwise(s["n_regionkey"].cast("string"))), " ").alias("line"))
     head = "ncols 5\nnrows 5\nxllcorner 10\nyllcorner 0\ncellsize 2\nNODATA_value -9\n"
-    whole = rows.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n")).alias("value"))
+    whole = rows.agg(F.concat(F.lit(head),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda s: s["line"]), "\n")).alias("value"))
     path = folder(spark, "grid")
     whole.coalesce(1).write.text(path)
     return files.esri_grid(spark, path).select("cell_x", "cell_y", "x", "v")
@@ -123,7 +132,8 @@ def xyz_import(spark, sf_dir):
 
 @R.add("ais_import", "SELECT 1 AS Kind, 477553000::BIGINT AS Mmsi, 5 AS Status, -122.34583::DOUBLE AS lon, 47.58283::DOUBLE AS lat FROM region LIMIT 1")
 def ais_import(spark, sf_dir):
-    path = text_file(spark, "ais", ["!AIVDM,1,1,,B,177KQJ5000G?tO`K>RA1wUbN0TKH,0*5C", "not a message", "!AIVDM,2,1,3,B,55P5TL01VIaAL@7WKO@mBplU@<PDhh000000001S;AJ::4A80?4i@E53,0*3E"])
+    path = text_file(spark, "ais", ["!AIVDM,1,1,,B,177KQJ5000G?tO`K>RA1wUbN0TKH,0*5C", "not a message",
+        "!AIVDM,2,1,3,B,55P5TL01VIaAL@7WKO@mBplU@<PDhh000000001S;AJ::4A80?4i@E53,0*3E"])
     return files.importais(spark, path).select("Kind", "Mmsi", "Status", F.round("Lon", 5).alias("lon"), F.round("Lat", 5).alias("lat"))
 
 
@@ -131,7 +141,8 @@ def ais_import(spark, sf_dir):
 def external_sql(spark, sf_dir):
     """A table goes to an external SQL system in memory and comes back as the result of a query there."""
     url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
-    table(spark, sf_dir, "nation").select(c("n_nationkey").alias("A"), c("n_regionkey").alias("K")).coalesce(1).write.option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").jdbc(url, "NATION")
+    table(spark, sf_dir, "nation").select(c("n_nationkey").alias("A"), c("n_regionkey").alias("K")).coalesce(1).write.option("driver",
+        "org.apache.derby.iapi.jdbc.AutoloadedDriver").jdbc(url, "NATION")
     out = files.jdbc(spark, url, "SELECT K, COUNT(*) AS N FROM NATION GROUP BY K", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     return materialise(out.toDF("k", "n")).select("k", c("n").cast("long").alias("n"))
 
@@ -141,7 +152,8 @@ def stored_tables(spark, sf_dir):
     """The same rows by a stored table, a bucketed one, a temporary name and the executors' memory."""
     od, name = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), f"t{uuid.uuid4().hex}"
     try:
-        found = tables.consume(od, f"{name}_a").union(tables.oconsume(od, f"{name}_b", ["o_custkey"], 4)).union(tables.tconsume(od, f"{name}_c")).union(tables.mconsume(od))
+        found = tables.consume(od, f"{name}_a").union(tables.oconsume(od, f"{name}_b", ["o_custkey"], 4)).union(tables.tconsume(od,
+            f"{name}_c")).union(tables.mconsume(od))
         return materialise(found.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s")))
     finally:
         for n in ("a", "b"):
@@ -241,7 +253,8 @@ def equal_count_bins(spark, sf_dir):
 @R.add("values_of_functions", "SELECT r_regionkey, 2 * r_regionkey + 1 AS twice, [1, 2, 4, 8, 16] AS doubled FROM region")
 def values_of_functions(spark, sf_dir):
     doubled = relational.whiledo(1, lambda x: x < 10, lambda x: 2 * x)
-    return relational.within(table(spark, sf_dir, "region"), lambda r: r.select("r_regionkey", (2 * c("r_regionkey") + 1).alias("twice"), F.array(*map(F.lit, doubled)).alias("doubled")))
+    return relational.within(table(spark, sf_dir, "region"),
+        lambda r: r.select("r_regionkey", (2 * c("r_regionkey") + 1).alias("twice"), F.array(*map(F.lit, doubled)).alias("doubled")))
 
 
 @R.add("supersteps", "SELECT n_nationkey AS node, n_regionkey + 3 AS value FROM nation")
@@ -265,13 +278,15 @@ FLOCK_SQL = """WITH RECURSIVE p AS (SELECT user_id, floor(epoch(ts) / 86400)::BI
     e AS (SELECT a.day, a.user_id AS i, b.user_id AS j FROM p a JOIN p b ON a.day = b.day AND a.user_id <> b.user_id AND abs(a.x - b.x) <= 0.2),
     r(day, id, other) AS (SELECT day, user_id, user_id FROM p UNION SELECT r.day, r.id, e.j FROM r JOIN e ON r.day = e.day AND r.other = e.i),
     g AS (SELECT DISTINCT day, members FROM (SELECT day, id, list_sort(list(other)) AS members FROM r GROUP BY day, id) WHERE len(members) >= 2),
-    w AS (SELECT *, day - row_number() OVER (PARTITION BY members ORDER BY day) AS run FROM g) SELECT members, min(day) AS first, max(day) AS last FROM w GROUP BY members, run"""
+    w AS (SELECT *, day - row_number() OVER (PARTITION BY members ORDER BY day) AS run FROM g) SELECT members, min(day) AS first, max(day) AS last FROM w
+    GROUP BY members, run"""
 
 
 @R.add("flocks", FLOCK_SQL)
 def flocks(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    at = e.select("user_id", F.floor(c("ts").cast("timestamp").cast("long") / 86400).alias("day"), "value").groupBy("user_id", "day").agg(F.avg("value").alias("x"))
+    at = e.select("user_id", F.floor(c("ts").cast("timestamp").cast("long") / 86400).alias("day"), "value").groupBy("user_id",
+        "day").agg(F.avg("value").alias("x"))
     return patterns.flocks(at.withColumn("y", F.lit(0.0)), "user_id", "day", "x", "y", 0.2, 2, 1)
 
 
@@ -279,7 +294,8 @@ def _kmeans_sql(k, rounds):
     out = f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c0 AS (SELECT (row_number() OVER (ORDER BY vec_id) - 1)::INT AS cluster, e FROM v ORDER BY vec_id LIMIT {k})"
     for i in range(1, rounds + 1):
         out += f""", a{i} AS (SELECT vec_id, v.e AS e, arg_min(cluster, list_distance(v.e, c{i - 1}.e)) AS cluster FROM v, c{i - 1} GROUP BY vec_id, v.e),
-        c{i} AS (SELECT cluster, list(m ORDER BY d) AS e FROM (SELECT cluster, d, avg(x) AS m FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM a{i}) GROUP BY cluster, d) GROUP BY cluster)"""
+        c{i} AS (SELECT cluster, list(m ORDER BY d) AS e FROM (SELECT cluster, d, avg(x) AS m FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e,
+        1) AS d FROM a{i}) GROUP BY cluster, d) GROUP BY cluster)"""
     return f"{out} SELECT cluster, count(*) AS n FROM a{rounds} GROUP BY cluster"
 
 
@@ -302,7 +318,8 @@ def stream_clients(spark, sf_dir):
     q = hub.start(streams.replay(spark, f"{sf_dir}/events.parquet"), f"{out}-state")
     q.processAllAvailable()
     streams.stop_after(q, 1)
-    return spark.read.schema("client string, event_id long").option("recursiveFileLookup", True).parquet(out).groupBy("client").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
+    return spark.read.schema("client string, event_id long").option("recursiveFileLookup", True).parquet(out).groupBy("client").agg(F.count("*").alias("n"),
+        F.sum("event_id").alias("s"))
 
 
 @R.add("stream_side_effects", "SELECT count(*) * 2 AS n, sum(value)::BIGINT AS whole FROM (SELECT event_id, floor(value) AS value FROM events)")
@@ -310,7 +327,9 @@ def stream_side_effects(spark, sf_dir):
     """What each batch stores beside the stream, once at once and once at a fixed interval."""
     out = folder(spark, "effects")
     for name, start in (("a", streams.side_effect), ("b", lambda df, f, state: streams.paced(df, "1 second", f, state))):
-        q = start(streams.replay(spark, f"{sf_dir}/events.parquet"), lambda rows, n, name=name: rows.select("event_id", F.lit(name).alias("name"), F.floor("value").alias("v")).write.mode("overwrite").parquet(f"{out}/{name}/{n}"), f"{out}-{name}")
+        q = start(streams.replay(spark, f"{sf_dir}/events.parquet"),
+            lambda rows, n, name=name: rows.select("event_id", F.lit(name).alias("name"),
+                F.floor("value").alias("v")).write.mode("overwrite").parquet(f"{out}/{name}/{n}"), f"{out}-{name}")
         q.processAllAvailable()
         q.stop()
     found = spark.read.schema("event_id long, name string, v long").option("recursiveFileLookup", True).parquet(out)

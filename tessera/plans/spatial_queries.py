@@ -88,7 +88,8 @@ def geometry(spark, sf_dir):
     ring = F.array(g.point(zero, zero), g.point(s, zero), g.point(s, F.lit(4.0)), g.point(zero, F.lit(4.0)))
     p = table(spark, sf_dir, "part").select("p_partkey", F.array(ring).alias("r"), g.point(zero, zero).alias("a"), g.point(s, F.lit(4.0)).alias("b"))
     return p.select(
-        "p_partkey", F.round(g.distance(c("a"), c("b")), 6).alias("d"), F.round(g.direction(c("a"), c("b")), 6).alias("dir"), g.area(c("r")).alias("area"), g.region_perimeter(c("r")).alias("around"),
+        "p_partkey", F.round(g.distance(c("a"), c("b")), 6).alias("d"), F.round(g.direction(c("a"), c("b")), 6).alias("dir"), g.area(c("r")).alias("area"),
+            g.region_perimeter(c("r")).alias("around"),
         g.inside(g.point(F.lit(10.0), F.lit(1.0)), c("r")).alias("holds"),
     )
 
@@ -130,7 +131,8 @@ def match_path(spark, sf_dir):
 
 ITEMS_SQL = """WITH b AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS items FROM orders GROUP BY o_custkey), n AS (SELECT count(*) AS n FROM b),
     p AS (SELECT list_sort(list(DISTINCT o_orderpriority)) AS ps FROM orders), k AS (SELECT ps, unnest(range(1, (1 << len(ps))::BIGINT)) AS mask FROM p),
-    s AS (SELECT list_filter(ps, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s FROM k), f AS (SELECT s, count(*) AS f FROM s JOIN b ON list_has_all(b.items, s.s) GROUP BY s)"""
+    s AS (SELECT list_filter(ps, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s FROM k), f AS (SELECT s, count(*) AS f FROM s JOIN b ON list_has_all(b.items,
+    s.s) GROUP BY s)"""
 
 
 @R.add("frequent_itemsets", f"{ITEMS_SQL} SELECT array_to_string(s, ',') AS Itemset, round(f / n, 6) AS Support FROM f, n WHERE f >= ceil(0.05 * n)")
@@ -142,9 +144,11 @@ def frequent_itemsets(spark, sf_dir):
 @R.add(
     "strong_rules",
     f"""{ITEMS_SQL}, g AS (SELECT * FROM f, n WHERE f >= ceil(0.05 * n)), r AS (SELECT s, f, unnest(s) AS c FROM g WHERE len(s) > 1)
-    SELECT array_to_string(a.s, ',') AS Antecedent, c AS Consequent, round(r.f / a.f, 6) AS Confidence FROM r JOIN g a ON a.s = list_filter(r.s, lambda x: x <> r.c) WHERE r.f / a.f >= 0.5""",
+    SELECT array_to_string(a.s, ',') AS Antecedent, c AS Consequent, round(r.f / a.f, 6) AS Confidence FROM r JOIN g a ON a.s = list_filter(r.s,
+    lambda x: x <> r.c) WHERE r.f / a.f >= 0.5""",
 )
 def strong_rules(spark, sf_dir):
     b = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items"))
     out = graph.strong_rules(b, "items", 0.05, 0.5)
-    return out.select(F.array_join("Antecedent", ",").alias("Antecedent"), F.array_join("Consequent", ",").alias("Consequent"), F.round("Confidence", 6).alias("Confidence"))
+    return out.select(F.array_join("Antecedent", ",").alias("Antecedent"), F.array_join("Consequent", ",").alias("Consequent"),
+        F.round("Confidence", 6).alias("Confidence"))

@@ -30,7 +30,8 @@ def trip_length(spark, sf_dir):
 @R.add(
     "atinstant",
     f"""WITH t AS (SELECT TIMESTAMP '2024-01-10 12:00:00' AS t), s AS ({STEPS_SQL})
-    SELECT user_id, round(x + (x2 - x) * epoch(t.t - ts) / epoch(until - ts), 5) AS x, round(y + (y2 - y) * epoch(t.t - ts) / epoch(until - ts), 5) AS y FROM s, t WHERE ts <= t.t AND t.t < until""",
+    SELECT user_id, round(x + (x2 - x) * epoch(t.t - ts) / epoch(until - ts), 5) AS x, round(y + (y2 - y) * epoch(t.t - ts) / epoch(until - ts), 5) AS y
+    FROM s, t WHERE ts <= t.t AND t.t < until""",
 )
 def atinstant(spark, sf_dir):
     p = trips(spark, sf_dir).select("user_id", m.atinstant_point(c("units"), F.lit("2024-01-10 12:00:00").cast("timestamp")).alias("p"))
@@ -56,7 +57,8 @@ def deftime(spark, sf_dir):
 @R.add(
     "symbolic_passes",
     """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events)
-    SELECT user_id, count(*)::INT AS units, count(*) FILTER (event_type = 'purchase') > 0 AS buys FROM l WHERE before IS NULL OR before <> event_type GROUP BY user_id""",
+    SELECT user_id, count(*)::INT AS units, count(*) FILTER (event_type = 'purchase') > 0 AS buys FROM l WHERE before IS NULL OR before <> event_type
+    GROUP BY user_id""",
 )
 def symbolic_passes(spark, sf_dir):
     u = m.labels(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_type")
@@ -66,7 +68,8 @@ def symbolic_passes(spark, sf_dir):
 @R.add(
     "symbolic_matches",
     """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events),
-    s AS (SELECT user_id, string_agg(event_type, ';' ORDER BY ts, event_type) || ';' AS path FROM l WHERE before IS NULL OR before <> event_type GROUP BY user_id)
+    s AS (SELECT user_id, string_agg(event_type, ';' ORDER BY ts, event_type) || ';' AS path FROM l WHERE before IS NULL OR before <> event_type
+    GROUP BY user_id)
     SELECT user_id, regexp_full_match(path, '([^;]*;)*view;click;([^;]*;)*') AS hit FROM s""",
 )
 def symbolic_matches(spark, sf_dir):
@@ -89,7 +92,8 @@ def lossy_counts(spark, sf_dir):
 @R.add(
     "outliers",
     """WITH o AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(value) OVER w AS n FROM events
-    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id FROM o WHERE n >= 5 AND abs(value - m) > 2.5 * s""",
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id FROM o WHERE n >= 5
+    AND abs(value - m) > 2.5 * s""",
 )
 def outliers(spark, sf_dir):
     return k.outliers(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 2.5).select("event_id")

@@ -30,7 +30,8 @@ def csvimport(spark: SparkSession, path: str, schema: StructType | str, skip: in
     if skip == 1:
         return reader.option("header", True).option("enforceSchema", True).csv(path)
     # the first lines are in the first split of a file, in the order in which they are read
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"))
     heads = Window.partitionBy("_file").orderBy("_block", "_id")
     first = lines.filter("_block = 0").withColumn("_row", F.row_number().over(heads)).filter(F.col("_row") <= skip).select("_id")
     lines = lines.join(F.broadcast(first), "_id", "left_anti").filter(F.length("value") > 0)
@@ -46,7 +47,9 @@ def csvexport(df: DataFrame, path: str, separator: str = ",", header: bool = Tru
 
 def sqlexport(df: DataFrame, path: str, table: str) -> None:
     """One INSERT statement a line."""
-    shown = (F.when(F.col(c).isNull(), "NULL").otherwise(F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) if t in ("string", "timestamp", "timestamp_ntz", "date") else F.col(c).cast("string")) for c, t in df.dtypes)
+    shown = (F.when(F.col(c).isNull(),
+        "NULL").otherwise(F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")) if t in ("string", "timestamp",
+            "timestamp_ntz", "date") else F.col(c).cast("string")) for c, t in df.dtypes)
     df.select(F.concat(F.lit(f"INSERT INTO {table} VALUES ("), F.concat_ws(", ", *shown), F.lit(");"))).write.text(path)
 
 
@@ -184,7 +187,8 @@ def _grid(data: bytes) -> Iterator[tuple]:
     columns, rows = int(head["ncols"]), int(head["nrows"])
     for i, v in enumerate(values[: columns * rows]):
         if float(v) != head.get("nodata_value"):
-            yield i % columns, rows - 1 - i // columns, head.get("xllcorner", 0.0) + (i % columns) * head["cellsize"], head.get("yllcorner", 0.0) + (rows - 1 - i // columns) * head["cellsize"], float(v)
+            yield i % columns, rows - 1 - i // columns, head.get("xllcorner", 0.0) + (i % columns) * head["cellsize"], head.get("yllcorner",
+                0.0) + (rows - 1 - i // columns) * head["cellsize"], float(v)
 
 
 def esri_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +210,8 @@ def _ais(line: str) -> tuple | None:
     if len(bits) < 137 or int(bits[:6], 2) not in (1, 2, 3):
         return None
     signed = lambda a, b: int(bits[a:b], 2) - (1 << (b - a) if bits[a] == "1" else 0)
-    return int(bits[:6], 2), int(bits[8:38], 2), int(bits[38:42], 2), int(bits[50:60], 2) / 10, signed(61, 89) / 600_000, signed(89, 116) / 600_000, int(bits[116:128], 2) / 10, int(bits[137:143] or "0", 2)
+    return int(bits[:6], 2), int(bits[8:38], 2), int(bits[38:42], 2), int(bits[50:60], 2) / 10, signed(61, 89) / 600_000, signed(89,
+        116) / 600_000, int(bits[116:128], 2) / 10, int(bits[137:143] or "0", 2)
 
 
 def importais(spark: SparkSession, path: str) -> DataFrame:
@@ -258,7 +263,8 @@ def db3export(df: DataFrame, path: str) -> None:
     shown, fields = [], []
     widths = df.agg(*(F.max(F.octet_length(F.col(c).cast("string"))).alias(f"_{i}") for i, c in enumerate(df.columns))).first()
     for i, (c, t) in enumerate(df.dtypes):
-        kind = "L" if t == "boolean" else "D" if t == "date" else "N" if t in ("tinyint", "smallint", "int", "bigint", "double", "float") or t.startswith("decimal") else "C"
+        kind = "L" if t == "boolean" else "D" if t == "date" else "N" if t in ("tinyint", "smallint", "int", "bigint", "double",
+            "float") or t.startswith("decimal") else "C"
         width = 1 if kind == "L" else 8 if kind == "D" else max(1, widths[i] or 1)
         if width > 254:
             raise ValueError(f"a text in {c} has more than 254 bytes")
@@ -280,7 +286,8 @@ def db3export(df: DataFrame, path: str) -> None:
 def shpexport(df: DataFrame, path: str, parts: str, kind: str) -> None:
     """A shapefile of points, lines or regions (kind point, line or region) from a column of parts (arrays of points); null is a null shape."""
     code = {"point": 1, "line": 3, "region": 5}[kind]
-    low_high = lambda n: (F.min(F.array_min(F.transform(F.flatten(parts), lambda p: p[n]))), F.max(F.array_max(F.transform(F.flatten(parts), lambda p: p[n]))))
+    low_high = lambda n: (F.min(F.array_min(F.transform(F.flatten(parts), lambda p: p[n]))),
+        F.max(F.array_max(F.transform(F.flatten(parts), lambda p: p[n]))))
     n_points, n_parts = F.size(F.flatten(parts)), F.size(parts)
     words = F.when(F.col(parts).isNull(), 2).otherwise(10 if code == 1 else (44 + 4 * n_parts + 16 * n_points) / 2)
     x, y, total = low_high("x"), low_high("y"), F.sum(words + 4)

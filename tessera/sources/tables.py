@@ -96,7 +96,8 @@ def collect_line(df: DataFrame, by: list[str], segment: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(segment)).alias("line"))
 
 
-def window_time_intersects(df: DataFrame, box: Column, window: tuple[float, float, float, float], start: Column, end: Column, span: tuple[object, object]) -> DataFrame:
+def window_time_intersects(df: DataFrame, box: Column, window: tuple[float, float, float, float], start: Column, end: Column,
+    span: tuple[object, object]) -> DataFrame:
     """Rows whose box meets a window and whose interval meets a time span."""
     x1, y1, x2, y2 = window
     return df.filter((box["x1"] <= x2) & (box["x2"] >= x1) & (box["y1"] <= y2) & (box["y2"] >= y1) & (start <= F.lit(span[1])) & (end >= F.lit(span[0])))

@@ -22,7 +22,8 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int | None = None,
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     folder, _, name = path.rstrip("/").rpartition("/")
-    return reader.parquet(path) if not name.endswith(".parquet") else reader.option("pathGlobFilter", f"{name}").parquet(folder) if not _is_folder(spark, path) else reader.parquet(path)
+    return reader.parquet(path) if not name.endswith(".parquet") else reader.option("pathGlobFilter", f"{name}").parquet(folder) if not _is_folder(spark,
+        path) else reader.parquet(path)
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

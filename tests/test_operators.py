@@ -350,10 +350,10 @@ def test_closest_pairs_and_neighbours_without_places(spark):
 
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, None, None)], "i int, x double, y double")
     b = spark.createDataFrame([(9, 3.0, 4.0), (8, None, 2.0)], "j int, u double, v double")
-    got = spatial.closest_pairs(a, b, ("x", "y"), ("u", "v"), 2, 0.01).collect()
+    got = spatial.closest_pairs(a, b, ("x", "y"), ("u", "v"), 2, 1.0).collect()
     assert [(r.i, r.j, r.distance) for r in got] == [(1, 9, 5.0)]
     assert spatial.closest_pairs(a.limit(0), b, ("x", "y"), ("u", "v"), 2, 1.0).collect() == []
-    assert [(r.i, r.j, r["rank"]) for r in patterns.knn_join(a, b, "i", ("x", "y"), ("u", "v"), 3, 0.001).collect()] == [(1, 9, 1)]
+    assert [(r.i, r.j, r["rank"]) for r in patterns.knn_join(a, b, "i", ("x", "y"), ("u", "v"), 3, 0.5).collect()] == [(1, 9, 1)]
     assert patterns.knn_join(a, b.limit(0), "i", ("x", "y"), ("u", "v"), 3, 1.0).collect() == []
 
 
