@@ -272,9 +272,10 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     """
     firsts = linked_rows(docs, n, threshold, recall, cell).filter("doc_id is not null")
     firsts = firsts.filter("first is null or (first.doc_id = doc_id and first.row_hash = row_hash)").select(F.col("doc_id").alias("_of"), F.col("row_hash").alias("_of_hash")).distinct()
-    ids, hashes = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.withColumns({"_id": ids, "_hash": hashes}).join(firsts, (F.col("_id") == F.col("_of")) & (F.col("_hash") == F.col("_of_hash")))
-    rest = [c for c in docs.columns if c != "text"]
-    order = Window.partitionBy("_id", "_hash").orderBy(F.col("text").isNull(), F.to_json(F.struct(*rest)))
-    kept = kept.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
-    return kept.select(docs.columns).union(docs.filter("doc_id is null"))
+    # columns of docs travel in a struct, so that they may have any names
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"), F.struct("*").alias("doc"))
+    kept = rows.join(firsts, (F.col("id") == F.col("_of")) & (F.col("hash") == F.col("_of_hash")))
+    rest = F.struct(*(F.col("doc").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"))
+    order = Window.partitionBy("id", "hash").orderBy(F.col("doc").getField("text").isNull(), F.to_json(rest))
+    kept = kept.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return kept.select("doc.*").union(docs.filter("doc_id is null"))

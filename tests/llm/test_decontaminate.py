@@ -96,10 +96,10 @@ def test_hot_seed():
     from tessera.llm import kernels as k
 
     phrase = " ".join(f"p{i}" for i in range(13))
-    items, texts = [f"{phrase} item {i}" for i in range(40)], [f"{phrase} " * 30, f"x {phrase} item 7", "nothing of it"]
+    items, texts = [f"{phrase} item {i}" for i in range(40)], [f"{phrase} " * 6, f"x {phrase} item 7", "nothing of it"]
     (block,) = k.blocks(pa.array(texts), lower=True)
     index = d.build(list(enumerate(items)))
-    small, large = d.overlaps(block, index, most_hits=50), d.overlaps(block, index)
+    small, large = d.overlaps(block, index, most_hits=900), d.overlaps(block, index)
     best = lambda x: {(r, i): max(n for a, b, n in zip(*x, strict=True) if (a, b) == (r, i)) for r, i in zip(x[0].tolist(), x[1].tolist(), strict=True)}
     assert best(small) == best(large) and set(best(small)) == {(r, i) for r in (0, 1) for i in range(40)}
 

@@ -86,7 +86,7 @@ def test_repeated_rows_within_a_region(spark):
 def test_keep_first_with_texts_under_one_id(spark):
     text = lambda name, *more: " ".join([f"{name}{i}" for i in range(60)] + list(more))
     rows = [(5, text("a")), (5, text("b")), (5, text("b")), (3, text("a", "end")), (7, text("b", "end")), (5, ""), (5, None), (2, text("c")), (2, text("c", "end"))]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, source string, id int, _of int")
     for order in (df, df.orderBy(F.desc("text"))):
         kept = j.keep_first(order)
         got = sorted((r.doc_id, (r.text or "")[:1]) for r in kept.collect())

@@ -56,7 +56,7 @@ def test_odd_rows(spark, tmp_path):
     rng = random.Random(1)
     text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(30))
     rows = [(i, text(), "en", "s", 1) for i in range(20)] + [(None, None, None, None, None), (None, "x", None, None, 1), (21, "", "en", "s", 0), (3, "again", "en", "s", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("key", "times", "target", "cut", "passes", "source_size", "mix_size", "row_hash", "doc", "spans", "runs", "rep", "node")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("key", "times", "target", "cut", "passes", "source_size", "mix_size", "row_hash", "doc", "spans", "runs", "rep", "node", "id", "hash", "place", "_of", "_id")})
     spark.createDataFrame([(1, 1), (2, 1), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "some other words than those here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
