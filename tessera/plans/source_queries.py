@@ -143,7 +143,7 @@ def external_sql(spark, sf_dir):
     url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
     table(spark, sf_dir, "nation").select(c("n_nationkey").alias("A"), c("n_regionkey").alias("K")).coalesce(1).write.option("driver",
         "org.apache.derby.iapi.jdbc.AutoloadedDriver").jdbc(url, "NATION")
-    out = files.jdbc(spark, url, "SELECT K, COUNT(*) AS N FROM NATION GROUP BY K", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    out = files.jdbc(spark, url, "SELECT K, COUNT(*) AS N FROM NATION GROUP BY K", ("K", 0, 5, 2), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     return materialise(out.toDF("k", "n")).select("k", c("n").cast("long").alias("n"))
 
 

@@ -66,9 +66,13 @@ def jsonimport(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """An external SQL system's result."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def jdbc(spark: SparkSession, url: str, query: str, split: tuple[str, object, object, int] | None = None, **options: str) -> DataFrame:
+    """An external SQL system's result. With split (column, low, high, parts) it is read by so many tasks, each with a range of the column, else by one."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if split is None:
+        return reader.option("query", query).load()
+    column, low, high, parts = split
+    return reader.options(dbtable=f"({query}) T", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
 
 
 def _parsed(spark: SparkSession, path: str, schema: str, parse: Callable[[bytes], Iterator[tuple]]) -> DataFrame:

@@ -433,3 +433,39 @@ def test_spatial_join_of_boxes_of_all_sizes(spark):
         got = spatial.spatial_join(left, right, spatial.box_of("x1", "y1", "x2", "y2"), spatial.box_of("u1", "v1", "u2", "v2"), size)
         assert got.columns == [*left.columns, *right.columns] and sorted((r.i, r.j) for r in got.collect()) == want
     assert spatial.spatial_join(left.limit(0), right, spatial.box_of("x1", "y1", "x2", "y2"), spatial.box_of("u1", "v1", "u2", "v2")).collect() == []
+
+
+def test_language_rejects_what_it_does_not_know(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(-7, 8)], "n int, s string")
+    session = Session(spark, {"t": df})
+    for text in ("query t feed head[5, 10]", "query t feed filter[.n > 1", "query t feed exactmatch[n; 3] count 4", "query t feed nosuch[1]", "query updateObject(q, \"t feed count\")"):
+        with pytest.raises(QueryError):
+            session.run(text)
+    got = session.run("query t feed projectextend[n; d: .n div 2, m: .n mod 2, t: .s + \"!\"]").collect()
+    assert all(r.d == int(r.n / 2) and r.m == math.fmod(r.n, 2) and r.t[1] == "!" for r in got)
+    assert session.run("query t feed t feed {u} hashjoin[n, n_u, 997] count") == 15
+    session.run('query deriveObject(many, "t feed filter[.n > 3] count")')
+    assert session.run("query many") == 4 and session.run("query t feed getTypeNL") == "(rel (tuple ((n int) (s string))))"
+    session.run("let t = t feed head[0]")
+    assert session.run("query many") == 0 and session.run('query checkOperatorTypeMap(substr, "array<int>")') is None
+
+
+def test_dialect_any_and_all_with_nulls(spark):
+    spark.createDataFrame([(1,), (5,), (9,), (None,)], "a int").createOrReplaceTempView("xs")
+    spark.createDataFrame([(3,), (7,)], "b int").createOrReplaceTempView("ys")
+    spark.createDataFrame([(3,), (None,)], "b int").createOrReplaceTempView("zs")
+    run = lambda where: sorted(r.a if r.a is not None else -1 for r in Dialect(spark).run(f"select [a] from xs where [{where}]").collect())
+    assert run("a > any (select b from ys)") == [5, 9] and run("a > all (select b from ys)") == [9] and run("a < all (select b from ys)") == [1]
+    assert run("a <= some (select b from ys)") == [1, 5] and run("a # any (select b from ys)") == [1, 5, 9] and run("a = any (select b from ys)") == []
+    assert run("a > all (select b from zs)") == [] and run("a > any (select b from zs)") == [5, 9]
+    assert run("a < all (select b from ys where b > 100)") == [-1, 1, 5, 9] and run("a < any (select b from ys where b > 100)") == []
+    assert run("a # all (select b from ys)") == [1, 5, 9] and run("a = all (select b from ys where b = 3), a > 0") == []
+
+
+def test_moving_forms_reject(spark):
+    from tessera.functions.moving_forms import FormError, form
+
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    for text in ("get a:t from a", "get x", "exists (get * from a"):
+        with pytest.raises(FormError):
+            form(df, text)
