@@ -164,6 +164,18 @@ def oplang_objects(spark, sf_dir):
         F.lit(n).alias("n"))
 
 
+@R.add(
+    "oplang_simjoin",
+    """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
+    SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.vec_id < b.vec_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.01""",
+)
+def oplang_simjoin(spark, sf_dir):
+    e = c("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("a"), g.point(e[0], e[1]).alias("p"))
+    session = Session(spark, {"left": rows, "right": rows.toDF("b", "q")})
+    return session.run("query left feed right feed simJoin[p, q, 0.01] filter[.a < .b] project[a, b]")
+
+
 class _Server:
     """A server on this host for one stream: it gives lines to every caller, or takes lines from all."""
 

@@ -99,6 +99,15 @@ OPLANG = {
         "query part feed filter[intersects(rectangle2(.p_size, .p_size + 2, 0, 1), rectangle2(10, 12, 1, 3)) or inside(.p_size, create_set(1, 2, 3))] projectextend[p_partkey; d: distance(rectangle2(.p_size, .p_size, 0, 0), rectangle2(20, 20, 0, 0)), n: size(union(create_set(1, 2), create_set(.p_size, 2))), q: .p_size div 7]",
         "SELECT p_partkey, abs(20 - p_size)::DOUBLE AS d, CASE WHEN p_size IN (1, 2) THEN 2 ELSE 3 END AS n, p_size // 7 AS q FROM part WHERE p_size BETWEEN 8 AND 12 OR p_size IN (1, 2, 3)",
     ),
+    "oplang_variants": (
+        "query nation feed project[n_nationkey, n_regionkey] region feed project[r_regionkey] sortmergejoin_r[n_regionkey, r_regionkey] nation feed project[n_nationkey, n_regionkey] "
+        "projectextend[n_nationkey, n_regionkey; r_regionkey: .n_regionkey] punion sorth[n_nationkey] summarize",
+        "SELECT n_nationkey, n_regionkey, n_regionkey AS r_regionkey FROM nation, (SELECT unnest([1, 2]))",
+    ),
+    "oplang_deletedirect": (
+        "query nation feed filter[.n_regionkey = 2] project[n_nationkey, n_name] nation feed project[n_nationkey, n_name] deletedirect[n_nationkey]",
+        "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2",
+    ),
     "oplang_outerjoin": (
         "query customer feed filter[.c_custkey < 50] project[c_custkey] orders feed filter[.o_custkey < 70] project[o_orderkey, o_custkey] outerjoin[c_custkey, o_custkey]",
         "SELECT c_custkey, o_orderkey, o_custkey FROM (SELECT c_custkey FROM customer WHERE c_custkey < 50) FULL JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 70) ON c_custkey = o_custkey",
