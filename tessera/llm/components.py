@@ -9,6 +9,7 @@ from tessera.session import materialise
 
 SALTS = 16
 
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root for each node of edges (a, b; longs, no nulls): the least node of its component.
 
