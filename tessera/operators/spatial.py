@@ -26,27 +26,32 @@ def box_of(x1: str, y1: str, x2: str, y2: str) -> Column:
         F.col(y2).cast("double").alias("y2"))
 
 
-def cell_size(df: DataFrame, box: Column) -> float:
-    """Twice the mean side of the boxes, so that a box meets few cells; 1 for points."""
-    mean = df.select(F.avg((box["x2"] - box["x1"] + box["y2"] - box["y1"]) / 2)).first()[0]
+def cell_size(*sides: tuple[DataFrame, Column]) -> float:
+    """Twice the mean side of the boxes of the larger kind, so that a box meets few cells; 1 for points."""
+    means = [df.select(((box["x2"] - box["x1"] + box["y2"] - box["y1"]) / 2).alias("v"), F.lit(i).alias("i")) for i, (df, box) in enumerate(sides)]
+    every = means[0]
+    for m in means[1:]:
+        every = every.union(m)
+    mean = max((r.v for r in every.groupBy("i").agg(F.avg("v").alias("v")).collect() if r.v is not None), default=0.0)
     return 2 * float(mean) if mean else 1.0
 
 
 def spatial_join(a: DataFrame, b: DataFrame, box_a: Column, box_b: Column, size: float | None = None, refine: Column | None = None) -> DataFrame:
     """Pairs of rows whose boxes (x1, y1, x2, y2) meet, with all columns of both; refine is checked on the pairs.
 
-    Grids are in levels, each with cells of twice the side of the one before. A box belongs to the first level whose cells are as large as
-    itself, so it meets few cells however large it is, and is also filed in the coarser levels that occur; a pair meets in the level of its larger box.
+    Grids are in levels, each with cells of twice the side of the one before. A box belongs to the first level whose cells have half its
+    side or more, so it meets nine cells at most however large it is, and is also filed in the coarser levels that occur; a pair meets in the level of its larger box.
     """
-    size = size or max(cell_size(a, box_a), cell_size(b, box_b))
+    size = size or cell_size((a, box_a), (b, box_b))
 
     def placed(df: DataFrame, box: Column, name: str) -> DataFrame:
         df = df.withColumn(name, box).filter(F.col(name)["x1"].isNotNull())
         side = F.greatest(F.col(name)["x2"] - F.col(name)["x1"], F.col(name)["y2"] - F.col(name)["y1"])
-        return df.withColumn(f"{name}_level", F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(side / size) - 1e-6), F.lit(0))).cast("int"))
+        return df.withColumn(f"{name}_level", F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(side / (2 * size))), F.lit(0))).cast("int"))
 
     left, right = placed(a, box_a, "_a"), placed(b, box_b, "_b")
-    levels = sorted({r[0] for df, name in ((left, "_a"), (right, "_b")) for r in df.select(f"{name}_level").distinct().collect()})  # a few numbers
+    found = left.select(F.col("_a_level").alias("level")).union(right.select("_b_level")).distinct().collect()  # a few numbers
+    levels = sorted(r.level for r in found)
 
     def filed(df: DataFrame, name: str) -> DataFrame:
         df = df.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels or [0])), lambda x: x >= F.col(f"{name}_level"))))
