@@ -13,6 +13,7 @@ from tessera.operators import graph, patterns, sketches, spatial
 from tessera.plans.registry import Registry, table
 from tessera.plans.spatial_queries import EDGE_SQL, POINT_SQL, edges, points
 from tessera.plans.stream_queries import STEPS_SQL, trips
+from tessera.session import spread
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -176,7 +177,7 @@ def region_relations(spark, sf_dir):
     x = c("p_size") / 10
     square = lambda u, low, high: F.array(F.array(*(g.point(p, q) for p, q in ((u, low), (u + 4, low), (u + 4, high), (u, high)))))
     pts = F.array(g.point(F.lit(2.0), F.lit(5.0)), g.point(x, F.lit(5.0)))
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", square(F.lit(0.0), F.lit(0.0), F.lit(4.0)).alias("a"),
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", "p_size", square(F.lit(0.0), F.lit(0.0), F.lit(4.0)).alias("a"),
         square(x, F.lit(1.0), F.lit(5.0)).alias("b"), pts.alias("pts"))
     p = p.select("p_partkey", "p_size", regions.toprel(c("a"), c("b")).alias("bits"), regions.adjacent(c("a"), c("b")).alias("adjacent_"),
         regions.overlaps(c("a"), c("b")).alias("overlaps_"), regions.touches(c("a"), c("b")).alias("touches_"),
