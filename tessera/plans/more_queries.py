@@ -12,6 +12,7 @@ from tessera.operators import distribution, graph, order, patterns, raster, rela
 from tessera.operators.propertygraph import PropertyGraph
 from tessera.plans.registry import Registry, table
 from tessera.plans.spatial_queries import NODE_SQL, POINT_SQL, edges, points
+from tessera.session import spread
 from tessera.sources import tables
 
 R = Registry()
@@ -59,7 +60,7 @@ def _square(x, y, size):
 def region_operations(spark, sf_dir):
     x = c("p_size") / 10
     b = F.array(F.array(*(g.point(u, v) for u, v in ((x, F.lit(1.0)), (x + 5, F.lit(1.0)), (x + 5, F.lit(4.0)), (x, F.lit(4.0))))))
-    p = table(spark, sf_dir, "part").select("p_partkey", _square(F.lit(0.0), F.lit(0.0), 4.0).alias("a"), b.alias("b"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", _square(F.lit(0.0), F.lit(0.0), 4.0).alias("a"), b.alias("b"))
     p = p.select("p_partkey", *(f(c("a"), c("b")).alias(n) for n,
         f in (("i", regions.region_intersection), ("u", regions.region_union), ("m", regions.region_minus), ("rel", regions.topology))))
     size = lambda r: F.round(F.aggregate(F.transform(r, g.ring_area), F.lit(0.0), lambda t, v: t + v), 6)
