@@ -139,11 +139,10 @@ def ais_import(spark, sf_dir):
 
 @R.add("external_sql", "SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY n_regionkey")
 def external_sql(spark, sf_dir):
-    """A table goes to an external SQL system in memory and comes back as the result of a query there."""
-    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
-    table(spark, sf_dir, "nation").select(c("n_nationkey").alias("A"), c("n_regionkey").alias("K")).coalesce(1).write.option("driver",
-        "org.apache.derby.iapi.jdbc.AutoloadedDriver").jdbc(url, "NATION")
-    out = files.jdbc(spark, url, "SELECT K, COUNT(*) AS N FROM NATION GROUP BY K", ("K", 0, 5, 2), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    """A table goes to an external SQL system and comes back as the result of a query there; each executor opens the system's archive itself."""
+    nation = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("A"), c("n_regionkey").alias("K"))
+    url = files.derby(nation, folder(spark, "derby"), "NATION")
+    out = files.jdbc(spark, url, "SELECT K, COUNT(*) AS N FROM NATION GROUP BY K", ("K", 0, 5, 2), driver=files.DERBY)
     return materialise(out.toDF("k", "n")).select("k", c("n").cast("long").alias("n"))
 
 

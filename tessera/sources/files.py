@@ -9,10 +9,16 @@ from __future__ import annotations
 import json
 import re
 import struct
+import tempfile
 import xml.etree.ElementTree as ET
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -75,6 +81,52 @@ def jdbc(spark: SparkSession, url: str, query: str, split: tuple[str, object, ob
     return reader.options(dbtable=f"({query}) T", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts).load()
 
 
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+DERBY_TYPES = {"tinyint": "SMALLINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "DOUBLE", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp": "TIMESTAMP", "string": "VARCHAR(32672)"}
+
+
+def derby(df: DataFrame, path: str, name: str) -> str:
+    """Write df as the table `name` of a Derby database and return its URL: an archive in a folder that all processes mount, which any number of them may read.
+
+    A database in memory, or a folder that a process has opened, can't be seen by others. Tasks write the rows as CSV, the driver's Derby imports them.
+    """
+    spark = df.sparkSession
+    local = _local(path)
+    if local is None:
+        raise ValueError(f"Derby reads mounted folders only, not {path}")
+    df.write.option("emptyValue", '""').option("escape", '"').option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{path}/rows")
+    jvm = spark._jvm
+    driver = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass(DERBY).getDeclaredConstructor(spark.sparkContext._gateway.new_array(jvm.java.lang.Class,
+        0)).newInstance(spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 0))
+    connect = lambda more: driver.connect(f"jdbc:derby:{local}/db;{more}", jvm.java.util.Properties())
+    connection = connect("create=true")
+    do = connection.createStatement()
+    do.execute(f'CREATE TABLE "{name}" ({", ".join(f"{chr(34)}{c}{chr(34)} {DERBY_TYPES.get(t) or t.upper()}" for c, t in df.dtypes)})')
+    for part in sorted(Path(local, "rows").glob("part-*")):
+        do.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{name}', '{part}', ',', '\"', 'UTF-8', 0)")
+    # a read-only database sorts outside its archive
+    do.execute(f"CALL SYSCS_UTIL.SYSCS_SET_DATABASE_PROPERTY('derby.storage.tempDirectory', '{tempfile.gettempdir()}')")
+    connection.close()
+    try:
+        connect("shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # that is how Derby says it has closed the database
+            raise
+    with zipfile.ZipFile(f"{local}/db.jar", "w") as archive:
+        for file in sorted(Path(local, "db").rglob("*")):
+            if file.name not in ("db.lck", "dbex.lck"):
+                archive.write(file, file.relative_to(local))
+    return f"jdbc:derby:jar:({local}/db.jar)db"
+
+
+def _local(path: str) -> str | None:
+    """The path on this machine's file system, or None for other storages."""
+    if path.startswith("file:"):
+        return re.sub(r"^file:/*", "/", path)
+    return path if path.startswith("/") else None
+
+
 def _parsed(spark: SparkSession, path: str, schema: str, parse: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
@@ -230,36 +282,38 @@ def importais(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).mapInPandas(run, schema)
 
 
-# Writers for formats that are one file: rows stream through the driver in bounded memory, as such a file is written by one writer anyway
-
-
-class _Target:
-    """A file on any storage that Spark knows."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+# Writers for formats that are one file: tasks encode the rows, and one of them writes the file as a stream. Nothing of it comes to the driver
 
-    def write(self, data: bytes) -> None:
-        self.stream.write(bytearray(data))
 
-    def __enter__(self) -> _Target:
-        return self
+def _write_file(df: DataFrame, path: str, encode: Callable[[tuple], bytes], head: bytes, tail: bytes = b"", numbered: bool = False) -> None:
+    """A file of the encoded rows of df in their order, between head and tail; numbered: each behind its number (from 1) as four bytes."""
 
-    def __exit__(self, *_: object) -> None:
-        self.stream.close()
-
-
-def _batched(parts: Iterator[bytes], target: _Target) -> None:
-    held: list[bytes] = []
-    size = 0
-    for part in parts:
-        held.append(part)
-        size += len(part)
-        if size > 1 << 20:
-            target.write(b"".join(held))
-            held, size = [], 0
-    target.write(b"".join(held))
+    def encoded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            at, *columns = (c.to_pylist() for c in frame.columns)
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(list(map(encode, zip(*columns, strict=True))), pa.binary())], ["at", "data"])
+
+    def written(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, n = _local(path), 0
+        if local is None:
+            storage, place = pafs.FileSystem.from_uri(path)
+            target = storage.open_output_stream(place)
+        else:
+            Path(local).parent.mkdir(parents=True, exist_ok=True)
+            target = open(local, "wb")  # noqa: SIM115
+        with target:
+            target.write(head)
+            for frame in frames:
+                data = frame.column(1).to_pylist()
+                if numbered:
+                    data = [struct.pack(">i", i) + x for i, x in enumerate(data, n + 1)]
+                n += len(data)
+                target.write(b"".join(data))
+            target.write(tail)
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    rows = df.select(F.monotonically_increasing_id().alias("_at"), *df.columns).mapInArrow(encoded, "at long, data binary")
+    rows.repartition(1).sortWithinPartitions("at").mapInArrow(written, "n long").collect()
 
 
 def db3export(df: DataFrame, path: str) -> None:
@@ -279,12 +333,11 @@ def db3export(df: DataFrame, path: str) -> None:
 
     def record(row: tuple) -> bytes:
         cells = ((x or "").encode() for x in row)
-        return b" " + b"".join(x.rjust(w) if kind == "N" else x.ljust(w) for x, (_, kind, w) in zip(cells, shown, strict=True))
+        return b" " + b"".join(x.rjust(w) if kind == "N" else x.ljust(w) for x, (kind, w) in zip(cells, kinds, strict=True))
 
-    with _Target(df.sparkSession, path) as target:
-        target.write(struct.pack("<4BIHH20x", 3, 100, 1, 1, df.count(), 32 + 32 * len(fields) + 1, size) + b"".join(fields) + b"\r")
-        _batched(map(record, df.select(*(c.alias(f"c{i}") for i, (c, _, _) in enumerate(shown))).toLocalIterator()), target)
-        target.write(b"\x1a")
+    head = struct.pack("<4BIHH20x", 3, 100, 1, 1, df.count(), 32 + 32 * len(fields) + 1, size) + b"".join(fields) + b"\r"
+    kinds = [(kind, width) for _, kind, width in shown]
+    _write_file(df.select(*(c.alias(f"c{i}") for i, (c, _, _) in enumerate(shown))), path, record, head, b"\x1a")
 
 
 def shpexport(df: DataFrame, path: str, parts: str, kind: str) -> None:
@@ -297,9 +350,9 @@ def shpexport(df: DataFrame, path: str, parts: str, kind: str) -> None:
     x, y, total = low_high("x"), low_high("y"), F.sum(words + 4)
     stats = df.agg(x[0].alias("a"), y[0].alias("b"), x[1].alias("c"), y[1].alias("d"), total.alias("n")).first()
 
-    def record(numbered: tuple[int, tuple]) -> bytes:
-        i, (shape,) = numbered
-        if shape is None:
+    def record(row: tuple) -> bytes:
+        shape = row[0] and [[(p["x"], p["y"]) for p in part] for part in row[0]]
+        if row[0] is None:
             body = struct.pack("<i", 0)
         elif code == 1:
             body = struct.pack("<i2d", 1, *shape[0][0])
@@ -310,9 +363,8 @@ def shpexport(df: DataFrame, path: str, parts: str, kind: str) -> None:
                 at += len(part)
             box = (min(p[0] for p in flat), min(p[1] for p in flat), max(p[0] for p in flat), max(p[1] for p in flat))
             body = struct.pack(f"<i4d2i{len(starts)}i", code, *box, len(starts), len(flat), *starts) + b"".join(struct.pack("<2d", *p) for p in flat)
-        return struct.pack(">2i", i, len(body) // 2) + body
+        return struct.pack(">i", len(body) // 2) + body
 
-    with _Target(df.sparkSession, path) as target:
-        box = [stats[n] or 0.0 for n in "abcd"]
-        target.write(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + int(stats.n or 0)) + struct.pack("<2i8d", 1000, code, *box, 0, 0, 0, 0))
-        _batched(map(record, enumerate(df.select(parts).toLocalIterator(), 1)), target)
+    box = [stats[n] or 0.0 for n in "abcd"]
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + int(stats.n or 0)) + struct.pack("<2i8d", 1000, code, *box, 0, 0, 0, 0)
+    _write_file(df.select(parts), path, record, head, numbered=True)
