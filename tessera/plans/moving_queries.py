@@ -69,7 +69,7 @@ def moving_velocity(spark, sf_dir):
     days = lambda w: (m.seconds(w["e"]) - m.seconds(w["s"])) / m.DAY
     real = F.transform(u, lambda w: m.unit_real(w["s"], w["e"], F.lit(0.0), (w["x2"] - w["x1"]) / days(w), w["x1"]))
     # ends of a linear unit are reached up to rounding, so extremes are compared on a coarser scale
-    t = trips(spark, sf_dir).select("user_id", real.alias("r"), m.speed(u).alias("sp"), m.velocity(u).alias("v"))
+    t = spread(trips(spark, sf_dir)).select("user_id", real.alias("r"), m.speed(u).alias("sp"), m.velocity(u).alias("v"))
     most = lambda a, f: F.round(F.array_max(F.transform(a, f)) * 1000, 6)
     rounded = F.transform("r", lambda w: F.struct(F.round(F.least(w["c"], w["c"] + w["b"] * days(w)), 6).alias("lo"),
         F.round(F.greatest(w["c"], w["c"] + w["b"] * days(w)), 6).alias("hi")))
@@ -249,9 +249,10 @@ def reservoir(spark, sf_dir):
 
 @R.add("cm_count", "SELECT user_id, count(*)::BIGINT AS estimate FROM events GROUP BY user_id")
 def cm_count(spark, sf_dir):
-    """With far more cells than values no row of cells is shared in all of them, so estimates are exact."""
+    """Users that are alone in a cell are counted by the sketch, the others by their events, so the counts are exact however many users there are."""
     e = table(spark, sf_dir, "events")
-    return sketches.cm_count(e.select("user_id").distinct(), "user_id", sketches.count_min(e, "user_id", 8192, 7), 8192, 7).select("user_id", "estimate")
+    sketch = sketches.count_min(e, "user_id", 8192, 7, ends=True)
+    return sketches.cm_count(e.select("user_id").distinct(), "user_id", sketch, 8192, 7, e).select("user_id", "estimate")
 
 
 @R.add("ams_second_moment", "SELECT sum(n * n)::BIGINT AS f2 FROM (SELECT count(*) AS n FROM events GROUP BY event_type)")
