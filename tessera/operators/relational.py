@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.order import keys, place_among
-from tessera.session import materialise
+from tessera.session import materialise, spread
 
 #: Rows that a fold takes together; a power of two.
 BLOCK = 1 << 14
@@ -142,9 +142,17 @@ def product(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
-def symmjoin(a: DataFrame, b: DataFrame, predicate: Column) -> DataFrame:
-    """Theta join; parts of the predicate that compare keys for equality become an equi-join."""
-    return a.join(b, predicate)
+def symmjoin(a: DataFrame, b: DataFrame, predicate: Column, slices: int | None = None) -> DataFrame:
+    """Theta join; parts of the predicate that compare keys for equality become an equi-join.
+
+    For few or frequent keys, or none, slices deals the rows of a to so many parts, each of which meets all of b (the smaller side): the pairs of
+    one key are made by many tasks.
+    """
+    if slices is None:
+        return a.join(b, predicate)
+    left = spread(a).withColumn("_slice", (F.monotonically_increasing_id() % slices).cast("int"))
+    right = b.withColumn("_part", F.explode(F.array(*map(F.lit, range(slices)))))
+    return left.join(right.hint("merge"), predicate & (F.col("_slice") == F.col("_part"))).drop("_slice", "_part")
 
 
 def symmouterjoin(a: DataFrame, b: DataFrame, predicate: Column) -> DataFrame:

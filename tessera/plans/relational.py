@@ -219,8 +219,10 @@ def product(spark, sf_dir):
 
 @R.add("symmjoin", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice > s_acctbal AND p_size = s_nationkey")
 def symmjoin(spark, sf_dir):
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    return r.symmjoin(p, s, (p.p_retailprice > s.s_acctbal) & (p.p_size == s.s_nationkey)).select("p_partkey", "s_suppkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    return r.symmjoin(p, s, (p.p_retailprice > s.s_acctbal) & (p.p_size == s.s_nationkey),
+        4 * spark.sparkContext.defaultParallelism).select("p_partkey", "s_suppkey")
 
 
 @R.add("symmouterjoin", "SELECT r_name, n_name FROM region FULL JOIN nation ON r_regionkey = n_regionkey AND n_name > 'G'")
