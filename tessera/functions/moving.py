@@ -25,6 +25,11 @@ def seconds(t: Column) -> Column:
     return t.cast("timestamp").cast("double")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def interval(s: Column, e: Column, lc: object = True, rc: object = False) -> list[Column]:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return [s.cast("timestamp").alias("s"), e.cast("timestamp").alias("e"), lit(lc).alias("lc"), lit(rc).alias("rc")]
@@ -259,13 +264,21 @@ def maximum(units: Column) -> Column:
     return F.array_max(F.transform(units, lambda u: _extreme(u, False)))
 
 
+def _at_extreme(units: Column, low: bool) -> Column:
+    """Units in which the value's extreme is reached: each unit's own is found once, and the least or greatest of them once."""
+    own = F.transform(units, lambda u: F.struct(_extreme(u, low).alias("v"), u.alias("u")))
+    ends = lambda ks: (F.array_min if low else F.array_max)(F.transform(ks, lambda k: k["v"]))
+    both = once(own, lambda ks: F.struct(ks.alias("ks"), ends(ks).alias("end")))
+    return once(both, lambda p: F.transform(F.filter(p["ks"], lambda k: k["v"] == p["end"]), lambda k: k["u"]))
+
+
 def atmax(units: Column) -> Column:
     """Units in which the greatest value is reached."""
-    return F.filter(units, lambda u: _extreme(u, False) == maximum(units))
+    return _at_extreme(units, False)
 
 
 def atmin(units: Column) -> Column:
-    return F.filter(units, lambda u: _extreme(u, True) == minimum(units))
+    return _at_extreme(units, True)
 
 
 def ever_nearer_than(units: Column, x: Column, y: Column, d: float) -> Column:
