@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
-from tessera.functions.moving import interval, point_in_unit, unit_at, unit_point
+from tessera.functions.moving import interval, once, point_in_unit, unit_at, unit_point
 
 
 def unit_region(s: Column, e: Column, first: Column, last: Column, lc: object = True, rc: object = False) -> Column:
@@ -26,17 +26,17 @@ def _ring(u: Column, t: Column) -> Column:
 
 def atinstant_region(units: Column, t: Column) -> Column:
     """The region at an instant, undefined outside the value's time."""
-    u = unit_at(units, t)
-    return F.when(u.isNotNull(), F.array(_ring(u, t)))
+    return once(unit_at(units, t), lambda u: F.when(u.isNotNull(), F.array(_ring(u, t))))
 
 
 def area_at(units: Column, t: Column) -> Column:
-    return g.area(atinstant_region(units, t))
+    return once(atinstant_region(units, t), g.area)
 
 
 def inside_at(points: Column, regions: Column, t: Column) -> Column:
     """Whether a moving point is in a moving region at an instant."""
-    return g.inside(point_in_unit(unit_at(points, t), t), atinstant_region(regions, t))
+    place = once(unit_at(points, t), lambda u: point_in_unit(u, t))
+    return once(F.struct(place.alias("p"), atinstant_region(regions, t).alias("r")), lambda both: g.inside(both["p"], both["r"]))
 
 
 def region_trajectory_box(units: Column) -> Column:

@@ -15,7 +15,7 @@ from tessera.functions import moving_regions as mr
 from tessera.operators import constraints, network
 from tessera.plans.oplang import Session
 from tessera.plans.registry import Registry, table
-from tessera.session import shared_folder
+from tessera.session import shared_folder, spread
 from tessera.streaming import streams
 
 R = Registry()
@@ -35,7 +35,7 @@ def moving_regions(spark, sf_dir):
     ring = lambda x, w, h: F.array(g.point(x, F.lit(0.0)), g.point(x + w, F.lit(0.0)), g.point(x + w, h), g.point(x, h))
     start, end = ring(F.lit(0.0), size, F.lit(0.0)), ring(step, size, size / 2 + 1)
     rests = F.array(m.unit_point(at("00"), at("12"), F.lit(2.0), F.lit(0.5), F.lit(2.0), F.lit(0.5)))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.array(mr.unit_region(at("00"), at("12"), start, end)).alias("r"), rests.alias("q"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", F.array(mr.unit_region(at("00"), at("12"), start, end)).alias("r"), rests.alias("q"))
     box = mr.region_trajectory_box(c("r"))
     return p.select(
         "p_partkey", F.round(mr.area_at(c("r"), at("06")), 6).alias("area"), box["lo"].alias("lo"), box["hi"].alias("hi"),
