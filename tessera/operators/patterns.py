@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.graph import connected_components
 from tessera.operators.spatial import distance_join
-from tessera.session import materialise
+from tessera.session import materialise, spread
 
 
 def knn_join(a: DataFrame, b: DataFrame, ident: str, pa: tuple[str, str], pb: tuple[str, str], k: int, start: float) -> DataFrame:
@@ -40,15 +41,58 @@ def knn_join(a: DataFrame, b: DataFrame, ident: str, pa: tuple[str, str], pb: tu
         radius *= 2
 
 
+def linked_parts(df: DataFrame, ident: str, x: str, y: str, eps: float, step: str | None = None) -> DataFrame:
+    """df (rows with coordinates) with root: the least ident of the component of its graph of neighbours within eps, at each step by itself (then (step, ident)).
+
+    The graph isn't made. Points of a grid cell whose diagonal is eps are neighbours of each other, so only cells are linked: those that have
+    a pair of points within eps, which is looked for among their different points and not beyond the first one found. Rows of one ident are one node.
+    """
+    side = eps / 2**0.5 * (1 - 1e-9)
+    node = F.col(ident) if step is None else F.struct(F.col(step), F.col(ident))
+    when = F.lit(0) if step is None else F.col(step)
+    place = lambda c: F.floor(F.col(c).cast("double") / side)
+    rows = df.dropna(subset=[x, y]).withColumns({"_n": node, "_t": when, "_cx": place(x), "_cy": place(y)})
+    spot = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = materialise(rows.groupBy("_t", "_cx", "_cy").agg(F.min("_n").alias("rep"), F.collect_set(spot).alias("spots")))
+    steps = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps)))
+    left = cells.withColumn("_s", near).select("_t", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"),
+        F.col("rep").alias("a"), F.col("spots").alias("p"))
+    pairs = spread(left.join(cells, ["_t", "_cx", "_cy"]).select("a", F.col("rep").alias("b"), "p", "spots"))
+    links = pairs.filter(_meet(eps)(F.col("p"), F.col("spots"))).select("a", "b")
+    placed = rows.join(cells.drop("spots"), ["_t", "_cx", "_cy"])
+    same = placed.groupBy("_n").agg(F.collect_set("rep").alias("r")).filter(F.size("r") > 1).select(F.col("r")[0].alias("a"), F.explode("r").alias("b"))
+    roots = connected_components(links.union(same))
+    return placed.join(roots, F.col("rep") == F.col("node"), "left").select(*df.columns, F.coalesce("root", "rep").alias("root"))
+
+
+def _meet(eps: float) -> Callable[[Column, Column], Column]:
+    """Whether two arrays of points have a pair within eps."""
+
+    def spots(column: pa.Array) -> list[np.ndarray]:
+        xy = np.column_stack([column.values.field(n).to_numpy(zero_copy_only=False) for n in "xy"])
+        at = column.offsets.to_pylist()
+        return [xy[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+    def close(p: np.ndarray, q: np.ndarray) -> bool:
+        gap = lambda a, b: np.hypot(*np.maximum(np.maximum(b.min(0) - a, a - b.max(0)), 0).T) <= eps
+        p = p[gap(p, q)]
+        q = q[gap(q, p)] if len(p) else p
+        size = max(1, 1_000_000 // max(1, len(q)))
+        return any((np.hypot(p[i : i + size, :1] - q[:, 0], p[i : i + size, 1:] - q[:, 1]) <= eps).any() for i in range(0, len(p), size)) if len(q) else False
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([bool(close(p, q)) for p, q in zip(spots(a), spots(b), strict=True)])
+
+    return lambda a, b: F.arrow_udf(run, "boolean")(a, b)
+
+
 def flocks(positions: DataFrame, ident: str, step: str, x: str, y: str, radius: float, least: int, steps: int) -> DataFrame:
     """Groups that stay together: members (sorted ids), first, last (steps): at each of at least `steps` successive steps a component of the graph of neighbours within radius, of at least `least` objects, has these members."""
     rows = positions.select(F.col(ident).alias("i"), F.col(step).cast("long").alias("t"), F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"))
-    others = rows.select(F.col("i").alias("j"), F.col("t").alias("u"), F.col("x").alias("p"), F.col("y").alias("q"))
-    near = distance_join(rows, others, ("x", "y"), ("p", "q"), radius).filter("t = u and i < j")
-    node = lambda i: F.struct(F.col("t"), F.col(i).alias("i"))
-    groups = connected_components(near.select(node("i").alias("a"), node("j").alias("b")))
-    found = groups.groupBy("root").agg(F.array_sort(F.collect_list("node.i")).alias("members"), F.first("node.t").alias("t")).filter(F.size("members") >= least)
+    found = linked_parts(rows, "i", "x", "y", radius, "t").groupBy("root").agg(F.array_sort(F.collect_set("i")).alias("members"), F.first("t").alias("t"))
+    found = found.filter(F.size("members") >= max(least, 2))
     w = Window.partitionBy("members").orderBy("t")
     runs = found.withColumn("run", F.col("t") - F.row_number().over(w)).groupBy("members", "run").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     return runs.filter(F.col("last") - F.col("first") + 1 >= steps).select("members", "first", "last")
@@ -100,6 +144,76 @@ def kmeans(df: DataFrame, vector: str, k: int, rounds: int = 10, start: list[lis
     return df.sparkSession.createDataFrame(out, "cluster int, n long, centre array<double>")
 
 
+def optics_order(xy: np.ndarray, eps: float, least: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The order of points by OPTICS, their reachability and core distances (infinite where undefined); of equal ones the first goes first.
+
+    Points are filed in grid cells. A core distance is looked for in rings of cells around the point's; a point that is placed touches only cells that
+    hold a point whose reachability it can lower.
+    """
+    n = len(xy)
+    low, high = xy.min(0), xy.max(0)
+    side = min(eps, max(eps / 8, float(np.prod(np.maximum(high - low, eps)) * 64 / n) ** 0.5))
+    at = np.floor((xy - low) / side).astype(np.int64)
+    cells, cell = np.unique(at, axis=0, return_inverse=True)
+    cell = cell.reshape(-1)
+    filed = np.argsort(cell, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(cells)))])
+    members = [filed[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    known = {(int(u), int(v)): k for k, (u, v) in enumerate(cells)}
+    reach, core = np.full(n, np.inf), np.full(n, np.inf)
+    for (u, v), k in known.items():
+        left, r = members[k], 1
+        while len(left):
+            around = [known[c] for i in range(u - r, u + r + 1) for j in range(v - r, v + r + 1) if (c := (i, j)) in known]
+            near = np.concatenate([members[c] for c in around])
+            sure = min(eps, r * side * (1 - 1e-9)) if r * side < eps * (1 + 1e-6) else eps
+            again = []
+            for part in np.array_split(left, -(-len(left) * len(near) // 1_000_000)):
+                if len(near) < least:
+                    again.append(part)
+                    continue
+                d = np.partition(np.sqrt((xy[part, :1] - xy[near, 0]) ** 2 + (xy[part, 1:] - xy[near, 1]) ** 2), least - 1, axis=1)[:, least - 1]
+                core[part[d <= sure]] = d[d <= sure]
+                again.append(part[d > sure])
+            left = np.concatenate(again)
+            if r * side >= eps * (1 + 1e-6):
+                break
+            r += 1
+    least_of, most_of = np.full(len(cells), np.inf), np.full(len(cells), np.inf)
+    lo, open_ = low + cells * side, np.ones(n, bool)
+    order, first = [], 0
+
+    def settle(c: int) -> None:
+        left = reach[members[c][open_[members[c]]]]
+        least_of[c], most_of[c] = (left.min(), left.max()) if len(left) else (np.inf, -np.inf)
+
+    while len(order) < n:
+        best = least_of.min()
+        if np.isfinite(best):
+            i = min(int((m := members[c])[open_[m] & (reach[m] == best)].min()) for c in np.flatnonzero(least_of == best))
+        else:
+            while not open_[first]:
+                first += 1
+            i = first
+        open_[i] = False
+        order.append(i)
+        changed = {int(cell[i])}
+        if np.isfinite(core[i]):
+            away = np.maximum(np.maximum(lo - xy[i], xy[i] - lo - side), 0)
+            away = np.sqrt(away[:, 0] ** 2 + away[:, 1] ** 2) * (1 - 1e-9)
+            touched = np.flatnonzero((away <= eps) & (np.maximum(away, core[i]) < most_of))
+            if len(touched):
+                near = np.concatenate([members[c] for c in touched])
+                near = near[open_[near]]
+                d = np.sqrt((xy[near, 0] - xy[i, 0]) ** 2 + (xy[near, 1] - xy[i, 1]) ** 2)
+                near, d = near[d <= eps], d[d <= eps]
+                reach[near] = np.minimum(reach[near], np.maximum(core[i], d))
+                changed.update(touched.tolist())
+        for c in changed:
+            settle(c)
+    return order, reach, core
+
+
 def optics(df: DataFrame, ident: str, x: str, y: str, eps: float, least: int) -> DataFrame:
     """OPTICS: ident, part, place, reach (null at a start), core (null if not one).
 
@@ -107,30 +221,15 @@ def optics(df: DataFrame, ident: str, x: str, y: str, eps: float, least: int) ->
     reached from another part, so the order within each part is that of the whole. A part is ordered by one task, in memory for its points.
     """
     df = df.select(ident, x, y).dropna(subset=[x, y])
-    near = distance_join(df, df.toDF("_j", "_u", "_v"), (x, y), ("_u", "_v"), eps).filter(F.col(ident) < F.col("_j"))
-    found = connected_components(near.select(F.col(ident).alias("a"), F.col("_j").alias("b")))
-    df = df.join(found, F.col(ident) == F.col("node"), "left").select(F.coalesce("root", ident).alias("part"), ident, x, y)
+    df = linked_parts(df, ident, x, y, eps).select(F.col("root").alias("part"), ident, x, y)
     by = ["part"]
     kinds = dict(df.dtypes)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        xy, n = frame[[x, y]].to_numpy(float), len(frame)
-        done, order, reach, core = np.zeros(n, bool), [], np.full(n, np.inf), np.full(n, np.inf)
-        for i in range(n):
-            d = np.sort(np.linalg.norm(xy - xy[i], axis=1))
-            if n >= least and d[least - 1] <= eps:
-                core[i] = d[least - 1]
-        while len(order) < n:
-            left = np.flatnonzero(~done)
-            i = left[np.argmin(reach[left])]
-            done[i] = True
-            order.append(i)
-            if np.isfinite(core[i]):
-                d = np.linalg.norm(xy - xy[i], axis=1)
-                near = ~done & (d <= eps)
-                reach[near] = np.minimum(reach[near], np.maximum(core[i], d[near]))
+        frame = frame.sort_values(ident, kind="stable")
+        order, reach, core = optics_order(frame[[x, y]].to_numpy(float), eps, least)
         out = frame.iloc[order][[*by, ident]].copy()
-        out["place"] = range(n)
+        out["place"] = range(len(order))
         out["reach"] = [None if not np.isfinite(reach[i]) else float(reach[i]) for i in order]
         out["core"] = [None if not np.isfinite(core[i]) else float(core[i]) for i in order]
         return out
